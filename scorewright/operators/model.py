@@ -47,7 +47,6 @@ def logistic_estimator(n: float, C: float = 1.0, intercept: bool = True) -> Logi
         standardization=False,
         fitIntercept=intercept,
         maxIter=100,
-        tol=1e-8,
     )
 
 
