@@ -82,7 +82,7 @@ def join_skewed(
     row, and the matching right rows are repeated once per salt; all other
     keys keep salt 0 and are not repeated.  Left rows without a key match
     nothing and are spread as well.  Nothing is broadcast by hand."""
-    if how not in ("inner", "left"):
+    if how not in ("inner", "left", "left_semi"):
         raise ValueError(how)
     hot = hot_key_hashes(left, on, min_rows)
     if not hot:
@@ -140,9 +140,9 @@ def join_chain(tables: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """Rows whose key is in the list; duplicates in the list do not repeat
-    rows."""
-    return df.join(keys.select(on), on, "left_semi")
+    """(job) Rows whose key is in the list; duplicates in the list do not
+    repeat rows."""
+    return join_skewed(df, keys.select(on).distinct(), [on], "left_semi")
 
 
 def band_join(df: DataFrame, score: str, bands: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from scorewright.operators.assemble import require_key
 from scorewright.operators.ordered import (
+    BUCKETS,
+    Spread,
     add_bucket,
     add_ranks,
     few_valued,
@@ -17,6 +19,9 @@ from scorewright.operators.ordered import (
     spread_of,
 )
 
+# From this share of distinct scores on, rows are bucketed uncombined.
+UNIQUE_SHARE = 0.8
+
 
 def _scored(df: DataFrame, score: str, y: str, *keep: str, weight: str | None = None) -> DataFrame:
     """Rows ``(*keep, score, y, w)`` that have a score and a target; ``w`` is
@@ -35,15 +40,19 @@ def score_histogram(
 
     Counted before the shuffle, so frequent scores cost one row per task."""
     rows = _scored(df, score, y, *by, weight=weight)
-    edges = spread_of(rows, ["score"])["score"].edges
-    return _histogram(rows, edges, by)
-
-
-def _histogram(rows: DataFrame, edges: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    return (
-        add_bucket(rows, "score", edges)
-        .groupBy(*by, "bucket", "score")
-        .agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("y")).alias("bad"))
+    return _histogram(rows, spread_of(rows, ["score"])["score"], by)
+
+
+def _histogram(rows: DataFrame, spread: Spread, by: Sequence[str] = ()) -> DataFrame:
+    """Counts per score.  Where scores repeat, they are combined before the
+    shuffle.  Where almost every row has a score of its own, combining would
+    gain nothing, and no score is frequent, so rows go straight to their
+    buckets: the running sums then need no second shuffle."""
+    rows = add_bucket(rows, "score", spread.edges)
+    if spread.levels > UNIQUE_SHARE * spread.n and len(spread.edges) > 0.9 * BUCKETS:
+        rows = rows.repartition(*by, "bucket")
+    return rows.groupBy(*by, "bucket", "score").agg(
+        F.sum("w").alias("total"), F.sum(F.col("w") * F.col("y")).alias("bad")
     )
 
 
@@ -137,7 +146,7 @@ def _rank_slices(rows: DataFrame, spread, interior: Sequence[int]) -> DataFrame:
     buckets, so even a score shared by a third of all rows is split by many
     tasks.  Ties must be unique numbers."""
     cuts = [float(p) for p in interior]
-    h = running_counts(_histogram(rows, spread["score"].edges)).withColumn(
+    h = running_counts(_histogram(rows, spread["score"])).withColumn(
         "_first", F.col("all_total") - F.col("cum_total")
     )
     placed = add_ranks(

@@ -13,6 +13,9 @@ from scorewright.functions.columns import logistic
 from scorewright.sources.tables import materialise
 
 
+_ROWS_PER_TASK = 100_000
+
+
 def split_by_key(df: DataFrame, key: str, low: int = 7, of: int = 10) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by key remainder: repeatable under any
     partitioning, which a random split is not."""
@@ -29,8 +32,9 @@ def patterns(df: DataFrame, cols: Sequence[str], y: str, *keep: str) -> DataFram
     once to reliable storage."""
     columns = [F.col(c).cast("double").alias(c) for c in cols]
     rows = df.dropna(subset=[*cols, y]).select(*keep, *columns, F.col(y).cast("double").alias("y"))
-    counts = rows.groupBy(*keep, *cols, "y").agg(F.count("*").cast("double").alias("w"))
-    return materialise(counts)
+    counts = materialise(rows.groupBy(*keep, *cols, "y").agg(F.count("*").cast("double").alias("w")))
+    # Iterative fits pay per task, so few patterns go into few partitions.
+    return counts.coalesce(counts.count() // _ROWS_PER_TASK + 1)
 
 
 def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -23,7 +23,11 @@ from pyspark.sql import types as T
 
 from scorewright.functions.columns import double_array, rank_in
 
+# Buckets per variable: at least, and at most; in between the number of
+# shuffle partitions, so that every task of a large cluster gets a bucket.
 BUCKETS = 512
+MAX_BUCKETS = 2048
+TEXT_BUCKETS = 128
 # Variables handled by one quantile aggregate, and by one wide projection.
 _CHUNK = 100
 _WIDE = 25
@@ -36,6 +40,7 @@ class Spread:
     n: int = 0
     n_special: int = 0
     edges: list = field(default_factory=list)
+    levels: int = 0  # approximate number of distinct values
 
 
 def is_text(df: DataFrame, col: str) -> bool:
@@ -52,13 +57,16 @@ def long_values(df: DataFrame, cols: Sequence[str], *keep: str, kind: str = "dou
     return rows.where(present)
 
 
-def spread_of(
-    df: DataFrame, cols: Sequence[str], special: Sequence[float] = (), buckets: int = BUCKETS
-) -> dict[str, Spread]:
+def bucket_count(spark: SparkSession) -> int:
+    return max(BUCKETS, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread_of(df: DataFrame, cols: Sequence[str], special: Sequence[float] = ()) -> dict[str, Spread]:
     """(job) Bucket edges of every numeric column.
 
     Partial quantile digests are merged per variable; no data row is shuffled
     and at most ``buckets - 1`` numbers per column reach the driver."""
+    buckets = bucket_count(df.sparkSession)
     shares = double_array(i / buckets for i in range(1, buckets))
     plain = ~F.col("value").isin(*map(float, special)) if special else F.lit(True)
     inner = F.when(plain, F.col("value"))
@@ -69,17 +77,18 @@ def spread_of(
             rows.groupBy("var_name").agg(
                 F.count(inner).alias("n"),
                 F.count(F.when(~plain, 1)).alias("n_special"),
-                F.call_function("percentile_approx", inner, shares, F.lit(4 * buckets)).alias("edges"),
+                F.call_function("percentile_approx", inner, shares, F.lit(2 * buckets)).alias("edges"),
+                F.approx_count_distinct(inner).alias("levels"),
             )
         )
     out = {c: Spread() for c in cols}
     for part in parts:
         for r in part.collect():
-            out[r["var_name"]] = Spread(r["n"], r["n_special"], sorted(set(r["edges"] or [])))
+            out[r["var_name"]] = Spread(r["n"], r["n_special"], sorted(set(r["edges"] or [])), r["levels"])
     return out
 
 
-def text_spread_of(df: DataFrame, cols: Sequence[str], buckets: int = BUCKETS) -> dict[str, Spread]:
+def text_spread_of(df: DataFrame, cols: Sequence[str], buckets: int = TEXT_BUCKETS) -> dict[str, Spread]:
     """(job) The same for text columns, ordered by code point.
 
     Text has no quantile aggregate; the edges are taken from the distinct

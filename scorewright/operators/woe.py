@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,13 +142,20 @@ def encode(df: DataFrame, table: DataFrame, cols: Sequence[str], measure: str, s
     Small bin tables (checked: up to 200 bins) are read once and become map
     literals, so the table is encoded without any join.  Larger ones are
     joined on the bin, with hot bins spread."""
-    sizes = {r["var_name"]: r["n"] for r in table.groupBy("var_name").agg(F.count("*").alias("n")).collect()}
+    rows = table.where(F.col("var_name").isin(list(cols))).select("var_name", "bin", measure)
+    cap = MAP_ROWS * len(cols)
+    found = rows.limit(cap + 1).collect()
+    if len(found) <= cap:
+        sizes = Counter(r["var_name"] for r in found)
+    else:
+        sizes = {r["var_name"]: r["n"] for r in rows.groupBy("var_name").agg(F.count("*").alias("n")).collect()}
     small = [c for c in cols if sizes.get(c, 0) <= MAP_ROWS]
+    if len(found) > cap:
+        found = rows.where(F.col("var_name").isin(small)).collect()
     maps: dict[str, list] = {c: [] for c in small}
-    if small:
-        for r in table.where(F.col("var_name").isin(small)).select("var_name", "bin", measure).collect():
-            if r[measure] is not None:
-                maps[r["var_name"]] += [F.lit(r["bin"]), F.lit(float(r[measure]))]
+    for r in found:
+        if r["var_name"] in maps and r[measure] is not None:
+            maps[r["var_name"]] += [F.lit(r["bin"]), F.lit(float(r[measure]))]
     out = df.withColumns(
         {
             c + suffix: F.try_element_at(F.create_map(*m), F.col(c).cast("string"))

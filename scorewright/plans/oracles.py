@@ -11,7 +11,7 @@ app as (
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
 
 SCORE = APP + """,
-score as (select *, round(least(o_totalprice / 600000, 0.9999), 4) as score from app)"""
+score as (select *, least(floor(o_totalprice / 60) / 10000, 0.9999) as score from app)"""
 
 LINE = """
 line as (select *, cast(l_returnflag = 'R' as int) as y from lineitem)"""
@@ -483,7 +483,7 @@ add("rank_slice_pr", SCORE,
     "select round(sum(case when pos >= 10 and pos < 400 then y else 0 end) / sum(y), 6) as recall,"
     " round(sum(case when pos >= 10 and pos < 400 then y else 0 end) / 390.0, 6) as precision from ranked")
 add("gains_table", SCORE,
-    "coarse as (select o_orderkey, y, round(score, 2) as score from score)",
+    "coarse as (select o_orderkey, y, floor(score * 100) / 100 as score from score)",
     rank_bands("coarse", 20, "ranked"), gains("ranked"))
 add("gains_fixed", SCORE, HALVES, rank_bands("train", 10, "ranked"), MINS, FIXED, gains("fixed"))
 add("evaluate_sample", SCORE, HALVES, rank_bands("train", 10, "ranked"), MINS, FIXED, curve("test"),

@@ -1,0 +1,48 @@
+"""Points of the vehicle-loan fraud scorecard."""
+
+from __future__ import annotations
+
+from scorewright.operators.clean import SPECIAL
+
+# Points of the missing value, then of each range below a bound
+# (None: no upper bound), by variable.
+RANGE_POINTS = {
+    "vehicle_jinsuranceendtime": (0.3763, [(-363.0, 0.3763), (-329.0, 0.3763), (-113.0, -0.1201), (None, -0.1201)]),
+    "vehicle_minput_obtaindate": (0.1408, [(517.0, 0.1408), (785.0, 0.1408), (1116.0, -0.1041), (None, -0.1041)]),
+    "vehicle_evtrpt_b2bprice": (0.2715, [(4.3, 0.2715), (6.81, -0.075), (8.64, -0.075), (None, -0.075)]),
+    "m6_apply_thirdservcprvd": (-0.4385, [(1.0, 0.0042), (None, 1.1082)]),
+    "times_by_current_org": (-0.0772, [(3.0, -0.0772), (4.0, 1.4649), (5.0, 1.4649), (None, 1.4649)]),
+    "apt_ec_lastloansettleddate": (0.0608, [(0.0, 0.0608), (49.0, 0.0608), (182.0, 0.0608), (None, 0.0608)]),
+    "email_info_date": (-0.3713, [(0.0, 3.745), (302.0, 0.4089), (None, -0.3713)]),
+    "max_overdue_terms": (-0.4559, [(1.0, 0.2944), (2.0, 1.5902), (9.0, 1.5902), (None, 1.5902)]),
+    "max_max_overdue_terms": (-0.1178, [(1.0, -0.1178), (2.0, 1.3231), (10.0, 1.3231), (None, 1.3231)]),
+    "vehicle_illegal_payamt": (-0.1016, [(700.0, -0.1016), (1650.0, 0.4387), (2700.0, 0.4387), (None, 0.4387)]),
+    "apt_ec_overduephasetotallastyear": (-0.0333, [(1.0, -0.0333), (2.0, 0.7799), (4.0, 0.7799), (None, 0.7799)]),
+    "final_score": (-0.1248, [(1.0, -0.1248), (3.0, 0.4587), (None, 1.0691)]),
+    "vehicle_minput_lastreleasedate": (-0.4487, [(8.0, 0.1125), (26.0, 0.1125), (None, 0.1125)]),
+    "vehicle_minput_registcertflag": (-0.1747, [(1.0, 0.1176), (3.0, 0.6186), (None, 0.6186)]),
+    "qtorg_query_orgcnt": (-0.1013, [(1.0, -0.1013), (2.0, 0.4983), (3.0, 0.4983), (None, 0.4983)]),
+    "vehicle_minput_attribution": (-0.1013, [(1.0, -0.1013), (2.0, 0.4983), (3.0, 0.4983), (None, 0.4983)]),
+}
+# Points of the missing value, then of each code.
+CODE_POINTS = {
+    "apt_facetrial_housetype": (
+        0.1649,
+        [(1.0, -0.2468), (2.0, -0.2468), (3.0, 0.1649), (4.0, 0.1649), (5.0, 0.1649), (6.0, 0.1649)],
+    ),
+    "apt_lastloanmode": (0.0613, [(1.0, -0.3378), (2.0, 1.5338), (3.0, 1.5338)]),
+    "vehicle_illegalprocessmode": (-0.0669, [(1.0, -0.0669), (2.0, 0.6508)]),
+}
+
+
+def vehicle_scorecard(special: float = SPECIAL) -> list[dict]:
+    """Rows for ``scorecard_apply``."""
+    rows = []
+    for name, (missing, ranges) in RANGE_POINTS.items():
+        rows.append({"var_name": name, "special": special, "woe": missing})
+        lows = [None, *[hi for hi, _ in ranges]]
+        rows += [{"var_name": name, "lo": lo, "hi": hi, "woe": woe} for lo, (hi, woe) in zip(lows, ranges)]
+    for name, (missing, codes) in CODE_POINTS.items():
+        rows.append({"var_name": name, "special": special, "woe": missing})
+        rows += [{"var_name": name, "code": code, "woe": woe} for code, woe in codes]
+    return rows

@@ -427,7 +427,7 @@ def rank_slice_pr(spark, d):
 
 @query
 def gains_table(spark, d):
-    coarse = fr.score(spark, d).withColumn("score", F.round("score", 2))
+    coarse = fr.score(spark, d).withColumn("score", F.floor(F.col("score") * 100) / 100)
     return r6(E.gains_table(coarse, "score", "y", 20, "o_orderkey"))
 
 

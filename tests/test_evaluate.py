@@ -186,3 +186,21 @@ def test_stack_samples_drops_periods(spark):
     a = spark.createDataFrame([("2018-11", 1)], "m string, y int")
     b = spark.createDataFrame([("2018-12", 0), ("2019-01", 1)], "m string, z int")
     assert sorted(r.m for r in O.stack_samples(a, b, period="m", drop=["2018-12"]).collect()) == ["2018-11", "2019-01"]
+
+
+def test_unique_scores_need_one_shuffle(spark):
+    rng = np.random.default_rng(0)
+    p = pd.DataFrame({"score": rng.random(20000), "y": rng.integers(0, 2, 20000)})
+    df = spark.createDataFrame(p).repartition(4)
+    r = E.ks_auc(df, "score", "y").first()
+    assert np.allclose([r.ks_abs, r.ks, r.auc], brute_curve(p))
+    plan = E.running_counts(E.score_histogram(df, "score", "y"))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket#" in plan and "hashpartitioning(bucket#" in plan and "score#" not in "".join(
+        line for line in plan.splitlines() if "hashpartitioning" in line
+    )
+
+
+def test_frequent_scores_are_combined_before_the_shuffle(spark):
+    df = spark.createDataFrame(random_scores(3000, 1, 2))
+    h = E.score_histogram(df, "score", "y")._jdf.queryExecution().executedPlan().toString()
+    assert h.index("Exchange hashpartitioning(bucket") < h.index("partial_sum")  # below the exchange
