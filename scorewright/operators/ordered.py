@@ -28,6 +28,8 @@ from scorewright.functions.columns import double_array, rank_in
 BUCKETS = 512
 MAX_BUCKETS = 2048
 TEXT_BUCKETS = 128
+# Text columns of up to this many distinct values need no buckets.
+TEXT_LEVELS = 10_000
 # Variables handled by one quantile aggregate, and by one wide projection.
 _CHUNK = 100
 _WIDE = 25
@@ -40,7 +42,8 @@ class Spread:
     n: int = 0
     n_special: int = 0
     edges: list = field(default_factory=list)
-    levels: int = 0  # approximate number of distinct values
+    levels: int = 0  # number of distinct values, for numbers approximate
+    exact: bool = False
 
 
 def is_text(df: DataFrame, col: str) -> bool:
@@ -88,21 +91,30 @@ def spread_of(df: DataFrame, cols: Sequence[str], special: Sequence[float] = ())
     return out
 
 
-def text_spread_of(df: DataFrame, cols: Sequence[str], buckets: int = TEXT_BUCKETS) -> dict[str, Spread]:
+def text_spread_of(df: DataFrame, cols: Sequence[str]) -> dict[str, Spread]:
     """(job) The same for text columns, ordered by code point.
 
-    Text has no quantile aggregate; the edges are taken from the distinct
+    One job counts rows and distinct values of all columns.  Text has no
+    quantile aggregate; a column of many values takes its edges from the
     values with the smallest hashes, a spread of fixed size."""
-    out = {}
-    for c in cols:
-        rows = df.select(F.col(c).alias("value")).where(F.col(c).isNotNull())
-        seen = rows.distinct().orderBy(F.xxhash64("value")).limit(8 * buckets).collect()
-        values = sorted(r[0] for r in seen)
-        step = max(1, len(values) // buckets)
-        out[c] = Spread(rows.count(), 0, values[::step][: buckets - 1])
+    out = {c: Spread(exact=True) for c in cols}
+    if not cols:
+        return out
+    levels = _text_levels(df, cols)
+    for r in levels.groupBy("var_name").agg(F.sum("rows").alias("n"), F.count("*").alias("levels")).collect():
+        out[r["var_name"]] = Spread(r["n"], 0, [], r["levels"], exact=True)
+    for c in (c for c in cols if out[c].levels > TEXT_LEVELS):
+        near = levels.where(F.col("var_name") == c).orderBy(F.xxhash64("value"), "value")
+        values = sorted(r["value"] for r in near.select("value").limit(8 * TEXT_BUCKETS).collect())
+        out[c].edges = values[:: 8][1:]
     return out
 
 
+def _text_levels(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    rows = long_values(df, cols, kind="string")
+    return rows.groupBy("var_name", "value").agg(F.count("*").alias("rows"))
+
+
 def add_ranks(
     df: DataFrame, edges: Mapping[str, Sequence[float]], suffix: str, closed: str = "left"
 ) -> DataFrame:
@@ -165,11 +177,12 @@ def _located(df: DataFrame, cols: Sequence[str], spread: Mapping[str, Spread], s
         if special:
             rows = rows.where(~F.col("value").isin(*map(float, special)))
         return rows.select("var_name", F.col("rank").alias("bucket"), "value", F.lit(1).alias("rows"))
-    levels = long_values(df, cols, kind="string").groupBy("var_name", "value").agg(F.count("*").alias("rows"))
-    edges = F.create_map(*[e for c in cols for e in (F.lit(c), F.lit(spread[c].edges).cast("array<string>"))])
-    return levels.select(
-        "var_name", rank_in(F.col("value"), edges[F.col("var_name")]).alias("bucket"), "value", "rows"
-    )
+    levels = _text_levels(df, cols)
+    bucket = F.lit(0)
+    for c in (c for c in cols if spread[c].edges):
+        edges = F.lit(list(spread[c].edges))
+        bucket = F.when(F.col("var_name") == c, rank_in(F.col("value"), edges)).otherwise(bucket)
+    return levels.select("var_name", bucket.alias("bucket"), "value", "rows")
 
 
 def prefix_sum(
@@ -217,9 +230,11 @@ def order_statistics(
     if spread is None:
         spread = text_spread_of(df, cols) if is_text(df, cols[0]) else spread_of(df, cols, special)
     located = _located(df, cols, spread, special)
-    sizes: dict[str, list] = {c: [] for c in cols}
-    for r in located.groupBy("var_name", "bucket").agg(F.sum("rows").alias("rows")).collect():
-        sizes[r["var_name"]].append((r["bucket"], r["rows"]))
+    sizes: dict[str, list] = {c: [(0, spread[c].n)] for c in cols}
+    if any(spread[c].edges for c in cols):
+        sizes = {c: [] for c in cols}
+        for r in located.groupBy("var_name", "bucket").agg(F.sum("rows").alias("rows")).collect():
+            sizes[r["var_name"]].append((r["bucket"], r["rows"]))
 
     targets = []
     for c in cols:
@@ -288,15 +303,11 @@ def few_valued(df: DataFrame, cols: Sequence[str], limit: int, spread: Mapping[s
 
     Edges are values of the column, so more than ``limit`` distinct edges
     already prove a column to be larger; only the others are counted."""
-    open_cols = [c for c in cols if len(spread[c].edges) <= limit]
-    if not open_cols:
-        return {}
-    texts = [c for c in open_cols if is_text(df, c)]
-    numbers = [c for c in open_cols if c not in texts]
-    out = {c: 0 for c in open_cols}
-    for names, kind in ((texts, "string"), (numbers, "double")):
-        if names:
-            levels = long_values(df, names, kind=kind).groupBy("var_name", "value").agg(F.count("*").alias("n"))
-            for r in levels.groupBy("var_name").agg(F.count("*").alias("levels")).collect():
-                out[r["var_name"]] = r["levels"]
+    out = {c: spread[c].levels for c in cols if spread[c].exact}
+    open_cols = [c for c in cols if c not in out and len(spread[c].edges) <= limit]
+    out |= dict.fromkeys(open_cols, 0)
+    if open_cols:
+        levels = long_values(df, open_cols).groupBy("var_name", "value").agg(F.count("*").alias("n"))
+        for r in levels.groupBy("var_name").agg(F.count("*").alias("levels")).collect():
+            out[r["var_name"]] = r["levels"]
     return {c: n for c, n in out.items() if n <= limit}

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.columns import logistic
+from scorewright.functions.columns import double_array
 from scorewright.operators.evaluate import ks_auc
 from scorewright.operators.linear import gram
 from scorewright.operators.model import assemble, logistic_estimator, patterns
@@ -53,13 +53,18 @@ def cv_backward(df: DataFrame, cols: Sequence[str], y: str, key: str, parallelis
         judges all held-out rows, each under the model of its fold."""
         ready = assemble(rows, names)
 
-        def fit(f: int) -> Column:
+        def fit(f: int) -> list[float]:
             model = logistic_estimator(total - folds[f]).fit(ready.where(F.col("_fold") != f))
-            return logistic(dict(zip(names, map(float, model.coefficients))), float(model.intercept))
+            return [float(model.intercept), *map(float, model.coefficients)]
 
         with ThreadPool(min(parallelism, len(folds))) as pool:
             models = dict(zip(folds, pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds)))
-        held_out = reduce(lambda acc, f: F.when(F.col("_fold") == f, models[f]).otherwise(acc), folds, F.lit(None))
+
+        def weight(i: int) -> Column:
+            return F.get(double_array(models[f][i] if f in models else 0.0 for f in range(FOLDS)), F.col("_fold"))
+
+        z = reduce(Column.__add__, [F.col(c) * weight(i) for i, c in enumerate(names, 1)], weight(0))
+        held_out = 1.0 / (1.0 + F.exp(-z))
         judged = ks_auc(rows.withColumn("_score", held_out), "_score", "y", ["_fold"], weight="w")
         return judged.agg(F.avg("auc")).first()[0]
 

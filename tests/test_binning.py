@@ -217,3 +217,13 @@ def test_screen_routes(spark):
     df = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
     out = {r.var_name: r for r in B.equal_freq_screen(df, ["l_extendedprice", "l_linestatus", "l_tax"], "y", min_iv=0.0).collect()}
     assert (out["l_extendedprice"].route, out["l_linestatus"].route, out["l_tax"].route) == ("binned", "direct", "direct")
+
+
+def test_text_cuts_with_buckets(spark, monkeypatch):
+    monkeypatch.setattr(O, "TEXT_LEVELS", 20)
+    monkeypatch.setattr(O, "TEXT_BUCKETS", 6)
+    words = [f"{i * 7919 % 997:03d}" for i in range(3000)]
+    df = spark.createDataFrame([(w, 1) for w in words], "x string, y int")
+    assert len(O.text_spread_of(df, ["x"])["x"].edges) == 5
+    v = sorted(words)
+    assert cuts_of(B.equal_freq_cuts(df, ["x"], 10))["x"] == sorted({v[int(i * (3000 / 10))] for i in range(1, 10)})
