@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,32 +34,41 @@ def _scored(df: DataFrame, score: str, y: str, *keep: str, weight: str | None =
     return require_key(rows, *keep, "score", "y").where(~F.isnan("score"))
 
 
+@dataclass
+class Histogram:
+    """``(*by, bucket, score, total, bad)``, one row per distinct score, and
+    rows with the same totals per bucket."""
+
+    counts: DataFrame
+    source: DataFrame
+    by: tuple[str, ...]
+
+    def running(self) -> DataFrame:
+        """The counts with cumulative totals and bads, ascending by score."""
+        return prefix_sum(self.counts, self.by, "bucket", "score", ["total", "bad"], self.source)
+
+
 def score_histogram(
     df: DataFrame, score: str, y: str, by: Sequence[str] = (), weight: str | None = None
-) -> DataFrame:
-    """(job) ``(*by, bucket, score, total, bad)``, one row per distinct score.
-
-    Counted before the shuffle, so frequent scores cost one row per task."""
+) -> Histogram:
+    """(job) Histogram of the scores, overall or per group."""
     rows = _scored(df, score, y, *by, weight=weight)
-    return _histogram(rows, spread_of(rows, ["score"])["score"], by)
+    return _histogram(rows, spread_of(rows, ["score"], levels=True)["score"], by)
 
 
-def _histogram(rows: DataFrame, spread: Spread, by: Sequence[str] = ()) -> DataFrame:
+def _histogram(rows: DataFrame, spread: Spread, by: Sequence[str] = ()) -> Histogram:
     """Counts per score.  Where scores repeat, they are combined before the
     shuffle.  Where almost every row has a score of its own, combining would
     gain nothing, and no score is frequent, so rows go straight to their
     buckets: the running sums then need no second shuffle."""
-    rows = add_bucket(rows, "score", spread.edges)
-    if spread.levels > UNIQUE_SHARE * spread.n and len(spread.edges) > 0.9 * BUCKETS:
-        rows = rows.repartition(*by, "bucket")
-    return rows.groupBy(*by, "bucket", "score").agg(
-        F.sum("w").alias("total"), F.sum(F.col("w") * F.col("y")).alias("bad")
+    cells = add_bucket(rows, "score", spread.edges).select(
+        *by, "bucket", "score", F.col("w").alias("total"), (F.col("w") * F.col("y")).alias("bad")
     )
-
-
-def running_counts(h: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Histogram rows with cumulative totals and bads, ascending by score."""
-    return prefix_sum(h, by, "bucket", "score", ["total", "bad"])
+    unique = spread.levels > UNIQUE_SHARE * spread.n and len(spread.edges) > 0.9 * BUCKETS
+    if unique:
+        cells = cells.repartition(*by, "bucket")
+    counts = cells.groupBy(*by, "bucket", "score").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))
+    return Histogram(counts, cells if unique else counts, tuple(by))
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -106,7 +116,7 @@ def ks_auc(
     df: DataFrame, score: str, y: str, by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """(job) KS and AUC overall or per group."""
-    return ks_auc_from(running_counts(score_histogram(df, score, y, by, weight), by), by)
+    return ks_auc_from(score_histogram(df, score, y, by, weight).running(), by)
 
 
 def ks(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -121,7 +131,7 @@ def auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
     """(job) One ROC point per threshold, and the start (0, 0)."""
-    r = running_counts(score_histogram(df, score, y))
+    r = score_histogram(df, score, y).running()
     good = F.col("total") - F.col("bad")
     points = r.select(
         F.col("score").alias("threshold"),
@@ -138,32 +148,52 @@ def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
 
 
 def _rank_slices(rows: DataFrame, spread, interior: Sequence[int]) -> DataFrame:
-    """``(slice, score, total, bad)`` pieces of the rows ranked by score
-    descending and tie ascending, cut at the 0-based ``interior`` positions.
+    """(job) Sums over the rows ranked by score descending and tie ascending,
+    cut at the 0-based ``interior`` positions: one or more rows
+    ``(band, max_score, min_score, customers, bad)`` per slice, counted from 1.
 
     Ranks come from the score histogram.  Only the scores that a cut runs
-    through (at most one per cut) are ranked row by row, by tie, again through
-    buckets, so even a score shared by a third of all rows is split by many
-    tasks.  Ties must be unique numbers."""
+    through (at most one per cut, and known by then) are ranked row by row, by
+    tie, again through buckets, so even a score shared by a third of all rows
+    is split by many tasks.  Ties must be unique numbers."""
     cuts = [float(p) for p in interior]
-    h = running_counts(_histogram(rows, spread["score"])).withColumn(
+    ranked = _histogram(rows, spread["score"]).running().withColumn(
         "_first", F.col("all_total") - F.col("cum_total")
     )
     placed = add_ranks(
-        h.withColumn("_last", F.col("_first") + F.col("total") - 1), {"_first": cuts, "_last": cuts}, "_slice"
+        ranked.withColumn("_last", F.col("_first") + F.col("total") - 1), {"_first": cuts, "_last": cuts}, "_slice"
     )
-    whole = placed.where(F.col("_first_slice") == F.col("_last_slice")).select(
-        F.col("_first_slice").alias("slice"), "score", "total", "bad"
-    )
-    split = placed.where(F.col("_first_slice") != F.col("_last_slice")).select("score", "_first")
-    inside = add_bucket(rows.join(F.broadcast(split), "score"), "tie", spread["tie"].edges)
-    by_tie = inside.groupBy("score", "_first", "bucket", "tie").agg(
-        F.count("*").alias("total"), F.sum("y").alias("bad")
+    # One group per slice and one per score on a cut.
+    groups = placed.groupBy("_first_slice", "_last_slice").agg(
+        F.max("score").alias("max_score"),
+        F.min("score").alias("min_score"),
+        F.sum("total").alias("customers"),
+        F.sum("bad").alias("bad"),
+        F.min("_first").alias("first"),
+    ).collect()
+    fields = "band int, max_score double, min_score double, customers bigint, bad bigint"
+    whole = rows.sparkSession.createDataFrame(
+        [
+            (g["_first_slice"] + 1, g["max_score"], g["min_score"], g["customers"], g["bad"])
+            for g in groups
+            if g["_first_slice"] == g["_last_slice"]
+        ],
+        fields,
     )
-    ranked = prefix_sum(by_tie, ["score", "_first"], "bucket", "tie", ["total"])
-    position = F.col("_first") + F.col("cum_total") - F.col("total")
-    pieces = add_ranks(ranked.withColumn("_pos", position), {"_pos": cuts}, "_slice").select(
-        F.col("_pos_slice").alias("slice"), "score", "total", "bad"
+    split = {g["min_score"]: g["first"] for g in groups if g["_first_slice"] != g["_last_slice"]}
+    if not split:
+        return whole
+    inside = add_bucket(rows.where(F.col("score").isin(list(split))), "tie", spread["tie"].edges)
+    by_tie = inside.groupBy("score", "bucket", "tie").agg(F.sum("w").alias("total"), F.sum("y").alias("bad"))
+    starts = F.create_map(*[F.lit(v) for pair in split.items() for v in pair])
+    position = F.element_at(starts, F.col("score")) + F.col("cum_total") - F.col("total")
+    pieces = prefix_sum(by_tie, ["score"], "bucket", "tie", ["total"]).withColumn("_pos", position)
+    pieces = add_ranks(pieces, {"_pos": cuts}, "_slice").select(
+        (F.col("_pos_slice") + 1).alias("band"),
+        F.col("score").alias("max_score"),
+        F.col("score").alias("min_score"),
+        F.col("total").alias("customers"),
+        "bad",
     )
     return whole.unionByName(pieces)
 
@@ -175,8 +205,8 @@ def _tied(df: DataFrame, score: str, y: str, tie: str) -> DataFrame:
 def rank_slice_pr(df: DataFrame, score: str, y: str, low: int, high: int, tie: str) -> DataFrame:
     """(job) Recall and precision of the rank slice [low, high)."""
     rows = _tied(df, score, y, tie)
-    spread = spread_of(rows, ["score", "tie"])
-    hit = F.col("slice") == (1 if low < high else 0)
+    spread = spread_of(rows, ["score", "tie"], levels=True)
+    hit = F.col("band") == 2
     return (
         _rank_slices(rows, spread, [low, high])
         .agg(F.sum("bad").alias("_all"), F.coalesce(F.sum(F.when(hit, F.col("bad"))), F.lit(0)).alias("_in"))
@@ -189,13 +219,18 @@ def rank_slice_pr(df: DataFrame, score: str, y: str, low: int, high: int, tie: s
 
 def _band_sums(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("band").agg(
-        F.max("score").alias("max_score"),
-        F.min("score").alias("min_score"),
-        F.sum("total").alias("customers"),
+        F.max("max_score").alias("max_score"),
+        F.min("min_score").alias("min_score"),
+        F.sum("customers").alias("customers"),
         F.sum("bad").alias("bad"),
     )
 
 
+def _as_pieces(h: DataFrame) -> DataFrame:
+    score = F.col("score")
+    return h.select("band", score.alias("max_score"), score.alias("min_score"), F.col("total").alias("customers"), "bad")
+
+
 def _gain_columns(bands: DataFrame) -> DataFrame:
     """Cumulative columns of a gains table; one row per band, so the windows
     run over a few dozen rows."""
@@ -224,15 +259,15 @@ def gains_table(df: DataFrame, score: str, y: str, part: int, tie: str) -> DataF
     Band edges are ``round(i * n / part)`` (half to even).  With fewer
     distinct scores than bands, every score is a band."""
     rows = _tied(df, score, y, tie)
-    spread = spread_of(rows, ["score", "tie"])
+    spread = spread_of(rows, ["score", "tie"], levels=True)
     if few_valued(rows, ["score"], part - 1, spread):
         h = rows.groupBy("score").agg(F.count("*").alias("total"), F.sum("y").alias("bad"))
         # fewer rows than bands
-        pieces = h.withColumn("band", F.row_number().over(Window.orderBy(F.desc("score"))))
+        pieces = _as_pieces(h.withColumn("band", F.row_number().over(Window.orderBy(F.desc("score")))))
     else:
         step = spread["score"].n / part
         interior = [round(i * step) for i in range(1, part)]
-        pieces = _rank_slices(rows, spread, interior).withColumn("band", F.col("slice") + 1)
+        pieces = _rank_slices(rows, spread, interior)
     return _gain_columns(_band_sums(pieces))
 
 
@@ -272,10 +307,10 @@ def evaluate_sample(df: DataFrame, score: str, y: str, mins: Sequence[float]) ->
     """(job) Fixed-threshold gains table with the KS and AUC of the sample on
     every row; all from one score histogram."""
     h = score_histogram(df, score, y)
-    stats = ks_auc_from(running_counts(h)).select(
+    stats = ks_auc_from(h.running()).select(
         F.lit(1).alias("_k"), F.col("ks").alias("sample_ks"), F.col("auc").alias("sample_auc")
     )
-    bands = _gain_columns(_band_sums(_fixed_band(h, mins)))
+    bands = _gain_columns(_band_sums(_as_pieces(_fixed_band(h.counts, mins))))
     return bands.withColumn("_k", F.lit(1)).join(F.broadcast(stats), "_k").drop("_k")  # stats: one row
 
 

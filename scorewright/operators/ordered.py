@@ -30,9 +30,10 @@ MAX_BUCKETS = 2048
 TEXT_BUCKETS = 128
 # Text columns of up to this many distinct values need no buckets.
 TEXT_LEVELS = 10_000
-# Variables handled by one quantile aggregate, and by one wide projection.
-_CHUNK = 100
+# Variables handled by one wide projection.
 _WIDE = 25
+# Groups in which the sketches of the tasks are merged first.
+_MERGE_GROUPS = 64
 
 
 @dataclass
@@ -64,30 +65,53 @@ def bucket_count(spark: SparkSession) -> int:
     return max(BUCKETS, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def spread_of(df: DataFrame, cols: Sequence[str], special: Sequence[float] = ()) -> dict[str, Spread]:
-    """(job) Bucket edges of every numeric column.
+def spread_of(
+    df: DataFrame, cols: Sequence[str], special: Sequence[float] = (), levels: bool = False
+) -> dict[str, Spread]:
+    """(job) Bucket edges of every numeric column, and on request its
+    approximate number of distinct values.
 
-    Partial quantile digests are merged per variable; no data row is shuffled
-    and at most ``buckets - 1`` numbers per column reach the driver."""
+    Every task sketches its columns side by side; the sketches, some tens of
+    kilobytes each, are merged first in groups and then per variable.  No data
+    row is shuffled, and one short array per column reaches the driver."""
     buckets = bucket_count(df.sparkSession)
     shares = double_array(i / buckets for i in range(1, buckets))
-    plain = ~F.col("value").isin(*map(float, special)) if special else F.lit(True)
-    inner = F.when(plain, F.col("value"))
+    out = {c: Spread() for c in cols}
     parts = []
-    for start in range(0, len(cols), _CHUNK):
-        rows = long_values(df, cols[start : start + _CHUNK])
-        parts.append(
-            rows.groupBy("var_name").agg(
-                F.count(inner).alias("n"),
-                F.count(F.when(~plain, 1)).alias("n_special"),
-                F.call_function("percentile_approx", inner, shares, F.lit(2 * buckets)).alias("edges"),
-                F.approx_count_distinct(inner).alias("levels"),
-            )
+    for start in range(0, len(cols), _WIDE):
+        group = cols[start : start + _WIDE]
+        wide = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in group])
+        sums = []
+        for c in group:
+            listed = F.col(c).isin(*map(float, special)) if special else F.lit(False)
+            plain = F.when(~listed, F.col(c))
+            sums += [
+                F.kll_sketch_agg_double(plain, F.lit(4 * buckets)).alias(f"{c}_sketch"),
+                F.count(plain).alias(f"{c}_n"),
+                F.count(F.when(listed, 1)).alias(f"{c}_special"),
+                (F.approx_count_distinct(plain) if levels else F.lit(0).cast("long")).alias(f"{c}_levels"),
+            ]
+        # Distinct counts cannot be merged afterwards; they are asked for only
+        # a few columns, whose sketches one task can merge.
+        salt = F.lit(0) if levels else F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS))
+        grouped = wide.groupBy(salt.alias("_salt")).agg(*sums)
+        fields = ("sketch", "n", "special", "levels")
+        cells = [e for c in group for e in (F.lit(c), *[F.col(f"{c}_{f}") for f in fields])]
+        parts.append(grouped.select(F.stack(F.lit(len(group)), *cells).alias("var_name", *fields)))
+    merged = (
+        reduce(DataFrame.unionByName, parts)
+        .where(F.col("n") + F.col("special") > 0)
+        .groupBy("var_name")
+        .agg(
+            F.kll_merge_agg_double(F.when(F.col("n") > 0, F.col("sketch"))).alias("sketch"),
+            F.sum("n").alias("n"),
+            F.sum("special").alias("special"),
+            F.max("levels").alias("levels"),
         )
-    out = {c: Spread() for c in cols}
-    for part in parts:
-        for r in part.collect():
-            out[r["var_name"]] = Spread(r["n"], r["n_special"], sorted(set(r["edges"] or [])), r["levels"])
+    )
+    edges = F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", shares))
+    for r in merged.select("var_name", "n", "special", "levels", edges.alias("edges")).collect():
+        out[r["var_name"]] = Spread(r["n"], r["special"], sorted(set(r["edges"] or [])), r["levels"])
     return out
 
 
@@ -166,8 +190,11 @@ def long_ranks(
 
 
 def add_bucket(df: DataFrame, col: str, edges: Sequence[float], name: str = "bucket") -> DataFrame:
-    """Add the bucket of one numeric column."""
-    return add_ranks(df, {col: edges}, "_bucket").withColumnRenamed(col + "_bucket", name)
+    """Add the bucket of one numeric column without missing values."""
+    ranked = add_ranks(df, {col: edges}, "_bucket")
+    # Declared non-null, so that later joins on it add no filter of their own
+    # and equal shuffles stay recognisable as such.
+    return ranked.withColumn(name, F.coalesce(col + "_bucket", F.lit(0))).drop(col + "_bucket")
 
 
 def _located(df: DataFrame, cols: Sequence[str], spread: Mapping[str, Spread], special: Sequence[float]) -> DataFrame:
@@ -186,18 +213,29 @@ def _located(df: DataFrame, cols: Sequence[str], spread: Mapping[str, Spread], s
 
 
 def prefix_sum(
-    h: DataFrame, by: Sequence[str], bucket: str, value: str, measures: Sequence[str]
+    h: DataFrame,
+    by: Sequence[str],
+    bucket: str,
+    value: str,
+    measures: Sequence[str],
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Exact running totals over ``value`` inside every ``by`` group.
 
     ``h`` holds one row per (by, bucket, value).  Adds ``cum_m``, the total up
     to and including the row, and ``all_m``, the total of the group, for every
     measure.  Windows span one bucket; the offsets of the buckets come from a
-    table of one row per (by, bucket)."""
+    table of one row per (by, bucket), summed over ``h`` or over a cheaper
+    ``source`` with the same totals."""
     inside = Window.partitionBy(*by, bucket).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    sizes = h.groupBy(*by, bucket).agg(*[F.sum(m).alias(m) for m in measures])
+    # The (always true) test on the value keeps that column in the plan: both
+    # sides of the join below then read one and the same shuffle.
+    sizes = (h if source is None else source).groupBy(*by, bucket).agg(
+        *[F.sum(m).alias(m) for m in measures], F.max(value).alias("_top")
+    )
+    sizes = sizes.where(F.col("_top").isNotNull())
     offsets = sizes.select(
         *by,
         bucket,

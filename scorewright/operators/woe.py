@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from scorewright.operators.ordered import long_values
 
 # Bin tables up to this many rows per variable become CASE-like map literals.
 MAP_ROWS = 200
+_GROUPED_AS_IS = ("double", "int", "bigint", "boolean")
 
 
 def _counts(y: str = "y") -> list[Column]:
@@ -22,8 +24,17 @@ def _counts(y: str = "y") -> list[Column]:
 def category_counts(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """``(var_name, bin, total, bad)`` of all columns in one job; the bin is
     the value as text.  Rows without a value or target do not count."""
-    rows = long_values(df.where(F.col(y).isNotNull()), cols, y, kind="string")
-    return rows.groupBy("var_name", F.col("value").alias("bin")).agg(*_counts(y))
+    labelled = df.where(F.col(y).isNotNull())
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        kind = df.schema[c].dataType.simpleString()
+        kinds.setdefault(kind if kind in _GROUPED_AS_IS else "string", []).append(c)
+    parts = []
+    for kind, names in kinds.items():
+        # Counted under the type of the column; only the bins become text.
+        counts = long_values(labelled, names, y, kind=kind).groupBy("var_name", "value").agg(*_counts(y))
+        parts.append(counts.select("var_name", F.col("value").cast("string").alias("bin"), "total", "bad"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bin_bad_rate(counts: DataFrame, overall: bool = False) -> DataFrame:

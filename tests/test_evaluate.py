@@ -66,7 +66,7 @@ def test_monthly_curve_and_one_sided_month(spark):
 
 def test_prefix_sum_equals_plain_window(spark):
     p = random_scores(4000, 2)
-    h = E.score_histogram(spark.createDataFrame(p), "score", "y")
+    h = E.score_histogram(spark.createDataFrame(p), "score", "y").counts
     w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     both = S.prefix_sum(h, [], "bucket", "score", ["total", "bad"]).withColumn("plain", F.sum("bad").over(w))
     assert both.where("plain <> cum_bad").count() == 0
@@ -78,7 +78,7 @@ def test_no_window_over_the_whole_table(spark):
     aggregate."""
     df = spark.createDataFrame(random_scores(1000, 3))
     h = E.score_histogram(df, "score", "y")
-    plan = E.running_counts(h)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    plan = h.running()._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     for block in plan.split("Exchange SinglePartition")[1:]:
         assert "HashAggregate(keys=[bucket" in block.split("Exchange")[0]
 
@@ -194,13 +194,24 @@ def test_unique_scores_need_one_shuffle(spark):
     df = spark.createDataFrame(p).repartition(4)
     r = E.ks_auc(df, "score", "y").first()
     assert np.allclose([r.ks_abs, r.ks, r.auc], brute_curve(p))
-    plan = E.running_counts(E.score_histogram(df, "score", "y"))._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(bucket#" in plan and "hashpartitioning(bucket#" in plan and "score#" not in "".join(
+    plan = E.score_histogram(df, "score", "y").running()._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket#" in plan and "score#" not in "".join(
         line for line in plan.splitlines() if "hashpartitioning" in line
     )
 
 
 def test_frequent_scores_are_combined_before_the_shuffle(spark):
     df = spark.createDataFrame(random_scores(3000, 1, 2))
-    h = E.score_histogram(df, "score", "y")._jdf.queryExecution().executedPlan().toString()
+    h = E.score_histogram(df, "score", "y").counts._jdf.queryExecution().executedPlan().toString()
     assert h.index("Exchange hashpartitioning(bucket") < h.index("partial_sum")  # below the exchange
+
+
+def test_both_sides_read_one_shuffle(spark):
+    rng = np.random.default_rng(0)
+    unique = pd.DataFrame({"score": rng.random(20000), "y": rng.integers(0, 2, 20000), "m": rng.integers(0, 3, 20000)})
+    for p in (unique, random_scores(3000, 1, 2).assign(m=1)):
+        for by in ([], ["m"]):
+            out = E.ks_auc(spark.createDataFrame(p).repartition(3), "score", "y", by)
+            out.collect()
+            final = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert "ReusedExchange" in final
