@@ -73,14 +73,15 @@ def manual_rebin(
 
 
 def drop_impossible_dates(col: Column, limit: str = "2030-01-01") -> Column:
-    """Null every date at or after the limit."""
-    return F.when(col < F.lit(limit).cast("timestamp_ntz"), col)
+    """Null every date at or after the limit, and every unreadable one."""
+    return F.when(col.try_cast("timestamp_ntz") < F.lit(limit).cast("timestamp_ntz"), col)
 
 
 def days_between(apply_ts: Column, col: Column, reverse: bool = False) -> Column:
-    """Whole elapsed days, floored: twenty minutes before is day -1."""
+    """Whole elapsed days, floored: twenty minutes before is day -1.
+    Unreadable text counts as missing."""
     a, b = (col, apply_ts) if reverse else (apply_ts, col)
-    gap = a.cast("timestamp_ntz") - b.cast("timestamp_ntz")
+    gap = a.try_cast("timestamp_ntz") - b.try_cast("timestamp_ntz")
     seconds = gap.cast("interval second").cast("decimal(20,6)")
     return F.floor(seconds / 86400).cast("bigint")
 

@@ -157,9 +157,7 @@ def equal_freq_screen(
             cuts = equal_freq_cuts(df, many, k, sp, reduce_k=True, spread=spread)
             binned = bin_counts(df, many, y, cuts, sp, closed="right")
             parts.append(binned.select("var_name", F.col("bin_no").cast("string").alias("bin"), "total", "bad"))
-    counts = parts[0]
-    for p in parts[1:]:
-        counts = counts.unionByName(p)
+    counts = reduce(DataFrame.unionByName, parts)
     route = F.when(F.col("var_name").isin(list(few)), "direct").otherwise("binned")
     return iv_screen(counts, min_iv).withColumn("route", route)
 
@@ -173,6 +171,13 @@ def chi_prebin(
     Columns with more than ``prebins`` plain values are cut into that many
     equal-frequency groups named by their upper edge; others keep their
     values.  Special values keep a row of their own."""
+    return _chi_groups(df, cols, y, special, prebins)[0]
+
+
+def _chi_groups(
+    df: DataFrame, cols: Sequence[str], y: str, special: Sequence[float], prebins: int = PREBINS
+) -> tuple[DataFrame, list[str]]:
+    """The group table, and the columns that were cut."""
     spread = spread_of(df, cols, special)
     known = few_valued(df, cols, prebins + len(special), spread)
     few = [c for c in cols if c in known and known[c] - _present(spread[c], special) <= prebins]
@@ -194,7 +199,7 @@ def chi_prebin(
         grp = F.when(F.col("is_special"), F.col("slot")).otherwise(upper)
         named = slots.join(F.broadcast(cuts.select("var_name", "cuts")), "var_name")
         parts.append(named.select("var_name", grp.alias("grp"), "is_special", "total", "bad"))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts), many
 
 
 def _present(spread, special: Sequence[float]) -> int:
@@ -209,14 +214,16 @@ def _chi(total: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:
         return (expected - bad) ** 2 / expected
 
 
-def merge_groups(groups: pd.DataFrame, max_interval: int, n_special: int) -> list[float]:
+def merge_groups(
+    groups: pd.DataFrame, max_interval: int, n_special: int, prebinned: bool = False
+) -> list[float]:
     """Chi-merge of one variable's group table (about a hundred rows).
 
     Neighbouring intervals with the least chi-square are merged, the first
     one on ties, until few enough are left; then cuts are dropped while a bin
     holds bads or goods only."""
     groups = groups.sort_values("grp")
-    if len(groups) <= max_interval:
+    if len(groups) <= max_interval and not prebinned:
         return [float(v) for v in groups["grp"].iloc[:-1]]
     rows = groups[~groups["is_special"].astype(bool)]
     value = rows["grp"].to_numpy(float)
@@ -263,14 +270,11 @@ def chi_merge(
     variable, in parallel over the variables.  Empty cuts mean that a variable
     cannot be binned."""
     n_codes = len(special)
+    table, many = _chi_groups(df, cols, y, special)
 
     def per_variable(key, groups):
         n_special = n_codes if bool(groups["is_special"].any()) else 0
-        cuts = merge_groups(groups, max_interval, n_special)
+        cuts = merge_groups(groups, max_interval, n_special, key[0] in many)
         return pd.DataFrame({"var_name": [key[0]], "n": [int(groups["total"].sum())], "cuts": [cuts]})
 
-    return (
-        chi_prebin(df, cols, y, special)
-        .groupBy("var_name")
-        .applyInPandas(per_variable, "var_name string, n bigint, cuts array<double>")
-    )
+    return table.groupBy("var_name").applyInPandas(per_variable, "var_name string, n bigint, cuts array<double>")

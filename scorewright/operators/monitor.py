@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from scorewright.operators.assemble import union_all
 from scorewright.operators.evaluate import ks_auc
-from scorewright.operators.ordered import long_values
+from scorewright.operators.ordered import count_levels
 
 
 def stability_table(df: DataFrame, cols: Sequence[str], period: str, y: str) -> DataFrame:
     """``(var_name, period, bin, n, share, bad_rate)`` for all variables in
     one job: the share of each bin among the period's rows and its bad rate.
     Combinations without rows do not appear."""
-    rows = long_values(df.where(F.col(period).isNotNull()), cols, period, y, kind="string")
-    cells = rows.groupBy("var_name", F.col(period).alias("period"), F.col("value").alias("bin")).agg(
-        F.count("*").alias("n"), F.avg(y).alias("bad_rate")
-    )
+    rows = df.where(F.col(period).isNotNull()).withColumn("period", F.col(period))
+    cells = count_levels(rows, cols, y, [F.count("*").alias("n"), F.avg(y).alias("bad_rate")], ["period"])
     totals = cells.groupBy("var_name", "period").agg(F.sum("n").alias("_n"))
     return cells.join(totals, ["var_name", "period"]).select(
         "var_name", "period", "bin", "n", (F.col("n") / F.col("_n")).alias("share"), "bad_rate"

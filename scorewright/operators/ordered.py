@@ -61,6 +61,45 @@ def long_values(df: DataFrame, cols: Sequence[str], *keep: str, kind: str = "dou
     return rows.where(present)
 
 
+def columns_by_kind(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Columns grouped by the type they are compared in.  A long table has one
+    value type; grouping numbers as numbers avoids writing every cell as
+    text."""
+    kinds: dict[str, list[str]] = {}
+    for c in cols:
+        t = df.schema[c].dataType
+        if isinstance(t, (T.DoubleType, T.FloatType)):
+            kind = "double"
+        elif isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            kind = "bigint"
+        else:
+            kind = "boolean" if isinstance(t, T.BooleanType) else "string"
+        kinds.setdefault(kind, []).append(c)
+    return kinds
+
+
+def bin_text(df: DataFrame, col: str) -> Column:
+    """The ``bin`` of ``count_levels`` that a row's value belongs to."""
+    kind = next(iter(columns_by_kind(df, [col])))
+    value = F.col(col).cast(kind)
+    # negative zero is grouped with zero
+    return (value + F.lit(0.0) if kind == "double" else value).cast("string")
+
+
+def count_levels(
+    df: DataFrame, cols: Sequence[str], y: str, sums: Sequence[Column], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Aggregates per ``(*keys, var_name, bin)`` for all columns, ``bin`` being
+    the value as text.  Cells are counted under their own type and combined
+    before the shuffle; only the resulting bins are written as text."""
+    parts = []
+    for kind, names in columns_by_kind(df, cols).items():
+        rows = long_values(df, names, *keys, y, kind=kind)
+        levels = rows.groupBy(*keys, "var_name", "value").agg(*sums)
+        parts.append(levels.withColumn("value", F.col("value").cast("string")).withColumnRenamed("value", "bin"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def bucket_count(spark: SparkSession) -> int:
     return max(BUCKETS, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 

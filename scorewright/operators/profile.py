@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.operators.ordered import long_values
+from scorewright.operators.ordered import columns_by_kind, long_values
 
 # Aggregates kept in one projection, below the size the JVM still compiles.
 _CHUNK = 50
@@ -31,10 +32,7 @@ def _null_shares(df: DataFrame, cols: Sequence[str], *by: str) -> DataFrame:
         )
         cells = [e for c in group for e in (F.lit(c), F.col(f"_m_{c}"))]
         parts.append(wide.select(*by, F.stack(F.lit(len(group)), *cells).alias("var_name", "null_share")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def null_share(df: DataFrame, cols: Sequence[str] | None = None, max_share: float = 0.95) -> DataFrame:
@@ -54,15 +52,11 @@ def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
     Long form: values are de-duplicated before the shuffle and spread by
     value, never by column."""
-    def is_float(c: str) -> bool:
-        return isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
-
     parts = []
-    for names, kind in (([c for c in cols if is_float(c)], "double"), ([c for c in cols if not is_float(c)], "string")):
-        if names:
-            levels = long_values(df, names, kind=kind).groupBy("var_name", "value").agg(F.count("*").alias("n"))
-            parts.append(levels.groupBy("var_name").agg(F.count("*").alias("different_values")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    for kind, names in columns_by_kind(df, cols).items():
+        levels = long_values(df, names, kind=kind).groupBy("var_name", "value").agg(F.count("*").alias("n"))
+        parts.append(levels.groupBy("var_name").agg(F.count("*").alias("different_values")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def monthly_null_matrix(df: DataFrame, cols: Sequence[str], period: str) -> DataFrame:

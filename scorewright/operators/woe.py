@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.operators.assemble import join_skewed
-from scorewright.operators.ordered import long_values
+from scorewright.operators.ordered import bin_text, count_levels
 
 # Bin tables up to this many rows per variable become CASE-like map literals.
 MAP_ROWS = 200
-_GROUPED_AS_IS = ("double", "int", "bigint", "boolean")
 
 
 def _counts(y: str = "y") -> list[Column]:
@@ -24,17 +22,7 @@ def _counts(y: str = "y") -> list[Column]:
 def category_counts(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
     """``(var_name, bin, total, bad)`` of all columns in one job; the bin is
     the value as text.  Rows without a value or target do not count."""
-    labelled = df.where(F.col(y).isNotNull())
-    kinds: dict[str, list[str]] = {}
-    for c in cols:
-        kind = df.schema[c].dataType.simpleString()
-        kinds.setdefault(kind if kind in _GROUPED_AS_IS else "string", []).append(c)
-    parts = []
-    for kind, names in kinds.items():
-        # Counted under the type of the column; only the bins become text.
-        counts = long_values(labelled, names, y, kind=kind).groupBy("var_name", "value").agg(*_counts(y))
-        parts.append(counts.select("var_name", F.col("value").cast("string").alias("bin"), "total", "bad"))
-    return reduce(DataFrame.unionByName, parts)
+    return count_levels(df.where(F.col(y).isNotNull()), cols, y, _counts(y))
 
 
 def bin_bad_rate(counts: DataFrame, overall: bool = False) -> DataFrame:
@@ -169,7 +157,7 @@ def encode(df: DataFrame, table: DataFrame, cols: Sequence[str], measure: str, s
             maps[r["var_name"]] += [F.lit(r["bin"]), F.lit(float(r[measure]))]
     out = df.withColumns(
         {
-            c + suffix: F.try_element_at(F.create_map(*m), F.col(c).cast("string"))
+            c + suffix: F.try_element_at(F.create_map(*m), bin_text(df, c))
             if m
             else F.lit(None).cast("double")
             for c, m in maps.items()
@@ -180,7 +168,7 @@ def encode(df: DataFrame, table: DataFrame, cols: Sequence[str], measure: str, s
             lookup = table.where(F.col("var_name") == c).select(
                 F.col("bin").alias("_bin"), F.col(measure).cast("double").alias(c + suffix)
             )
-            out = join_skewed(out.withColumn("_bin", F.col(c).cast("string")), lookup, ["_bin"], "left").drop("_bin")
+            out = join_skewed(out.withColumn("_bin", bin_text(df, c)), lookup, ["_bin"], "left").drop("_bin")
     return out
 
 

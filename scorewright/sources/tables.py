@@ -66,7 +66,7 @@ def append_report(df: DataFrame, path: str, by: str = "var_name") -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return named or tempfile.mkdtemp(prefix="scorewright-")
 
 

@@ -204,6 +204,9 @@ def test_chi_merge_matches_brute_force(spark, seed):
         "few": rng.integers(0, 4, n).astype(float),
     }
     x["gap"] = np.where(rng.random(n) < 0.2, -99.0, np.round(rng.normal(size=n) * 50, 2))
+    x["spike"] = np.where(rng.random(n) < 0.8, 7.0, np.round(rng.normal(size=n) * 50, 2))
+    x["spike"][rng.random(n) < 0.3] = -99.0
+    x["peak"] = np.where(rng.random(n) < 0.84, 7.0, np.round(rng.random(n) * 50, 2))
     x["gapmid"] = np.where(rng.random(n) < 0.2, -99.0, rng.integers(0, 30, n).astype(float))
     y = (rng.random(n) < 0.1 + 0.5 / (1 + np.exp(-x["wide"] / 20)) * (x["mid"] > 3)).astype(int)
     df = spark.createDataFrame(pd.DataFrame(x | {"y": y}))
@@ -227,3 +230,23 @@ def test_text_cuts_with_buckets(spark, monkeypatch):
     assert len(O.text_spread_of(df, ["x"])["x"].edges) == 5
     v = sorted(words)
     assert cuts_of(B.equal_freq_cuts(df, ["x"], 10))["x"] == sorted({v[int(i * (3000 / 10))] for i in range(1, 10)})
+
+
+def test_encode_matches_every_number_type(spark):
+    df = spark.sql(
+        "select cast(v as float) f, cast(v as double) d, cast(v as int) i, v > 0 b, y"
+        " from values (0.1, 1), (0.1, 0), (-0.0, 1), (0.0, 0), (2.5, 1) t(v, y)"
+    ).withColumn("d", F.when(F.col("d") == 0, F.lit(-0.0)).otherwise(F.col("d")))
+    out = W.rate_encode(df, ["f", "d", "i", "b"], "y").select("f_rate", "d_rate", "i_rate", "b_rate").collect()
+    assert [tuple(r)[:2] for r in out] == [(0.5, 0.5), (0.5, 0.5), (0.5, 0.5), (0.5, 0.5), (1.0, 1.0)]
+    assert all(v is not None for r in out for v in r)
+
+
+def test_few_groups_of_many_values_are_still_merged():
+    """Few groups left by pre-binning are not few values: the special is no
+    cut, and pure bins still go (cuts 1, 2, then 2, then none)."""
+    t = groups([-99.0, 1, 2, 3], [10] * 4, [5, 2, 4, 6], [-99.0])
+    assert B.merge_groups(t, 5, 1) == [-99.0, 1.0, 2.0]
+    assert B.merge_groups(t, 5, 1, prebinned=True) == [1.0, 2.0]
+    pure = groups([-99.0, 1, 2, 3], [10] * 4, [5, 0, 4, 6], [-99.0])
+    assert B.merge_groups(pure, 5, 1, prebinned=True) == []
