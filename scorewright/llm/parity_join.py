@@ -306,5 +306,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
     named = parity_sketch_join(docs, n, percent, id_col, text_col)
     kept = named.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("best"))
     kept = kept.select(F.col("best.rk").alias("_rk")).unionByName(named.where("n_shingles = 0").select(F.col("rk").alias("_rk"))).distinct()
-    keyed = docs.withColumn("_rk", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    return keyed.join(kept, "_rk", "left_semi").select(*docs.columns)
+    keyed = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_rk"), F.struct(*docs.columns).alias("row"))
+    return keyed.join(kept, "_rk", "left_semi").select("row.*")

@@ -5,21 +5,115 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scorewright.llm.kn_quality import judged
+from scorewright.llm.latent_search import leaks
+from scorewright.llm.line_runs import line_runs
+from scorewright.llm.metric_join import metric_join
+from scorewright.llm.mixing import mix_sources
 from scorewright.llm.parity_join import parity_sketch_join
+from scorewright.llm.substring_sa import remove_repeats
+from scorewright.llm.warc import archived
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived and read back."""
+    read = archived(_table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal embeddings of a label at cosine 0.98."""
+    return metric_join(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates by distinct 4-word shingles at 85 percent."""
     return parity_sketch_join(_table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, exact or paraphrased."""
+    found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("common", 6).alias("common"), F.round("answer", 6).alias("answer"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mix of all documents by source weights 1, 2, 3."""
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document."""
+    found = judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "lang", "n_symbols", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "kept")
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated strings of 400 bytes removed."""
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later copies of runs of three lines deleted."""
+    cut = line_runs(_table(spark, sf_dir, "documents"))
+    return cut.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
+    "op3_metric_join": op3_metric_join,
     "op4_parity_join": op4_parity_join,
+    "op6_latent_search": op6_latent_search,
+    "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
+    "op9_substrings": op9_substrings,
+    "op10_line_runs": op10_line_runs,
 }
 
-ORACLES: dict[str, str] = {}
+_OP1 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), g AS (
+    SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p
+)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM g
+"""
+
+_OP10 = r"""
+WITH raw AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents
+), lines AS (
+    SELECT doc_id, line, nr, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS pos
+    FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), runs AS (
+    SELECT doc_id, pos, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), later AS (
+    SELECT doc_id, pos FROM (
+        SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k FROM runs WHERE c IS NOT NULL
+    ) WHERE k > 1
+), dead AS (
+    SELECT DISTINCT doc_id, pos + d AS pos FROM later, (SELECT unnest([0, 1, 2]) AS d)
+), gone AS (
+    SELECT l.doc_id, l.nr, l.pos FROM lines l JOIN dead USING (doc_id, pos)
+), counted AS (
+    SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE fresh) AS n_runs
+    FROM (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 1, true) AS fresh FROM gone) GROUP BY doc_id
+), kept AS (
+    SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.nr) AS text
+    FROM raw r LEFT JOIN gone g ON g.doc_id = r.doc_id AND g.nr = r.nr WHERE g.nr IS NULL GROUP BY r.doc_id
+)
+SELECT d.doc_id, (SELECT count(*) FROM lines l WHERE l.doc_id = d.doc_id) AS n_lines, coalesce(c.n_removed, 0) AS n_removed,
+    coalesce(c.n_runs, 0) AS n_runs, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op10_line_runs": _OP10}

@@ -18,6 +18,8 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are neither letters, digits nor part of a longer character
+NOT_LETTERS = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -96,10 +98,10 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(((sums[end] - sums[start]) * inverse[start]) ^ (np.asarray(end - start).astype(np.uint64) << np.uint64(48)))
 
 
-def words(piece: Piece, lower: bool = True) -> Words:
-    """All words of a piece."""
+def words(piece: Piece, separator: np.ndarray = _SEPARATOR) -> Words:
+    """All words of a piece, between bytes that ``separator`` marks."""
     data, n_rows = piece.data, piece.hi - piece.lo
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     closes = inside.copy()
@@ -112,7 +114,7 @@ def words(piece: Piece, lower: bool = True) -> Words:
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     first = np.searchsorted(start, piece.offsets)
     row = np.repeat(np.arange(n_rows), np.diff(first))
-    sums = prefix_sums(_LOWER[data] if lower else data)
+    sums = prefix_sums(_LOWER[data])
     return Words(start, end, row, span_hash(sums, start, end), first)
 
 
