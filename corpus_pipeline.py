@@ -3,20 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scorewright.llm.kn_quality import drop_rejected
+from scorewright.llm.latent_search import drop_leaks
+from scorewright.llm.line_runs import drop_repeated_runs
+from scorewright.llm.mixing import mix_sources
 from scorewright.llm.parity_join import drop_near_duplicates
 from scorewright.llm.store import written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go."""
+    return drop_rejected(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: later copies of runs of lines are cut from the texts; documents of which no line is left go."""
+    cut = drop_repeated_runs(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near duplicates the smallest id stays."""
     return drop_near_duplicates(docs, n=5, percent=80)
 
 
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: how many words of each document the mix takes."""
+    return mix_sources(docs)
+
+
 STAGES = [
+    ("quality_classifier", quality),
+    ("line_dedup", repeated_lines),
     ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("source_mix", mixed),
 ]
 
+#: No SQL: the models and draws of three stages are beyond it. The stages are tested against brute force.
 ORACLE_SQL = None
 
 

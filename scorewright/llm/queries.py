@@ -11,9 +11,12 @@ from scorewright.llm.kn_quality import judged
 from scorewright.llm.latent_search import leaks
 from scorewright.llm.line_runs import line_runs
 from scorewright.llm.metric_join import metric_join
-from scorewright.llm.mixing import mix_sources
+from scorewright.llm.mixing import WORD, mix_sources
 from scorewright.llm.parity_join import parity_sketch_join
+from scorewright.llm.string_kernel import toxicity
+from scorewright.llm.store import row_key, scratch, written
 from scorewright.llm.substring_sa import remove_repeats
+from scorewright.llm.token_rollups import Rollups, token_counts
 from scorewright.llm.warc import archived
 
 
@@ -27,6 +30,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-equal embeddings of a label at cosine 0.98."""
     return metric_join(_table(spark, sf_dir, "embeddings"))
@@ -37,6 +45,27 @@ def op4_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_sketch_join(_table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after batches: all documents by words, recounted by a byte-level vocabulary, copies deleted; two are sent again."""
+    docs = _table(spark, sf_dir, "documents").withColumn("words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    docs = docs.select("doc_id", "source", "lang", "words", F.xxhash64("text").alias("t1"), F.md5("text").alias("t2"), row_key("doc_id", "text").alias("rk"), "text")
+    counts = written(token_counts(docs), "counts")
+    by_words = [F.lit("words-1").alias("tokenizer"), F.col("words").alias("tokens")]
+    by_ranks = [F.lit("byte-bpe-50k").alias("tokenizer"), F.col("_tokens").alias("tokens")]
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("old_source", "string"), ("old_lang", "string"), ("old_tokenizer", "string"), ("old_tokens", "long"))]
+    old = lambda pair: [F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), pair[0].alias("old_tokenizer"), pair[1].alias("old_tokens")]
+    loaded = counts.select(F.lit("insert").alias("op"), *none, "source", "lang", *by_words)
+    recounted = counts.select(F.lit("revise").alias("op"), *old(by_words), "source", "lang", *by_ranks)
+    first = counts.where("t2 is not null").groupBy("t1", "t2").agg(F.min(F.struct("doc_id", "rk")).alias("first"))
+    copies = counts.join(first, ["t1", "t2"]).where(F.struct("doc_id", "rk") > F.col("first"))
+    deleted = copies.select(F.lit("delete").alias("op"), *old(by_ranks), "source", "lang", *by_ranks)
+
+    rollups = Rollups(spark, scratch(spark, "rollups"))
+    for batch_id, changes in (("load", loaded), ("recount", recounted), ("copies", deleted), ("recount", recounted), ("copies", deleted)):
+        rollups.apply(batch_id, changes)
+    return rollups.totals()
+
+
 def op6_latent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, exact or paraphrased."""
     found = leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -67,8 +96,10 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_string_kernel": op2_string_kernel,
     "op3_metric_join": op3_metric_join,
     "op4_parity_join": op4_parity_join,
+    "op5_token_rollups": op5_token_rollups,
     "op6_latent_search": op6_latent_search,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
