@@ -23,6 +23,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from scorewright.llm.store import written
 
@@ -59,7 +60,7 @@ def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return ranks.join(first, "rank").where(place > F.col("first")).select("rk", "pos")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _without(text: pd.Series, dead: pd.Series) -> pd.Series:
     def cut(t, d):
         if t is None or d is None:

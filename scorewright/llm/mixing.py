@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from scorewright.llm.store import row_key, written
 from scorewright.llm.text import mix as spread
@@ -77,7 +78,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _block_of(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
     slot, blocks = slot.to_numpy(np.int64), blocks.to_numpy(np.int64)
     with np.errstate(over="ignore"):
