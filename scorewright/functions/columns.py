@@ -56,6 +56,24 @@ def merge_values(col: Column, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col), col)
 
 
+def finite(col: Column) -> Column:
+    """NaN counts as missing: comparisons of Spark put it above every number."""
+    return F.nullif(col.cast("double"), F.lit(float("nan")))
+
+
+def key_slot(key: Column, of: int, salt: str) -> Column:
+    """A slot 0..of-1 that follows from the key's text: alike for any key type
+    and partitioning, without regard to patterns in the keys, and different
+    for every salt.  A missing key counts as empty text."""
+    digest = F.md5(F.concat(F.lit(salt + ":"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(of)).cast("int")
+
+
+def text_rank(col: Column) -> Column:
+    """A number below 2**52 that follows from the text."""
+    return F.conv(F.substring(F.md5(col.cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
 def manual_rebin(
     col: Column,
     ranges: Sequence[tuple[str, float | None, float | None]],
@@ -65,6 +83,7 @@ def manual_rebin(
     """Label ``[lo, hi)`` ranges by hand; the special value has its own label
     and is tested first.  ``None`` leaves a side open."""
     label = F.when(col == special, F.lit(special_label))
+    col = finite(col)
     for name, lo, hi in ranges:
         tests = [col >= lo] if lo is not None else []
         tests += [col < hi] if hi is not None else []

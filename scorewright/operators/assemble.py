@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from scorewright.operators.clean import require_key
+from scorewright.operators.ordered import add_ranks
 
-# A key is hot when it alone fills this many rows or more ...
+# A key is hot when it alone fills this many rows or more, and this share of all rows ...
 HOT_ROWS = 1_000_000
-# ... and hot keys are spread over this many join tasks.
-SALTS = 64
+HOT_SHARE = 0.001
+# ... and it is spread over join tasks of about this many rows.
+PIECE_ROWS = 500_000
 _TRACKED = 10_000
-_SMALL_ROWS = 10_000
 
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Column, best) -> DataFrame:
@@ -54,18 +56,43 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
-def hot_key_hashes(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> list[int]:
-    """(job) Hashes of keys with about ``min_rows`` rows or more.
+def common_types(left: DataFrame, right: DataFrame, on: Sequence[str]) -> list[str] | None:
+    """The type in which a join compares each key, or None where it can't be
+    told: equal types, numbers with numbers, dates with timestamps."""
+    both = left.select(*on).union(right.select(*on)).schema if on else []
+    out = []
+    for k, wide in zip(on, both):
+        types = {left.schema[k].dataType, right.schema[k].dataType}
+        alike = len(types) == 1 or all(isinstance(t, NumericType) for t in types)
+        if not alike and not all(isinstance(t, (DateType, TimestampType, TimestampNTZType)) for t in types):
+            return None
+        out.append(wide.dataType.simpleString())
+    return out
+
+
+def _key_hash(on: Sequence[str], types: Sequence[str]) -> Column:
+    """Equal for keys that a join takes as equal, on either side: hashed in
+    the common type, and with one zero."""
+    keys = []
+    for k, t in zip(on, types):
+        value = F.col(k).cast(t)
+        keys.append(value + F.lit(0.0).cast(t) if t in ("float", "double") else value)
+    return F.xxhash64(*keys)
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], types: Sequence[str] | None = None, min_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS
+) -> dict[int, int]:
+    """(job) Hashes of the keys with about ``min_rows`` rows or more that are
+    also a thousandth of all rows, and into how many pieces each is cut.
 
     A frequent-items sketch of fixed size: no shuffle of keys, at most
     a thousand hashes returned.  Only the spreading of work depends on it,
     never the result, so an approximate answer is enough."""
-    top = (
-        require_key(df, *keys)
-        .select(F.xxhash64(*keys).alias("_h"))
-        .agg(F.call_function("approx_top_k", F.col("_h"), F.lit(1000), F.lit(_TRACKED)).alias("t"))
-    )
-    return [item["item"] for item in (top.first()["t"] or []) if item["count"] >= min_rows]
+    hashed = require_key(df, *keys).select(_key_hash(keys, types or [df.schema[k].dataType.simpleString() for k in keys]).alias("_h"))
+    found = hashed.agg(F.count("*").alias("n"), F.call_function("approx_top_k", F.col("_h"), F.lit(1000), F.lit(_TRACKED)).alias("t")).first()
+    least = max(min_rows, HOT_SHARE * found["n"])
+    return {i["item"]: max(2, -(-i["count"] // piece_rows)) for i in (found["t"] or []) if i["count"] >= least}
 
 
 def join_skewed(
@@ -74,25 +101,28 @@ def join_skewed(
     on: Sequence[str],
     how: str = "inner",
     min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """(job) Equi-join that survives hot keys on the left side.
 
-    Rows of hot keys are spread over ``salts`` tasks by a hash of the whole
-    row, and the matching right rows are repeated once per salt; all other
-    keys keep salt 0 and are not repeated.  Left rows without a key match
-    nothing and are spread as well.  Nothing is broadcast by hand."""
+    Rows of a hot key are spread over as many tasks as its row count asks for
+    by a hash of the whole row, and its matching right rows are repeated once
+    per task; all other keys keep salt 0 and are not repeated.  Keys of
+    different types are compared as the plain join compares them; where the
+    common type can't be told, the plain join is used.  Left rows without a
+    key match nothing and are spread as well.  Nothing is broadcast by hand."""
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(how)
-    hot = hot_key_hashes(left, on, min_rows)
+    types = common_types(left, right, on)
+    hot = hot_keys(left, on, types, min_rows, piece_rows) if types else {}
     if not hot:
         return left.join(right, list(on), how)
-    key_hash = F.xxhash64(*on)
+    table = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
+    pieces = F.coalesce(F.try_element_at(table, _key_hash(on, types)), F.lit(1))
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    salted = left.withColumn("_salt", F.when(no_key | key_hash.isin(hot), spread).otherwise(0))
-    copies = F.when(key_hash.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(copies))
+    row = F.xxhash64(*left.columns)
+    salted = left.withColumn("_salt", F.when(no_key, F.pmod(row, F.lit(64))).otherwise(F.pmod(row, pieces)).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
@@ -133,10 +163,22 @@ def enrich(
     return join_skewed(left, first_record(right, on, order), on, "left", **skew)
 
 
-def join_chain(tables: Sequence[DataFrame], key: str) -> DataFrame:
-    """Inner joins of many tables on one key.  Each table holds one row per
-    key, so one hash partitioning serves the whole chain."""
-    return reduce(lambda a, b: a.join(b, key, "inner"), [require_key(t, key) for t in tables])
+def join_chain(tables: Sequence[DataFrame], key: str, checked: bool = True) -> DataFrame:
+    """(job) Inner joins of many tables on one key.  Each table must hold one
+    row per key, so one hash partitioning serves the whole chain; a table that
+    repeats a key is an error, as it would multiply rows without notice."""
+    tables = [require_key(t, key) for t in tables]
+    for i, t in enumerate(tables if checked else []):
+        if not t.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"table {i} of the chain repeats a {key}")
+    return reduce(lambda a, b: a.join(b, key, "inner"), tables)
+
+
+def attach_to_names(spark: SparkSession, names: Sequence[str], attributes: DataFrame, name_col: str = "var_name") -> DataFrame:
+    """Attributes of an ordered list of names: ``(position, var_name, ...)``.
+    Names without attributes stay, with nulls; repeats stay as well."""
+    listed = spark.createDataFrame(list(enumerate(names)), f"position int, {name_col} string")
+    return listed.join(attributes, name_col, "left").select("position", name_col, *[c for c in attributes.columns if c != name_col])
 
 
 def keep_listed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -148,11 +190,15 @@ def keep_listed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 def band_join(df: DataFrame, score: str, bands: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """(job) Attach the band with ``lo <= score < hi``; open ends are null.
 
-    Band tables are small, and their size is checked: up to ten thousand
-    bands are broadcast, beyond that the choice is left to the optimizer."""
-    if len(bands.limit(_SMALL_ROWS + 1).collect()) <= _SMALL_ROWS:
-        bands = F.broadcast(bands)
-    s = F.col(score)
-    above = F.col(lo).isNull() | (s >= F.col(lo))
-    below = F.col(hi).isNull() | (s < F.col(hi))
-    return df.join(bands, s.isNotNull() & above & below, "inner")
+    Bands are disjoint, so a score lies in at most one: their edges order all
+    scores, and every row gets the number of its place among the edges, which
+    are constants of the plan, and joins the band on that number.  Rows without a band,
+    without a score or with NaN go."""
+    rows = bands.select(F.explode(F.array(F.col(lo).cast("double"), F.col(hi).cast("double"))).alias("e")).where("e is not null").distinct().collect()
+    edges = sorted(r["e"] for r in rows)
+    numbered = add_ranks(df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))), {score: edges}, "_slot")
+    ranked = add_ranks(bands, {lo: edges, hi: edges}, "_rank")
+    slots = F.sequence(F.coalesce(lo + "_rank", F.lit(0)), F.coalesce(F.col(hi + "_rank") - 1, F.lit(len(edges))))
+    real = F.coalesce(F.col(lo) < F.col(hi), F.lit(True))
+    listed = ranked.where(real).withColumn(score + "_slot", F.explode(slots)).drop(lo + "_rank", hi + "_rank")
+    return numbered.join(listed, score + "_slot").drop(score + "_slot")

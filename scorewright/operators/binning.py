@@ -180,7 +180,8 @@ def _chi_groups(
     """The group table, and the columns that were cut."""
     spread = spread_of(df, cols, special)
     known = few_valued(df, cols, prebins + len(special), spread)
-    few = [c for c in cols if c in known and known[c] - _present(spread[c], special) <= prebins]
+    held = _special_levels(df, [c for c in cols if c in known], special, spread)
+    few = [c for c in held if known[c] - held[c] <= prebins]
     many = [c for c in cols if c not in few]
     labelled = df.where(F.col(y).isNotNull())
     is_special = F.col("value").isin(*map(float, special)) if special else F.lit(False)
@@ -202,10 +203,13 @@ def _chi_groups(
     return reduce(DataFrame.unionByName, parts), many
 
 
-def _present(spread, special: Sequence[float]) -> int:
-    # With one special value its presence is known; with several, all that
-    # may be present are allowed for and the groups are simply pre-binned.
-    return min(len(special), 1) if spread.n_special else 0
+def _special_levels(df: DataFrame, cols: Sequence[str], special: Sequence[float], spread) -> dict[str, int]:
+    """(job) How many of the special values each column holds."""
+    if len(special) < 2:
+        return {c: int(bool(special) and spread[c].n_special > 0) for c in cols}
+    x = {c: F.col(c).cast("double") for c in cols}
+    seen = df.agg(*[F.count_distinct(F.when(x[c].isin(*map(float, special)), x[c])).alias(c) for c in cols]).first()
+    return seen.asDict()
 
 
 def _chi(total: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.functions.columns import merge_values, parse_number
+from scorewright.functions.columns import finite, merge_values, parse_number
 
 # Cells the usual text readers take as missing.
 READER_NULLS = (
@@ -102,12 +102,17 @@ def sentinel_to_null(
     return df.select(*[fixed(f) for f in df.schema])
 
 
-def null_to_sentinel(df: DataFrame, num: float = SPECIAL, text: str = SPECIAL_TEXT) -> DataFrame:
+def null_to_sentinel(
+    df: DataFrame, num: float = SPECIAL, text: str = SPECIAL_TEXT, exclude: Iterable[str] = ()
+) -> DataFrame:
     """Fill numbers with the numeric and text with the text sentinel; booleans
-    count as numbers."""
+    count as numbers.  Excluded columns, such as keys, stay as they are."""
+    skip = set(exclude)
 
     def fixed(f: T.StructField) -> Column:
         c = F.col(f.name)
+        if f.name in skip:
+            return c
         if isinstance(f.dataType, T.BooleanType):
             c = c.cast("int").cast("double")
         if _is_number(f) or isinstance(f.dataType, T.BooleanType):
@@ -199,6 +204,10 @@ def scorecard_apply(
         row = r.asDict() if hasattr(r, "asDict") else dict(r)
         by_var.setdefault(row["var_name"], []).append(row)
     wanted = list(cols) if cols is not None else list(by_var)
+
+    def value(v: str) -> Column:
+        return finite(F.col(v)) if isinstance(df.schema[v].dataType, (T.FloatType, T.DoubleType)) else F.col(v)
+
     return df.withColumns(
-        {v + suffix: scorecard_column(F.col(v), by_var[v]) for v in wanted if v in by_var and v in df.columns}
+        {v + suffix: scorecard_column(value(v), by_var[v]) for v in wanted if v in by_var and v in df.columns}
     )

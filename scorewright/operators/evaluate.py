@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from scorewright.functions.columns import text_rank
 from scorewright.operators.assemble import require_key
 from scorewright.operators.ordered import (
     BUCKETS,
@@ -85,11 +87,11 @@ def _good_upto() -> Column:
 
 
 def ks_auc_from(running: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``ks_abs``, ``ks`` and ``auc`` of every group from running counts.
+    """``ks_abs``, ``ks`` and plain ``auc`` of every group from running counts.
 
     ``ks_abs`` is the greatest absolute gap of the cumulative shares; ``ks``
     the greatest tpr - fpr from the high side, at least 0; ``auc`` the exact
-    trapezoid area, flipped when below one half.  A group without bads or
+    trapezoid area, below one half where the score points the wrong way.  A group without bads or
     goods has none of them."""
     good = F.col("total") - F.col("bad")
     gap = _share(F.col("cum_bad"), F.col("all_bad")) - _share(_good_upto(), _all_good())
@@ -107,9 +109,7 @@ def ks_auc_from(running: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.col("_wins"), F.col("bad").cast("double") * (F.col("total") - F.col("bad")).cast("double")
     )
     ks = F.when(F.col("_ks").isNotNull(), F.greatest(F.col("_ks"), F.lit(0.0)))
-    return out.select(
-        *by, "ks_abs", ks.alias("ks"), F.when(area < 0.5, 1 - area).otherwise(area).alias("auc"), "total", "bad"
-    )
+    return out.select(*by, "ks_abs", ks.alias("ks"), area.alias("auc"), "total", "bad")
 
 
 def ks_auc(
@@ -125,8 +125,10 @@ def ks(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def auc(df: DataFrame, score: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """(job) Area under the ROC curve."""
-    return ks_auc(df, score, y, by).select(*by, "auc")
+    """(job) Area under the ROC curve whichever way the score points: an area
+    below one half is flipped.  For the plain one see :func:`ks_auc`."""
+    area = F.col("auc")
+    return ks_auc(df, score, y, by).select(*by, F.when(area < 0.5, 1 - area).otherwise(area).alias("auc"))
 
 
 def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -199,7 +201,10 @@ def _rank_slices(rows: DataFrame, spread, interior: Sequence[int]) -> DataFrame:
 
 
 def _tied(df: DataFrame, score: str, y: str, tie: str) -> DataFrame:
-    return _scored(df.withColumn("tie", F.col(tie)), score, y, "tie")
+    """Scored rows with a numeric tie key; text is ranked by its digest, which
+    is as good an arbitrary order as its spelling."""
+    text = isinstance(df.schema[tie].dataType, StringType)
+    return _scored(df.withColumn("tie", text_rank(F.col(tie)) if text else F.col(tie)), score, y, "tie")
 
 
 def rank_slice_pr(df: DataFrame, score: str, y: str, low: int, high: int, tie: str) -> DataFrame:

@@ -67,14 +67,26 @@ def gram(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame
 
 
 def corr_pairs(df: DataFrame, cols: Sequence[str], min_abs: float = 0.7) -> DataFrame:
-    """Pearson correlation of column pairs, earlier column first, where its
-    absolute value exceeds the limit.  Constant columns correlate with
-    nothing."""
+    """(job) Pearson correlation of column pairs, earlier column first, where
+    its absolute value exceeds the limit.  Constant columns correlate with
+    nothing.
+
+    A first pass takes the mean and range of every column; the sums are those
+    of the differences from the mean, so that large means cost no digits."""
+    all_cols = list(cols)
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in cols]
+    facts = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values) for f, n in ((F.avg, "m"), (F.min, "lo"), (F.max, "hi"))]).first() if cols else None
+    cols = [c for i, c in enumerate(cols) if facts[f"lo{i}"] is not None and facts[f"lo{i}"] < facts[f"hi{i}"]]
+    mean = {c: facts[f"m{i}"] for i, c in enumerate(all_cols)}
+    df = df.select(*[(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) - F.lit(mean[c])).alias(c) for c in cols])
+    if len(cols) < 2:
+        return df.sparkSession.createDataFrame([], "var_name1 string, var_name2 string, corref double")
     names = F.array(*[F.lit(c) for c in cols])
     vi = F.col("n") * F.col("sii") - F.col("si") * F.col("si")
     vj = F.col("n") * F.col("sjj") - F.col("sj") * F.col("sj")
     cov = F.col("n") * F.col("sij") - F.col("si") * F.col("sj")
-    varies = (vi > F.col("n") * F.col("sii") * 1e-12) & (vj > F.col("n") * F.col("sjj") * 1e-12)
+    # constant among the rows of a pair: what rounding leaves of the difference
+    varies = (vi > F.col("n") * F.col("sii") * 1e-14) & (vj > F.col("n") * F.col("sjj") * 1e-14)
     pairs = gram(df, cols).where(F.col("i") < F.col("j")).select(
         F.get(names, F.col("i")).alias("var_name1"),
         F.get(names, F.col("j")).alias("var_name2"),

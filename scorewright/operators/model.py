@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.columns import logistic
+from scorewright.functions.columns import key_slot, logistic
 from scorewright.sources.tables import materialise
 
 
@@ -17,9 +17,10 @@ _ROWS_PER_TASK = 100_000
 
 
 def split_by_key(df: DataFrame, key: str, low: int = 7, of: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by key remainder: repeatable under any
-    partitioning, which a random split is not."""
-    slot = F.pmod(F.col(key), F.lit(of))
+    """Train and test rows by a salted hash of the key: repeatable under any
+    partitioning, which a random split is not, and blind to patterns in the
+    keys, which a remainder is not."""
+    slot = key_slot(F.col(key), of, "split")
     return df.where(slot < low), df.where(slot >= low)
 
 
@@ -32,11 +33,21 @@ def patterns(df: DataFrame, cols: Sequence[str], y: str, *keep: str) -> DataFram
     once to reliable storage."""
     columns = [F.col(c).cast("double").alias(c) for c in cols]
     rows = df.dropna(subset=[*cols, y]).select(*keep, *columns, F.col(y).cast("double").alias("y"))
+    require_finite(rows, cols)
     counts = materialise(rows.groupBy(*keep, *cols, "y").agg(F.count("*").cast("double").alias("w")))
     # Iterative fits pay per task, so few patterns go into few partitions.
     return counts.coalesce(counts.count() // _ROWS_PER_TASK + 1)
 
 
+def require_finite(df: DataFrame, cols: Sequence[str]) -> None:
+    """(job) An error that names the variables with infinite or NaN cells, as
+    the encoding of bins without bads or goods gives them."""
+    unfit = [F.max(F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c) for c in cols]
+    named = [c for c, bad in (df.agg(*unfit).first().asDict().items() if unfit else ()) if bad]
+    if named:
+        raise ValueError(f"infinite or undefined values in {', '.join(named)}: merge their bins without bads or goods first")
+
+
 def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.operators.assemble import union_all
@@ -18,10 +18,8 @@ def stability_table(df: DataFrame, cols: Sequence[str], period: str, y: str) ->
     Combinations without rows do not appear."""
     rows = df.where(F.col(period).isNotNull()).withColumn("period", F.col(period))
     cells = count_levels(rows, cols, y, [F.count("*").alias("n"), F.avg(y).alias("bad_rate")], ["period"])
-    totals = cells.groupBy("var_name", "period").agg(F.sum("n").alias("_n"))
-    return cells.join(totals, ["var_name", "period"]).select(
-        "var_name", "period", "bin", "n", (F.col("n") / F.col("_n")).alias("share"), "bad_rate"
-    )
+    whole = F.sum("n").over(Window.partitionBy("var_name", "period"))  # one row per bin
+    return cells.select("var_name", "period", "bin", "n", (F.col("n") / whole).alias("share"), "bad_rate")
 
 
 def period_target_cube(df: DataFrame, period: str, y: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.functions.columns import double_array, rank_in
+from scorewright.functions.columns import double_array, finite, rank_in
 
 # Buckets per variable: at least, and at most; in between the number of
 # shuffle partitions, so that every task of a large cluster gets a bucket.
@@ -185,15 +185,15 @@ def add_ranks(
 
     ``closed='left'`` counts edges <= x (bins ``[lo, hi)``), ``'right'``
     counts edges < x (bins ``(lo, hi]``).  The search is a binary one inside
-    the JVM; missing values stay null."""
+    the JVM; missing values, NaN among them, stay null."""
     splits = {}
     for c, values in edges.items():
-        finite = np.unique([v for v in values if np.isfinite(v)])
+        inner = np.unique([v for v in values if np.isfinite(v)])
         if closed == "right":
-            finite = np.nextafter(finite, np.inf)
-        splits[c] = [-np.inf, *finite.tolist(), np.inf]
+            inner = np.nextafter(inner, np.inf)
+        splits[c] = [-np.inf, *inner.tolist(), np.inf]
     searched = [c for c in splits if len(splits[c]) > 2]
-    out = df.withColumns({f"_x{suffix}{c}": F.col(c).cast("double") for c in searched})
+    out = df.withColumns({f"_x{suffix}{c}": finite(F.col(c)) for c in searched})
     if searched:
         out = Bucketizer(
             splitsArray=[splits[c] for c in searched],
@@ -202,7 +202,7 @@ def add_ranks(
             handleInvalid="keep",
         ).transform(out)
     ranks = {
-        c + suffix: F.col(c + suffix).cast("int") if c in searched else F.when(F.col(c).isNotNull(), F.lit(0))
+        c + suffix: F.col(c + suffix).cast("int") if c in searched else F.when(finite(F.col(c)).isNotNull(), F.lit(0))
         for c in splits
     }
     return out.withColumns(ranks).drop(*[f"_x{suffix}{c}" for c in searched])

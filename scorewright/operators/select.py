@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -13,7 +14,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.columns import double_array
+from scorewright.functions.columns import double_array, key_slot
 from scorewright.operators.evaluate import ks_auc
 from scorewright.operators.linear import gram
 from scorewright.operators.model import assemble, logistic_estimator, patterns
@@ -34,7 +35,12 @@ def rf_importance(df: DataFrame, cols: Sequence[str], y: str, trees: int = 10, s
 
 
 def _with_fold(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("_fold", F.pmod(F.col(key), F.lit(FOLDS)).cast("int"))
+    return df.withColumn("_fold", key_slot(F.col(key), FOLDS, "fold"))
+
+
+def fold_counts(df: DataFrame, key: str, y: str) -> DataFrame:
+    """Rows and bads of every fold."""
+    return _with_fold(df, key).groupBy(F.col("_fold").alias("fold")).agg(F.count("*").alias("n"), F.sum(y).alias("bad"))
 
 
 def cv_backward(df: DataFrame, cols: Sequence[str], y: str, key: str, parallelism: int = 8) -> DataFrame:
@@ -105,6 +111,8 @@ def _lasso(g: np.ndarray, r: np.ndarray, alphas: np.ndarray, sweeps: int = 1000,
                 w[:, j] = np.sign(z) * np.maximum(np.abs(z) - alpha, 0.0) / diag[:, j]
             if np.abs(w - old).max() <= tol * max(1.0, np.abs(w).max()):
                 break
+        else:
+            warnings.warn(f"lasso at penalty {alpha:g} has not settled after {sweeps} sweeps", stacklevel=2)
         path.append(w.copy())
     return np.array(path)
 

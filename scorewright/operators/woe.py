@@ -34,9 +34,13 @@ def bin_bad_rate(counts: DataFrame, overall: bool = False) -> DataFrame:
 
 
 def _with_totals(counts: DataFrame) -> DataFrame:
-    """Totals per variable joined back: one row per variable is broadcast."""
-    totals = counts.groupBy("var_name").agg(F.sum("total").alias("_n"), F.sum("bad").alias("_b"))
-    return counts.join(F.broadcast(totals), "var_name")
+    """Totals per variable beside each bin.
+
+    A window over the bin table: it holds one row per bin, so the source is
+    scanned once, where a join of the table with totals of itself would scan
+    it twice.  A variable with very many values spills to disk."""
+    whole = Window.partitionBy("var_name")
+    return counts.withColumns({"_n": F.sum("total").over(whole), "_b": F.sum("bad").over(whole)})
 
 
 def log_ratio(a: Column, b: Column) -> Column:
@@ -63,26 +67,15 @@ def woe_table(counts: DataFrame) -> DataFrame:
     ).drop("_n", "_b")
     rows = rows.withColumn("_log", log_ratio(F.col("bad_pcnt"), F.col("good_pcnt")))
     part = (F.col("bad_pcnt") - F.col("good_pcnt")) * F.col("_log")
-    per_var = (
-        rows.groupBy("var_name")
-        .agg(
-            F.sum(part).alias("iv"),
-            F.count("*").alias("groups"),
-            F.bool_or((F.col("bad") == 0) | (F.col("good") == 0)).alias("_zero"),
-        )
-        .select(
-            "var_name",
-            "iv",
-            "groups",
-            F.when(F.col("groups") < 2, "single_group")
-            .when(F.col("_zero"), "zero_cell")
-            .otherwise("ok")
-            .alias("status"),
-        )
-    )
+    whole = Window.partitionBy("var_name")
+    zero = F.bool_or((F.col("bad") == 0) | (F.col("good") == 0)).over(whole)
+    rows = rows.withColumns({"iv": F.sum(part).over(whole), "groups": F.count("*").over(whole), "_zero": zero})
+    status = F.when(F.col("groups") < 2, "single_group").when(F.col("_zero"), "zero_cell").otherwise("ok")
     inf = F.lit(float("inf"))
     woe = F.when(F.abs("_log") == inf, F.col("_log")).otherwise(F.round("_log", 4))
-    return rows.withColumn("woe", woe).drop("_log").join(F.broadcast(per_var), "var_name")
+    rows = rows.withColumns({"woe": woe, "status": status})
+    first = ["var_name", *[c for c in counts.columns if c != "var_name"], "good", "bad_rate", "bad_pcnt", "good_pcnt"]
+    return rows.select(*first, "woe", "iv", "groups", "status")
 
 
 def woe_iv(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:

@@ -180,12 +180,12 @@ from (select band, max(score) as mx, min(score) as mn, count(*) as customers, ca
 window u as (order by band rows unbounded preceding)"""
 
 
-def rank_bands(source: str, part: int, name: str) -> str:
+def rank_bands(source: str, part: int, name: str, tie: str = "o_orderkey") -> str:
     """CTE: rows in equal rank bands, best first."""
     return f"""{name} as (
   select score, y, 1 + (select count(*) from range(1, {part}) i(i)
                         where round_even(i.i * (n / {part}.0), 0) <= pos) as band
-  from (select score, y, row_number() over (order by score desc, o_orderkey) - 1 as pos,
+  from (select score, y, row_number() over (order by score desc, {tie}) - 1 as pos,
                cast(count(*) over () as double) as n from {source}))"""
 
 
@@ -196,9 +196,16 @@ FIXED = """fixed as (
   select score, y, 1 + (select count(*) from (select distinct m from mins) q where q.m > t.score) as band
   from test t)"""
 
+def slot(key: str, salt: str = "split") -> str:
+    """Slot 0..9 of a key under a salt."""
+    return f"(('0x' || substr(md5('{salt}:' || cast({key} as varchar)), 1, 8))::bigint % 10)"
+
+
+TEXT_KEY = "'K' || lpad(cast(o_orderkey as varchar), 12, '0')"
+
 HALVES = """
-train as (select * from score where o_orderkey % 10 < 7),
-test as (select * from score where o_orderkey % 10 >= 7)"""
+train as (select * from score where """ + slot("o_orderkey") + """ < 7),
+test as (select * from score where """ + slot("o_orderkey") + """ >= 7)"""
 
 
 def score_bands(source: str, name: str = "bands") -> str:
@@ -304,12 +311,12 @@ add("days_between",
     "select event_id, cast(floor(epoch(timestamp '2024-01-15 12:00:00' - t) / 86400) as bigint) as days_since,"
     " cast(floor(epoch(t - timestamp '2024-01-15 12:00:00') / 86400) as bigint) as days_until from kept")
 add("category_merge",
-    "select case when l_returnflag in ('A', 'R') then 'A&R' else l_returnflag end as l_returnflag,"
-    " case when l_linenumber in (1, 2) then '1&2' when l_linenumber in (6, 7) then '6&7'"
+    "select case when l_returnflag in ('A', 'R') then 'closed' else l_returnflag end as l_returnflag,"
+    " case when l_linenumber in (1, 2) then 'first lines' when l_linenumber in (6, 7) then 'last lines'"
     " else cast(l_linenumber as varchar) end as code, count(*) as n from lineitem group by all")
 add("manual_rebin", APP,
-    "select case when acct_s = -99 or acct_s >= 3000 then 'NA&[3000,inf)' when acct_s >= 0 then '[0,3000)'"
-    " else '(-inf,0)' end as label, count(*) as n, cast(sum(y) as bigint) as bad from app group by 1")
+    "select case when acct_s = -99 or acct_s >= 3000 then 'rich or unknown' when acct_s >= 0 then 'middle'"
+    " else 'debt' end as label, count(*) as n, cast(sum(y) as bigint) as bad from app group by 1")
 add("scorecard_lookup", APP, long("app", APP_BINS, keep=", y"), cuts("4", where="value <> -99"), bins("left"),
     woe("bins", "woe", "bin_no"),
     "regions as (select 'n_regionkey' as var_name, n_regionkey as value, y from app)",
@@ -475,9 +482,48 @@ add("auc", SCORE, curve("score"), f"select round({AUC}, 6) as auc from curve")
 add("roc_points", SCORE, curve("score"),
     "select round(score, 6) as threshold, round(1 - (ct - cb - (total - bad)) / (n - b), 6) as fpr,"
     " round(1 - (cb - bad) / b, 6) as tpr from curve union all select null, 0.0, 0.0")
-add("monthly_ks_auc", SCORE, curve("score", "month"),
-    f"select month as period, round({KS}, 6) as ks, round({AUC}, 6) as auc, cast(any_value(n) as bigint) as total,"
+MONTHLY = (
+    f"select month as period, round({KS}, 6) as ks, round({AREA}, 6) as auc, cast(any_value(n) as bigint) as total,"
     " cast(any_value(b) as bigint) as bad from curve group by month")
+add("monthly_ks_auc", SCORE,
+    "turned as (select * replace (case when substr(month, 6, 2) = '03' then 1 - score else score end as score) from score)",
+    curve("turned", "month"), MONTHLY)
+add("stacked_monthly", SCORE, "some as (select * from score where month <> '1995-12')", curve("some", "month"), MONTHLY)
+COARSE = f"coarse as (select {TEXT_KEY} as key, y, floor(score * 100) / 100 as score from score)"
+DIGEST = "('0x' || substr(md5(key), 1, 13))::bigint"
+add("rank_slice_text_tie", SCORE, COARSE,
+    f"ranked as (select y, row_number() over (order by score desc, {DIGEST}) - 1 as pos from coarse)",
+    "select round(sum(case when pos >= 10 and pos < 400 then y else 0 end) / sum(y), 6) as recall,"
+    " round(sum(case when pos >= 10 and pos < 400 then y else 0 end) / 390.0, 6) as precision from ranked")
+add("gains_text_tie", SCORE, COARSE, rank_bands("coarse", 20, "ranked", DIGEST), gains("ranked"))
+add("skewed_mixed_keys",
+    "select s_nationkey, count(*) as n, cast(sum(l_quantity) as double) as quantity from lineitem join supplier"
+    " on l_suppkey = s_suppkey group by s_nationkey")
+add("band_join",
+    "select case when l_extendedprice < 900 then 'low' when l_extendedprice < 30000 then 'middle' else 'high' end as band,"
+    " count(*) as n from lineitem group by 1")
+add("bin_labels", APP,
+    "base as (select 'acct_s' as var_name, acct_s as value from app where acct_s <> -99)",
+    cuts("4", "base"),
+    "edges as (select cut, row_number() over (order by cut) as i, count(*) over () as m from cuts)",
+    "numbered as (select acct_s, case when acct_s <> -99 then (select count(*) from cuts c where c.cut <= acct_s) end as k from app)",
+    "select case when k is null then 'b-1NA' when k = 0 then 'b0[-inf, ' || cast(floor(hi.cut) as bigint) || ')'"
+    " when k = lo.m then 'b' || (k + 1) || '[' || cast(floor(lo.cut) as bigint) || ',inf)'"
+    " else 'b' || k || '[' || cast(floor(lo.cut) as bigint) || ',' || cast(floor(hi.cut) as bigint) || ')' end as label,"
+    " count(*) as n from numbered left join edges lo on lo.i = k left join edges hi on hi.i = k + 1 group by 1")
+add("label_domain", APP,
+    "select cast(case when o_orderkey % 9 = 0 then 0 else y end as int) as y, count(*) as n from app"
+    " where o_orderkey % 9 = 0 or o_orderkey % 13 <> 0 group by 1")
+add("prune_columns", EVT,
+    "select 'event_id' as var_name, count(event_id) as filled from evt union all select 'value', count(value) from evt"
+    " union all select 'single', count(*) from evt")
+add("fold_counts", SCORE,
+    f"keyed as (select *, {TEXT_KEY} as key from score)",
+    f"select cast({slot('key', 'fold')} as int) as fold, count(*) as n, cast(sum(y) as bigint) as bad from keyed"
+    f" where {slot('key')} < 7 group by 1")
+add("corr_pairs_large_mean", APP,
+    "rel as (select o_totalprice / 1000 + 1.7e9 - 1.7e9 as a, o_totalprice / 900 + c_acctbal / 1e6 + 1.7e9 - 1.7e9 as b from app)",
+    "select 'a' as var_name1, 'b' as var_name2, round(corr(a, b), 4) as corref from rel")
 add("rank_slice_pr", SCORE,
     "ranked as (select y, row_number() over (order by score desc, o_orderkey) - 1 as pos from score)",
     "select round(sum(case when pos >= 10 and pos < 400 then y else 0 end) / sum(y), 6) as recall,"
@@ -488,7 +534,7 @@ add("gains_table", SCORE,
 add("gains_fixed", SCORE, HALVES, rank_bands("train", 10, "ranked"), MINS, FIXED, gains("fixed"))
 add("evaluate_sample", SCORE, HALVES, rank_bands("train", 10, "ranked"), MINS, FIXED, curve("test"),
     "bands as (" + gains("fixed") + ")",
-    f"stats as (select round({KS}, 6) as sample_ks, round({AUC}, 6) as sample_auc from curve)",
+    f"stats as (select round({KS}, 6) as sample_ks, round({AREA}, 6) as sample_auc from curve)",
     "select * from bands, stats")
 add("score_bands", SCORE, score_bands("score"),
     "sized as (select *, sum(customers) over () as n from bands)", band_columns("sized", "n", 6))
@@ -531,8 +577,9 @@ add("vif",
     "select 'l_quantity' as var_name, round(f, 6) as vif from factor"
     " union all select 'l_extendedprice', round(f, 6) from factor")
 add("split_70_30", SCORE,
-    "select case when o_orderkey % 10 < 7 then 'train' else 'test' end as part, count(*) as n,"
-    " cast(sum(y) as bigint) as bad from score group by 1")
+    f"keyed as (select *, {TEXT_KEY} as key from score)",
+    f"select case when {slot('key')} < 7 then 'train' else 'test' end as part, count(*) as n,"
+    " cast(sum(y) as bigint) as bad from keyed group by 1")
 add("score_batch", *encoded(),
     "select o_orderkey, round(1 / (1 + exp(-(-0.1 + "
     + " + ".join(f"{w} * {c}_woe" for c, w in zip(ENCODED, (1.0, 0.5, 0.25, -0.5, 2.0)))

@@ -44,7 +44,8 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 @query
 def delimited_roundtrip(spark, d):
     path = io.scratch_path(spark, "customer-text")
-    io.write_delimited(fr.table(spark, d, "customer"), path)
+    customer = fr.table(spark, d, "customer")
+    io.write_delimited(customer.select(*reversed(customer.columns)), path)  # found by name, not by place
     schema = "c_custkey string, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
     return P.require_key(io.read_delimited(spark, path, schema), "c_custkey")
 
@@ -162,15 +163,15 @@ def category_merge(spark, d):
     df = fr.table(spark, d, "lineitem").select(
         "l_returnflag", C.code_text(F.col("l_linenumber").cast("double")).alias("code")
     )
-    maps = {"code": {"1": "1&2", "2": "1&2", "7": "6&7", "6": "6&7"}, "l_returnflag": {"A": "A&R", "R": "A&R"}}
+    maps = {"code": {"1": "first lines", "2": "first lines", "7": "last lines", "6": "last lines"}, "l_returnflag": {"A": "closed", "R": "closed"}}
     return P.merge_categories(df, maps).groupBy("l_returnflag", "code").agg(F.count("*").alias("n"))
 
 
 @query
 def manual_rebin(spark, d):
     label = C.manual_rebin(
-        F.col("acct_s"), [("[0,3000)", 0, 3000), ("(-inf,0)", None, 0), ("NA&[3000,inf)", 3000, None)],
-        P.SPECIAL, "NA&[3000,inf)",
+        F.col("acct_s"), [("middle", 0, 3000), ("debt", None, 0), ("rich or unknown", 3000, None)],
+        P.SPECIAL, "rich or unknown",
     )
     return fr.app(spark, d).groupBy(label.alias("label")).agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
 
@@ -417,7 +418,23 @@ def roc_points(spark, d):
 
 @query
 def monthly_ks_auc(spark, d):
-    return r6(O.monthly_ks_auc(fr.score(spark, d), "month", "score", "y"))
+    march = F.substring("month", 6, 2) == "03"  # a month in which the score points the wrong way
+    scored = fr.score(spark, d).withColumn("score", F.when(march, 1 - F.col("score")).otherwise(F.col("score")))
+    return r6(O.monthly_ks_auc(scored, "month", "score", "y"))
+
+
+@query
+def stacked_monthly(spark, d):
+    """Development and later sample together, one month left out."""
+    scored = fr.score(spark, d)
+    stacked = O.stack_samples(
+        scored.where("month < '1996-01'"), scored.where("month >= '1996-01'").drop("c_mktsegment"), period="month", drop=["1995-12"]
+    )
+    return r6(O.monthly_ks_auc(stacked, "month", "score", "y"))
+
+
+def _text_key():
+    return F.concat(F.lit("K"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
 
 
 @query
@@ -425,6 +442,19 @@ def rank_slice_pr(spark, d):
     return r6(E.rank_slice_pr(fr.score(spark, d), "score", "y", 10, 400, "o_orderkey"))
 
 
+@query
+def rank_slice_text_tie(spark, d):
+    """Ties broken by a text key."""
+    coarse = fr.score(spark, d).withColumns({"score": F.floor(F.col("score") * 100) / 100, "key": _text_key()})
+    return r6(E.rank_slice_pr(coarse, "score", "y", 10, 400, "key"))
+
+
+@query
+def gains_text_tie(spark, d):
+    coarse = fr.score(spark, d).withColumns({"score": F.floor(F.col("score") * 100) / 100, "key": _text_key()})
+    return r6(E.gains_table(coarse, "score", "y", 20, "key"))
+
+
 @query
 def gains_table(spark, d):
     coarse = fr.score(spark, d).withColumn("score", F.floor(F.col("score") * 100) / 100)
@@ -485,6 +515,58 @@ def month_target_cube(spark, d):
     return O.period_target_cube(fr.app(spark, d), "month", "y")
 
 
+@query
+def skewed_mixed_keys(spark, d):
+    """Hot keys of one type joined with keys of another."""
+    left = fr.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("int").alias("k"), "l_quantity")
+    right = fr.table(spark, d, "supplier").select(F.col("s_suppkey").cast("decimal(20,0)").alias("k"), "s_nationkey")
+    joined = A.join_skewed(left, right, ["k"], min_rows=1, piece_rows=50)
+    return joined.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
+
+
+@query
+def band_join(spark, d):
+    """Scores placed into open-ended bands of a table."""
+    bands = spark.createDataFrame([("low", None, 900.0), ("middle", 900.0, 30000.0), ("high", 30000.0, None)], "band string, lo double, hi double")
+    joined = A.band_join(fr.table(spark, d, "lineitem"), "l_extendedprice", bands)
+    return joined.groupBy("band").agg(F.count("*").alias("n"))
+
+
+@query
+def label_domain(spark, d):
+    """Rows whose target is 0 or 1, and missing targets as good."""
+    raw = fr.app(spark, d).withColumn("y", F.when(F.col("o_orderkey") % 9 == 0, None).when(F.col("o_orderkey") % 13 == 0, 2).otherwise(F.col("y")))
+    kept = P.keep_labels(P.fill_label(raw, "y"), "y")
+    return kept.groupBy("y").agg(F.count("*").alias("n"))
+
+
+@query
+def prune_columns(spark, d):
+    """Long form of what is left of the events when nearly empty columns go."""
+    df = Q.prune_null_columns(fr.evt(spark, d).select("event_id", "value", "rare", "single"), 0.95)
+    return df.select([F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "var_name", "filled")
+
+
+@query
+def bin_labels(spark, d):
+    """Display text of bins, specials counted."""
+    df = fr.app(spark, d)
+    cuts = B.equal_freq_cuts(df, ["acct_s"], 4, special=[P.SPECIAL])
+    binned = B.assign_bins(df, cuts, special=[P.SPECIAL])
+    edges = F.array(*[F.lit(int(c // 1)) for c in cuts.where("var_name = 'acct_s'").first()["cuts"]])
+    label = B.bin_label(F.col("acct_s_Bin"), edges, specials=1)
+    return binned.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query
+def name_list_attributes(spark, d):
+    """Attributes attached to an ordered list of names, order and repeats kept."""
+    names = ["n_regionkey", "acct_s_Bin", "unknown", "o_totalprice_Bin", "acct_s_Bin"]
+    bins = fr.binned_app(spark, d)
+    iv = W.iv_screen(W.category_counts(bins, ["o_totalprice_Bin", "acct_s_Bin", "n_regionkey"], "y"), 0.0)
+    return A.attach_to_names(spark, names, iv.select("var_name", "groups"))
+
+
 # -- selection and models -----------------------------------------------------------
 
 
@@ -534,9 +616,25 @@ def vif_prune(spark, d):
     return r6(L.vif_prune(_related(spark, d).na.fill(0.0), ["a", "b", "c", "e", "f", "flat"]))
 
 
+@query
+def corr_pairs_large_mean(spark, d):
+    """Columns whose mean is a million times their spread."""
+    df = fr.app(spark, d).select(
+        (F.col("o_totalprice") / 1000 + 1.7e9).alias("a"), (F.col("o_totalprice") / 900 + F.col("c_acctbal") / 1e6 + 1.7e9).alias("b"), F.lit(1.7e9).alias("flat")
+    )
+    return L.corr_pairs(df, ["a", "b", "flat"]).withColumn("corref", F.round("corref", 4))
+
+
+@query
+def fold_counts(spark, d):
+    """All ten folds of a training part with text keys."""
+    train, _ = M.split_by_key(fr.score(spark, d).withColumn("key", _text_key()), "key")
+    return S.fold_counts(train, "key", "y")
+
+
 @query
 def split_70_30(spark, d):
-    train, test = _halves(spark, d)
+    train, test = M.split_by_key(fr.score(spark, d).withColumn("key", _text_key()), "key")
     parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return parts.groupBy("part").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
 

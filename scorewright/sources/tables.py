@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,22 +18,23 @@ def read_delimited(
     sep: str = CONTROL_A,
     null_tokens: tuple[str, ...] = ("\\N",),
 ) -> DataFrame:
-    """Delimited text with a header.  Keys and undecided columns are declared
-    as strings in the schema, so leading zeros survive and nothing is guessed.
-    Whole cells equal to a null token become null."""
-    reader = spark.read.schema(schema).option("header", True).option("sep", sep)
-    df = reader.option("nullValue", null_tokens[0] if null_tokens else "").csv(path)
-    rest = list(null_tokens[1:])
-    if not rest:
-        return df
-    return df.select(
-        *[
-            F.when(~F.col(f.name).isin(rest), F.col(f.name)).alias(f.name)
-            if isinstance(f.dataType, T.StringType)
-            else F.col(f.name)
-            for f in df.schema
-        ]
-    )
+    """(job) Delimited text with a header.  Columns are found by their name in
+    the header, in any order; a file without one of them is an error.  Keys
+    and undecided columns are declared as strings in the schema, so leading
+    zeros survive and nothing is guessed.  Whole cells equal to a null token
+    become null, and so do cells that can't be read in their type."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    text = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
+    lost = [f.name for f in wanted if f.name not in text.columns]
+    if lost:
+        raise ValueError(f"{path} has no column {', '.join(lost)}")
+
+    def cell(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        c = F.when(~c.isin(*null_tokens), c) if null_tokens else c
+        return (c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)).alias(f.name)
+
+    return text.select(*[cell(f) for f in wanted])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -65,9 +65,16 @@ def append_report(df: DataFrame, path: str, by: str = "var_name") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one where none is set."""
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all
+    executors share.  Where it is unset, a local session gets a folder of its
+    own; for any other session that is an error, as executors on other
+    machines could not read what is written there."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="scorewright-")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

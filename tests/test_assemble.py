@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorewright.operators import assemble as A
@@ -36,19 +37,48 @@ def test_skewed_join_equals_plain_join(spark):
     right = right.unionByName(right.where("k < 10"))  # several rows per key
     for how in ("inner", "left"):
         plain = sorted(map(tuple, left.join(right, "k", how).select("k", "v", "w").collect()), key=str)
-        salted = A.join_skewed(left, right, ["k"], how, min_rows=500, salts=8)
+        salted = A.join_skewed(left, right, ["k"], how, min_rows=500, piece_rows=100)
         assert sorted(map(tuple, salted.select("k", "v", "w").collect()), key=str) == plain
         assert "_salt" not in salted.columns
 
 
-def test_hot_key_is_found_and_spread(spark):
+def test_hot_key_is_found_and_cut_by_its_rows(spark):
     left, right = skewed(spark)
-    hot = A.hot_key_hashes(left, ["k"], min_rows=500)
-    assert hot == [spark.sql("select xxhash64(7L)").first()[0]] or len(hot) == 1
+    hot = A.hot_keys(left, ["k"], min_rows=500, piece_rows=100)
+    assert len(hot) == 1 and 10 <= list(hot.values())[0] <= 11
     plan = A.join_skewed(left, right, ["k"], "inner", min_rows=500)._jdf.queryExecution().analyzed().toString()
     assert "_salt" in plan
 
 
+@pytest.mark.parametrize(
+    "types",
+    [("int", "bigint"), ("bigint", "int"), ("smallint", "decimal(20,0)"), ("decimal(10,2)", "double"), ("double", "float"), ("date", "timestamp"), ("string", "string"), ("int", "string")],
+)
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_hot_keys_of_different_types_lose_nothing(spark, types, how):
+    def cast(c, t):
+        return F.date_add(F.lit("2020-01-01").cast("date"), c.cast("int")).cast(t) if t in ("date", "timestamp") else c.cast(t)
+
+    left = spark.range(400).select(cast(F.when(F.col("id") % 11 != 0, F.col("id") % 4), types[0]).alias("k"), F.col("id").alias("v"))
+    right = spark.range(3).select(cast(F.col("id"), types[1]).alias("k"), F.col("id").alias("w"))
+    plain = left.join(right, "k", how).drop("k").collect()
+    salted = A.join_skewed(left, right, ["k"], how, min_rows=1, piece_rows=20).drop("k").collect()
+    assert sorted(map(tuple, salted), key=str) == sorted(map(tuple, plain), key=str)
+
+
+def test_zeros_of_both_signs_join(spark):
+    left = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("k"))
+    right = spark.createDataFrame([(0.0, 1)], "k double, w int")
+    assert A.join_skewed(left, right, ["k"], min_rows=1, piece_rows=10).count() == 100
+
+
+def test_chain_refuses_repeated_keys(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    two = spark.createDataFrame([(1, "c"), (1, "d")], "k int, y string")
+    with pytest.raises(ValueError, match="table 1"):
+        A.join_chain([one, two], "k")
+
+
 def test_inner_join_suffixes(spark):
     left = spark.createDataFrame([(1, "l")], "a int, name string")
     right = spark.createDataFrame([(1, "r")], "b int, name string")

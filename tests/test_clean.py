@@ -118,16 +118,3 @@ def test_row_operators_run_on_a_stream(spark, tmp_path):
     q.stop()
     rows = spark.sql("select x_points, z from scored order by x").collect()
     assert [tuple(r) for r in rows] == [(1.0, None), (2.0, 1.0)]
-
-
-def test_vehicle_scorecard(spark):
-    from scorewright.plans.points import vehicle_scorecard
-
-    df = spark.createDataFrame(
-        [(-99.0, 1.0), (-1.0, 2.0), (0.0, 7.0), (302.0, -99.0)], "email_info_date double, apt_lastloanmode double"
-    )
-    out = P.scorecard_apply(df, vehicle_scorecard())
-    assert one(out, "email_info_date_points", "apt_lastloanmode_points") == [
-        (-0.3713, -0.3378), (3.745, 1.5338), (0.4089, None), (-0.3713, 0.0613)
-    ]
-    assert len({r["var_name"] for r in vehicle_scorecard()}) == 19
