@@ -488,7 +488,7 @@ MONTHLY = (
 add("monthly_ks_auc", SCORE,
     "turned as (select * replace (case when substr(month, 6, 2) = '03' then 1 - score else score end as score) from score)",
     curve("turned", "month"), MONTHLY)
-add("stacked_monthly", SCORE, "some as (select * from score where month <> '1995-12')", curve("some", "month"), MONTHLY)
+add("stacked_monthly", SCORE, "kept as (select * from score where month <> '1995-12')", curve("kept", "month"), MONTHLY)
 COARSE = f"coarse as (select {TEXT_KEY} as key, y, floor(score * 100) / 100 as score from score)"
 DIGEST = "('0x' || substr(md5(key), 1, 13))::bigint"
 add("rank_slice_text_tie", SCORE, COARSE,
