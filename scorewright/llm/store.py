@@ -7,24 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a local session gets a folder of its own; any other session is an error, because
-    executors on other machines could not read what is written there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+from scorewright.sources.tables import shared_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder. The folder's owner removes old runs."""
-    return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
