@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from documents_fixture import make  # noqa: F401
 from scorewright.llm import metric_join as MJ
 from scorewright.llm import parity_join as PJ
 from scorewright.llm.components import components

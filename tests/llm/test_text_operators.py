@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from documents_fixture import make  # noqa: F401
 from pyspark.sql import functions as F
 
 from scorewright.llm import kn_quality as KN
