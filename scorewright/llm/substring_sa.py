@@ -78,7 +78,7 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     place = np.arange(len(grams), dtype=np.uint64)
     packed = (grams >> _PLACE_BITS << _PLACE_BITS) | place
     least = window_least(packed, width)
-    found = np.unique(least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
+    found = T.distinct(least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     return thinned(found, grams[found], width)
 
 
