@@ -12,10 +12,10 @@ from pyspark.sql.types import StringType
 from scorewright.functions.columns import text_rank
 from scorewright.operators.assemble import require_key
 from scorewright.operators.ordered import (
-    BUCKETS,
     Spread,
     add_bucket,
     add_ranks,
+    bucket_count,
     few_valued,
     order_statistics,
     prefix_sum,
@@ -61,12 +61,13 @@ def score_histogram(
 def _histogram(rows: DataFrame, spread: Spread, by: Sequence[str] = ()) -> Histogram:
     """Counts per score.  Where scores repeat, they are combined before the
     shuffle.  Where almost every row has a score of its own, combining would
-    gain nothing, and no score is frequent, so rows go straight to their
+    gain nothing, and no score fills more than a few buckets, so rows go straight to their
     buckets: the running sums then need no second shuffle."""
     cells = add_bucket(rows, "score", spread.edges).select(
         *by, "bucket", "score", F.col("w").alias("total"), (F.col("w") * F.col("y")).alias("bad")
     )
-    unique = spread.levels > UNIQUE_SHARE * spread.n and len(spread.edges) > 0.9 * BUCKETS
+    # a score that fills several buckets would cost edges, which repeat then
+    unique = spread.levels > UNIQUE_SHARE * spread.n and len(spread.edges) >= bucket_count(rows.sparkSession) - 3
     if unique:
         cells = cells.repartition(*by, "bucket")
     counts = cells.groupBy(*by, "bucket", "score").agg(F.sum("total").alias("total"), F.sum("bad").alias("bad"))

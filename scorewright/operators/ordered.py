@@ -26,7 +26,7 @@ from scorewright.functions.columns import double_array, finite, rank_in
 # Buckets per variable: at least, and at most; in between the number of
 # shuffle partitions, so that every task of a large cluster gets a bucket.
 BUCKETS = 512
-MAX_BUCKETS = 2048
+MAX_BUCKETS = 8192
 TEXT_BUCKETS = 128
 # Text columns of up to this many distinct values need no buckets.
 TEXT_LEVELS = 10_000
