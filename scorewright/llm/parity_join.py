@@ -10,10 +10,11 @@ of the two sets agrees: the pigeonhole join is an equality join on (size band, c
 *Empty chunks* don't join. A set with more filled chunks than possible differences ("safe") meets every partner in a
 filled chunk all the same; two sets that are both not safe meet because such sets join on every single member too.
 
-*Candidates.* All sets under one key are linked to one leader of the key: rows are linear in the group. After these
-links are verified, only groups that fall into several components are looked at again: pairs of different components
-are compared by a second parity sketch of fixed length, whose Hamming distance is a lower bound of the difference, and
-those that pass are verified. Links inside a component that is known already change nothing and are never listed, so
+*Candidates.* All sets under one key are linked to one leader of the key: rows are linear in the group. A second parity
+sketch of fixed length, whose Hamming distance is a lower bound of the difference, sorts out most pairs, and the rest
+are verified by their sets. Only groups that still fall into several components are looked at again, with a leader that
+differs from key to key. What then remains apart is compared by the sketches pair by pair, and those that pass are
+verified. Links inside a component that is known already change nothing and are never listed, so
 a group of near copies isn't expanded to all its pairs.
 
 *Copies.* Rows with equal sets form one class and are compared once.
@@ -26,6 +27,7 @@ Rows that repeat an id are compared by their own texts. Other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from scorewright.llm.store import row_key, written
 
 BAND_RATIO = 1.6
 SKETCH_WORDS = 16  # 1,024 bits
+LEADER_ROUNDS = 2
+BROADCAST_IDS = 4_000_000  # 8 bytes each; beyond it texts are picked by a shuffled join
 SEEN = 200_000  # classes a task remembers, so that it sends copies once
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -177,35 +181,43 @@ def _group_batch(key: np.ndarray, ident: np.ndarray, leader: np.ndarray) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ident), pa.array(leader)], ["key", "set_id", "leader"])
 
 
-def _member_table(n: int):
+def _sketch_table(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, sets, sketches, held = [], [], [], [], 0
-            for _, members in _sets(batch, n):
-                if not len(members):
-                    continue
-                ids.append(signature(members)[0])
-                sizes.append(len(members))
-                sets.append(members.view(np.int64))
-                sketches.append(parity_sketch(members))
-                held += len(members)
-                if held > 500_000:
-                    yield _member_batch(ids, sizes, sets, sketches)
-                    ids, sizes, sets, sketches, held = [], [], [], [], 0
-            if ids:
-                yield _member_batch(ids, sizes, sets, sketches)
+            found = [(signature(m)[0], len(m), parity_sketch(m)) for _, m in _sets(batch, n) if len(m)]
+            if found:
+                ids, sizes, sketches = zip(*found, strict=True)
+                flat = np.stack(sketches)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(SKETCH_WORDS))], ["set_id", "n", *_BITS])
 
     return run
 
 
-def _member_batch(ids: list, sizes: list, sets: list, sketches: list) -> pa.RecordBatch:
-    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-    members = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))
-    flat = np.stack(sketches)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.array(ids, np.int64)), pa.array(np.array(sizes, np.int64)), members, *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(SKETCH_WORDS))],
-        ["set_id", "n", "members", *_BITS],
-    )
+def _set_table(n: int):
+    """The set of each row for every leader it is compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, leaders = batch.column("set_id"), batch.column("leaders")
+            out, sets, held = [], [], 0
+            for i, members in _sets(batch, n):
+                for leader in leaders[i].as_py():
+                    out.append((leader, ids[i].as_py()))
+                    sets.append(members.view(np.int64))
+                    held += len(members)
+                    if held > 500_000:
+                        yield _set_batch(out, sets)
+                        out, sets, held = [], [], 0
+            if out:
+                yield _set_batch(out, sets)
+
+    return run
+
+
+def _set_batch(pairs: list, sets: list) -> pa.RecordBatch:
+    offsets = pa.array(np.r_[0, np.cumsum([len(m) for m in sets])].astype(np.int32))
+    src, dst = (pa.array(c, pa.int64()) for c in zip(*pairs, strict=True))
+    return pa.RecordBatch.from_arrays([src, dst, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["src", "dst", "members"])
 
 
 _BITS = [f"b{k}" for k in range(SKETCH_WORDS)]
@@ -218,26 +230,60 @@ def _may_link(percent: int):
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * distance <= (100 - percent) * (n + m))
 
 
-def _verified(pairs: DataFrame, members: DataFrame, percent: int, name: str) -> DataFrame:
+@dataclass
+class _Texts:
+    """One row of the corpus for every class: where the sets and sketches of classes are computed from."""
+
+    base: DataFrame
+    rows: DataFrame
+    n: int
+
+    def of(self, classes: DataFrame, entries: int = 0) -> tuple[DataFrame, bool]:
+        """``(*columns of classes, text)``: a text of each class (set_id, ...), and whether some class may come twice:
+        where rows repeat id and text. ``entries`` is how many array entries the classes carry in all."""
+        keys = self.rows.join(classes.select("set_id"), "set_id").groupBy("set_id", "rk").agg(F.count("*").alias("times"))
+        keys = written(keys.groupBy("set_id").agg(F.min(F.struct("rk", "times")).alias("one")).select("set_id", "one.rk", "one.times"), "wanted")
+        count, times = keys.agg(F.count("*"), F.max("times")).first()
+        wanted = keys.select("set_id", "rk").join(classes, "set_id")
+        if 2 * count + entries <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+        return self.base.join(wanted, "rk").select(*classes.columns, "text"), (times or 0) > 1
+
+    def sketches(self, classes: DataFrame) -> DataFrame:
+        texts, twice = self.of(classes)
+        out = texts.select("text").mapInArrow(_sketch_table(self.n), ", ".join(["set_id long, n long", *(f"{b} long" for b in _BITS)]))
+        return written(out.dropDuplicates(["set_id"]) if twice else out, "sketches")
+
+    def sets(self, classes: DataFrame, entries: int) -> DataFrame:
+        """``(src, dst, members)``: the set of every class dst for each of its ``leaders`` src."""
+        return self.of(classes, entries)[0].mapInArrow(_set_table(self.n), "src long, dst long, members array<long>")
+
+
+def _verified(pairs: DataFrame, light: DataFrame, texts: _Texts, percent: int) -> DataFrame:
     """The pairs (src, dst) whose sets are similar enough."""
-    light = members.drop("members")
-    close = (
+    close = written(
         pairs.join(light.alias("x"), F.col("src") == F.col("x.set_id"))
         .join(light.alias("y"), F.col("dst") == F.col("y.set_id"))
         .where(_may_link(percent))
-        .select("src", "dst")
+        .select("src", "dst"),
+        "close",
     )
-    left = members.select(F.col("set_id").alias("src"), F.col("n").alias("n1"), F.col("members").alias("m1"))
-    right = members.select(F.col("set_id").alias("dst"), F.col("n").alias("n2"), F.col("members").alias("m2"))
-    common = F.size(F.array_intersect("m1", "m2"))
-    checked = close.join(left, "src").join(right, "dst").select("src", "dst", "n1", "n2", common.alias("common"))
-    return written(checked.where(100 * F.col("common") >= percent * (F.col("n1") + F.col("n2") - F.col("common"))).select("src", "dst"), name)
+    entries = close.count()
+    if not entries:
+        return close
+    # each set travels once, to its leader; a class has no more leaders than keys
+    to_leader = close.groupBy(F.col("dst").alias("set_id")).agg(F.collect_set("src").alias("leaders"))
+    leading = close.select(F.col("src").alias("set_id")).distinct().withColumn("leaders", F.array("set_id"))
+    own = texts.sets(leading, entries).select("src", F.col("members").alias("m1"))
+    checked = texts.sets(to_leader, entries).join(own, "src").select("src", "dst", (F.size("m1") + F.size("members")).alias("total"), F.size(F.array_intersect("m1", "members")).alias("common"))
+    return written(checked.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("src", "dst").distinct(), "links")
 
 
 def _open_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """Groups of keys whose classes lie in more than one component, with the component of each row."""
-    named = groups.join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key", "c1")
+    """Groups of keys whose classes lie in more than one component, with the component of each row. Groups that are
+    settled once stay so."""
+    named = groups.select("key", "set_id").join(found.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
     return named.join(mixed, "key")
 
 
@@ -260,27 +306,26 @@ def similar_documents(
     grouped = keys.repartition("key").sortWithinPartitions("key", "set_id").mapInArrow(_groups, "key long, set_id long, leader long")
     groups = written(grouped, "groups")
 
-    wanted = rows.join(groups.select("set_id").distinct(), "set_id").groupBy("set_id").agg(F.min("rk").alias("rk"))
-    chosen = base.join(wanted.select("rk").distinct(), "rk", "left_semi").select("text")
-    columns = ", ".join(["set_id long, n long, members array<long>", *(f"{b} long" for b in _BITS)])
-    members = written(chosen.mapInArrow(_member_table(n), columns).dropDuplicates(["set_id"]), "members")
-
-    links = _verified(groups.where("set_id <> leader").select(F.col("leader").alias("src"), F.col("set_id").alias("dst")).distinct(), members, percent, "links")
+    texts = _Texts(base, rows, n)
+    light = texts.sketches(groups.select("set_id").distinct())
+    links = _verified(groups.where("set_id <> leader").select(F.col("leader").alias("src"), F.col("set_id").alias("dst")).distinct(), light, texts, percent)
     found = written(components(links), "found")
-    for _ in range(2):
-        unsettled = written(_open_groups(groups, found), "open")
+    for turn in range(LEADER_ROUNDS):
+        groups = unsettled = written(_open_groups(groups, found), "open")
         if unsettled.isEmpty():
             return rows.drop("set_check"), found.select(F.col("id").alias("set_id"), "component")
-        other = unsettled.where("component <> c1").groupBy("key").agg(F.min(F.struct("set_id", "component")).alias("second"))
-        pairs = unsettled.join(other, "key").where("component <> second.component").select(F.col("second.set_id").alias("src"), F.col("set_id").alias("dst")).distinct()
-        links = links.unionByName(_verified(pairs, members, percent, "links"))
+        other = unsettled.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "set_id"), "set_id", "component")).alias("lead"))
+        pairs = unsettled.join(other, "key").where("component <> lead.component").select(F.col("lead.set_id").alias("src"), F.col("set_id").alias("dst")).distinct()
+        links = links.unionByName(_verified(pairs, light, texts, percent))
         found = written(components(links), "found")
 
-    sides = written(_open_groups(groups, found).select("key", "set_id", "component").join(members.drop("members"), "set_id"), "sides")
+    sides = written(_open_groups(groups, found).select("key", "set_id", "component").join(light, "set_id"), "sides")
+    if sides.isEmpty():
+        return rows.drop("set_check"), found.select(F.col("id").alias("set_id"), "component")
     x, y = sides.alias("x"), sides.alias("y")
     apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.component") != F.col("y.component"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link(percent)).select(F.col("x.set_id").alias("src"), F.col("y.set_id").alias("dst")).distinct()
-    links = links.unionByName(_verified(pairs, members, percent, "links"))
+    links = links.unionByName(_verified(pairs, light, texts, percent))
     return rows.drop("set_check"), components(links).select(F.col("id").alias("set_id"), "component")
 
 
