@@ -12,8 +12,8 @@ of other writers, without separators or without dictionary, read the same way.
 the others are revisit records without payload that refer to it. Rows that share this largest id are all responses.
 
 *Scale.* Payloads are shuffled once, by id and digest, to the archives; copies are found on digests alone. The
-dictionary is trained on a bounded sample (``SAMPLE_ROWS`` records of at most ``SAMPLE_BYTES``, smallest hash first), which
-only affects the compression.
+dictionary is trained on a bounded sample (about ``SAMPLE_ROWS`` records of at most ``SAMPLE_BYTES``, chosen by hash),
+which only affects the compression.
 
 Cases: null html is an empty payload, null url an empty target. A null id is written as such, comes back as null and
 is the response only if no row with an id holds the payload. Repeated rows are records each. No rows give no archives.
@@ -117,13 +117,14 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive
     totals = base.agg(F.sum("size"), F.count("*")).first()
     archives = max(1, math.ceil(((totals[0] or 0) + 512 * totals[1]) / archive_bytes))
 
-    short = base.where(f"size <= {SAMPLE_BYTES}").select(F.xxhash64("rk").alias("h"), "html").orderBy("h", "html").limit(SAMPLE_ROWS)
-    dictionary = train_dictionary([r["html"].encode() for r in short.collect()])
+    chance = F.pmod(F.xxhash64(F.lit("sample"), "rk"), F.lit(1 << 30)) / float(1 << 30)
+    short = base.where(F.col("size").between(1, SAMPLE_BYTES) & (chance < SAMPLE_ROWS / max(totals[1], 1))).select("html")
+    dictionary = train_dictionary(sorted(r["html"].encode() for r in short.collect()))
 
     groups = base.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
     copies = base.where(F.col("size") >= least_bytes).select("rk", "page_id", "digest").join(groups, "digest")
     revisits = copies.where("response is not null and not (page_id <=> response)").select("rk", F.col("response").alias("refers_to")).distinct()
-    dealt = base.select("rk", "page_id", "url", "html", "digest").repartition(archives, "rk").join(revisits, "rk", "left")
+    dealt = base.select("rk", "page_id", "url", "html", "digest").repartition(archives, "rk").join(revisits.repartition(archives, "rk"), "rk", "left")
     records = dealt.select("page_id", "url", "html", "digest", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
     encoded = records.mapInArrow(_encode(dictionary), "frame binary")
     encoded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
