@@ -123,20 +123,24 @@ def scale(code: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-9))
 
 
-def kernel_rows(code: np.ndarray) -> np.ndarray:
-    """Scaled subsequence weights of each row as a dense vector; for a bounded number of rows."""
-    out = np.zeros((len(code), _CODES**3), np.float32)
-    rows = np.arange(len(code))[:, None]
-    for number, there, weight in subsequences(code):
-        np.add.at(out, (np.broadcast_to(rows, number.shape)[there], number[there]), weight)
-    return out / scale(code)[:, None]
-
-
-def products(code: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Scaled kernel of each row with the columns of a table over subsequences."""
+def kernel_table(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled subsequence weights of a bounded number of rows: where each of the 64 ** 3 subsequences stands in the table
+    (0: in none of the rows), and the table with a column per row and zeros at 0."""
+    weights = [(number[there], np.nonzero(there)[0], weight) for number, there, weight in subsequences(code)]
+    used = np.unique(np.concatenate([n for n, _, _ in weights])) if weights else np.zeros(0, np.int64)
+    place = np.zeros(_CODES**3, np.int32)
+    place[used] = np.arange(1, len(used) + 1)
+    table = np.zeros((len(used) + 1, len(code)), np.float32)
+    for number, row, weight in weights:
+        np.add.at(table, (place[number], row), weight)
+    return place, table / scale(code)
+
+
+def products(code: np.ndarray, table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """Scaled kernel of each row with a table over subsequences: one number each, or with ``place`` the table's columns."""
     out = np.zeros((len(code), *table.shape[1:]))
     for number, there, weight in subsequences(code):
-        picked = table[number]
+        picked = table[number if place is None else place[number]]
         picked *= (weight * there) if table.ndim == 1 else (weight * there)[..., None]
         out += picked.sum(axis=1)
     return out / (scale(code) if table.ndim == 1 else scale(code)[:, None])
@@ -168,11 +172,11 @@ def _from_letters(letters: list[str]) -> np.ndarray:
 
 def _features(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, root = sent.value
+        place, table, root = sent.value
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.slice(lo, 2000)
-                z = products(_from_letters(part.column("unit").to_pylist()), table) @ root
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                z = products(_from_letters(part.column("unit").to_pylist()), table, place) @ root
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
                 yield pa.RecordBatch.from_arrays([flat, part.column("label"), part.column("weight")], ["z", "label", "weight"])
 
@@ -213,18 +217,19 @@ def fit_table(sample: DataFrame) -> tuple[np.ndarray, float] | None:
 def _machine(landmarks: list[str], toxic: DataFrame, calm: DataFrame) -> tuple[np.ndarray, float]:
     """Folded table and intercept of a machine with these landmarks, trained on toxic units and on plain ones (unit, d0)."""
     spark = toxic.sparkSession
-    rows = kernel_rows(_from_letters(list(dict.fromkeys(landmarks))))
-    value, vector = np.linalg.eigh(rows.astype(np.float64) @ rows.T)
+    place, columns = kernel_table(_from_letters(list(dict.fromkeys(landmarks))))
+    value, vector = np.linalg.eigh(columns.T.astype(np.float64) @ columns)
     root = (vector * np.where(value > 1e-6, 1 / np.sqrt(np.maximum(value, 1e-6)), 0.0)) @ vector.T
     plain = calm.distinct().select("unit", F.lit(0).alias("label"), F.col("d0").cast("double").alias("weight"))
     share = toxic.agg(F.sum("weight")).first()[0] / max(plain.agg(F.sum("weight")).first()[0] or 1.0, 1.0)
     both = toxic.unionByName(plain.withColumn("weight", F.col("weight") * share * PLAIN_WEIGHT))
-    sent = spark.sparkContext.broadcast((np.ascontiguousarray(rows.T), root))
+    sent = spark.sparkContext.broadcast((place, columns, root))
     ready = written(both.repartition(8).mapInArrow(_features(sent), "z array<double>, label int, weight double"), "features")
     ready = ready.select(array_to_vector("z").alias("features"), "label", "weight").cache()
     model = LinearSVC(maxIter=40, regParam=1e-4, weightCol="weight", standardization=False).fit(ready)
     ready.unpersist()
-    return (rows.T @ (root @ model.coefficients.toArray())).astype(np.float32), float(model.intercept)
+    folded = columns @ (root @ model.coefficients.toArray())
+    return folded[place].astype(np.float32), float(model.intercept)
 
 
 def _decisions(sent):
