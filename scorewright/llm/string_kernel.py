@@ -225,7 +225,7 @@ def _machine(landmarks: list[str], toxic: DataFrame, calm: DataFrame) -> tuple[n
     both = toxic.unionByName(plain.withColumn("weight", F.col("weight") * share * PLAIN_WEIGHT))
     sent = spark.sparkContext.broadcast((place, columns, root))
     ready = written(both.repartition(8).mapInArrow(_features(sent), "z array<double>, label int, weight double"), "features")
-    ready = ready.select(array_to_vector("z").alias("features"), "label", "weight").cache()
+    ready = ready.select(array_to_vector("z").alias("features"), "label", "weight").coalesce(8).cache()  # a bounded sample, read in every step
     model = LinearSVC(maxIter=40, regParam=1e-4, weightCol="weight", standardization=False).fit(ready)
     ready.unpersist()
     folded = columns @ (root @ model.coefficients.toArray())
