@@ -511,6 +511,13 @@ add("bin_labels", APP,
     " when k = lo.m then 'b' || (k + 1) || '[' || cast(floor(lo.cut) as bigint) || ',inf)'"
     " else 'b' || k || '[' || cast(floor(lo.cut) as bigint) || ',' || cast(floor(hi.cut) as bigint) || ')' end as label,"
     " count(*) as n from numbered left join edges lo on lo.i = k left join edges hi on hi.i = k + 1 group by 1")
+add("name_list_attributes", *binned(),
+    "names as (select * from (values (0, 'n_regionkey'), (1, 'acct_s_Bin'), (2, 'unknown'), (3, 'o_totalprice_Bin'),"
+    " (4, 'acct_s_Bin')) t(position, var_name))",
+    "found as (select 'n_regionkey' as var_name, count(distinct n_regionkey) as groups from binned"
+    " union all select 'acct_s_Bin', count(distinct acct_s_Bin) from binned"
+    " union all select 'o_totalprice_Bin', count(distinct o_totalprice_Bin) from binned)",
+    "select position, var_name, groups from names left join found using (var_name)")
 add("label_domain", APP,
     "select cast(case when o_orderkey % 9 = 0 then 0 else y end as int) as y, count(*) as n from app"
     " where o_orderkey % 9 = 0 or o_orderkey % 13 <> 0 group by 1")
