@@ -3,16 +3,21 @@
 The corpus is a sequence of line ids per document. Prefix doubling ranks every line position by the lines that follow:
 rank at depth 2h is the order of the pairs (rank at depth h here, rank at depth h, h lines on). Positions whose rank is
 unique at a depth are in no repeated run of that depth and leave; what remains shrinks fast. Positions of equal rank
-at depth ``min_lines`` are one interval of the suffix array whose common prefix has at least ``min_lines`` lines; every
-position of the interval but the first in corpus order starts a later copy. Overlapping copies join up to the maximal
-repeated runs, which are deleted.
+at a depth are one interval of the suffix array whose common prefix has at least that many lines; every position of
+the interval but the first in corpus order starts a later copy. Overlapping copies join up to the maximal repeated runs,
+which are deleted.
+
+*Depth.* Ranks go no deeper than ``min_lines``, and the full suffix array isn't built: each window of ``min_lines`` lines
+of a longer repeated run repeats too, and starts no later, so these windows cover just the lines of all such runs. Shorter
+runs count if they have ``min_words`` words, so ranks are then taken at every depth up to ``min_lines``.
 
 *Scale.* Ranks come from a sort of the distinct pairs that occur at least twice, after an aggregate with map-side
 combine, and are joined back; a line that a third of all documents hold is one row of that sort, and its join is
 skew-safe. Documents don't meet in one task.
 
-*Rule.* A line is deleted if it lies in a run of ``min_lines`` lines that also starts earlier: in a smaller id (null ids
-last), or further up in the same document. Runs never cross documents. Blank lines don't count and are kept.
+*Rule.* A line is deleted if it lies in a run of at least ``min_lines`` lines, or of at least ``min_words`` words (be it a
+single line), that also starts earlier: in a smaller id (null ids last), or further up in the same document. Runs never
+cross documents. Blank lines don't count and are kept. Without ``min_words`` only lines count.
 
 Cases: null and empty texts have no lines and stay. Rows that agree in id and text are one document to this rule, and
 both stay or change alike. Other columns pass through. No rows give no rows.
@@ -20,6 +25,8 @@ both stay or change alike. Other columns pass through. No rows give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +35,9 @@ from pyspark.sql.types import StringType
 from scorewright.llm.store import written
 
 NOT_BLANK = r"[^\x20\x09-\x0D]"
+WORD = r"[^\x20\x09-\x0D]+"
 MIN_LINES = 3
+MIN_WORDS = 50
 
 
 def _ranked(table: DataFrame, first: str, second: str | None) -> DataFrame:
@@ -36,28 +45,35 @@ def _ranked(table: DataFrame, first: str, second: str | None) -> DataFrame:
     pair = [first] + ([second] if second else [])
     values = table.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     order = written(values.orderBy(*pair).withColumn("place", F.monotonically_increasing_id()), "order")
-    return table.join(order, pair).select("rk", "doc_id", "pos", F.col("place").alias("rank"))
+    return table.join(order, pair).select("rk", "doc_id", "pos", "own", "words", F.col("place").alias("rank"))
 
 
 def _paired(ranks: DataFrame, ahead: int) -> DataFrame:
-    """Each position with its rank and the rank ``ahead`` lines on."""
-    later = ranks.select("rk", (F.col("pos") - ahead).alias("pos"), F.col("rank").alias("rank2"))
-    return ranks.join(later, ["rk", "pos"])
+    """Each position with its rank and the rank ``ahead`` lines on; ``words`` of the longer run if that is one line on."""
+    later = ranks.select("rk", (F.col("pos") - ahead).alias("pos"), F.col("rank").alias("rank2"), F.col("words").alias("more"))
+    return ranks.join(later, ["rk", "pos"]).withColumn("words", F.col("own") + F.col("more")).drop("more")
+
+
+def _later(ranks: DataFrame, depth: int) -> DataFrame:
+    """``(rk, pos, depth)`` of all positions but the first of each rank."""
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "pos")
+    first = ranks.groupBy("rank").agg(F.min(place).alias("first"))
+    return ranks.join(first, "rank").where(place > F.col("first")).select("rk", "pos", F.lit(depth).alias("depth"))
 
 
-def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``(rk, pos)`` of every position that starts a later copy of a run. (job)
+def repeated_runs(lines: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """``(rk, pos, depth)`` of every position that starts a later copy of a run of ``depth`` lines. (job)
 
-    ``lines`` has (rk, doc_id, pos, line), one row per line of a document, pos counting from 0.
+    ``lines`` has (rk, doc_id, pos, line, own), one row per line of a document, pos counting from 0; ``own`` is its words.
     """
-    ranks, depth = written(_ranked(lines, "line", None), "ranks"), 1
+    ranks, depth, short = written(_ranked(lines.withColumn("words", F.col("own")), "line", None), "ranks"), 1, []
     while depth < min_lines:
-        ahead = min(depth, min_lines - depth)
+        if min_words is not None:
+            short.append(_later(ranks.where(F.col("words") >= min_words), depth))
+        ahead = min(depth, min_lines - depth) if min_words is None else 1
         ranks = written(_ranked(_paired(ranks, ahead), "rank", "rank2"), "ranks")
         depth += ahead
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "rk", "pos")
-    first = ranks.groupBy("rank").agg(F.min(place).alias("first"))
-    return ranks.join(first, "rank").where(place > F.col("first")).select("rk", "pos")
+    return reduce(DataFrame.unionByName, short, _later(ranks, depth))
 
 
 @F.pandas_udf(StringType())
@@ -71,18 +87,19 @@ def _without(text: pd.Series, dead: pd.Series) -> pd.Series:
     return pd.Series([cut(t, d) for t, d in zip(text, dead, strict=True)], dtype=object)
 
 
-def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = MIN_WORDS) -> DataFrame:
     """``(row, n_lines, n_removed, n_runs)``: the input row as a struct with later copies cut from its text, its lines
     that aren't blank, how many of them were deleted, and in how many runs. (job)"""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     split = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
     full = F.filter(split, lambda s: s["line"].rlike(NOT_BLANK))
+    own = (F.regexp_count("s.line", F.lit(WORD)) if min_words is not None else F.lit(0)).cast("long")
     table = docs.select(key.alias("rk"), F.col(id_col).alias("doc_id"), F.posexplode(full).alias("pos", "s"))
-    table = table.select("rk", "doc_id", "pos", F.col("s.at").alias("at"), F.xxhash64("s.line").alias("line")).dropDuplicates(["rk", "pos"])
+    table = table.select("rk", "doc_id", "pos", F.col("s.at").alias("at"), F.xxhash64("s.line").alias("line"), own.alias("own")).dropDuplicates(["rk", "pos"])
     lines = written(table, "lines")
 
-    starts = written(repeated_runs(lines.drop("at"), min_lines), "starts")
-    covered = starts.select("rk", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos")).distinct()
+    starts = written(repeated_runs(lines.drop("at"), min_lines, min_words), "starts")
+    covered = starts.select("rk", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("depth") - 1)).alias("pos")).distinct()
     dead = covered.join(lines.select("rk", "pos", "at"), ["rk", "pos"]).groupBy("rk").agg(F.array_sort(F.collect_list("at")).alias("_dead"), F.array_sort(F.collect_list("pos")).alias("_pos"))
     counts = lines.groupBy("rk").agg(F.count("*").alias("_n"))
     facts = counts.join(dead, "rk", "left").withColumnRenamed("rk", "_rk")
@@ -99,7 +116,7 @@ def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id
     )
 
 
-def drop_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = MIN_WORDS) -> DataFrame:
     """The input rows without later copies; rows of which no line is left, though they had some, go. (job)"""
-    cut = line_runs(docs, min_lines, id_col, text_col)
+    cut = line_runs(docs, min_lines, id_col, text_col, min_words)
     return cut.where("n_removed = 0 or n_removed < n_lines").select("row.*")

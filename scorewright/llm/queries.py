@@ -90,7 +90,7 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later copies of runs of three lines deleted."""
-    cut = line_runs(_table(spark, sf_dir, "documents"))
+    cut = line_runs(_table(spark, sf_dir, "documents"), min_words=None)  # its SQL knows lines only
     return cut.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 

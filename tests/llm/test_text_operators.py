@@ -119,6 +119,39 @@ def test_line_runs(make):
     assert LR.line_runs(make(rows), min_lines=1).agg(F.sum("n_removed")).first()[0] == 3 + 2 + 3 + 4 + 3 + 3
 
 
+def dead_lines(docs, min_lines, min_words):
+    """Lines of every maximal run that starts earlier, by comparing all pairs of positions."""
+    full = {i: [(at, x) for at, x in enumerate(t.split("\n")) if x.strip()] for i, t in docs.items()}
+    starts = [(i, k) for i in sorted(full) for k in range(len(full[i]))]
+    dead = collections.defaultdict(set)
+    for n, (j, q) in enumerate(starts):
+        for i, p in starts[:n]:
+            a, b, size = full[i][p:], full[j][q:], 0
+            while size < min(len(a), len(b)) and a[size][1] == b[size][1]:
+                size += 1
+            if size >= min_lines or sum(len(x.split()) for _, x in b[:size]) >= min_words:
+                dead[j] |= {at for at, _ in b[:size]}
+    return dead
+
+
+@pytest.mark.parametrize("min_lines", [2, 3, 5])
+def test_line_runs_by_lines_or_words(make, min_lines):
+    rng = random.Random(min_lines)
+    lines = ["a", "b c", "d e f", "g h i j", "k l m n o p q", "", " "]
+    docs = {i: "\n".join(rng.choices(lines, [4, 4, 3, 2, 1, 1, 1], k=rng.randint(1, 9))) for i in range(40)}
+    dead = dead_lines(docs, min_lines, 7)
+    out = {r.row.doc_id: (r.row.text, r.n_removed) for r in LR.line_runs(make(list(docs.items())), min_lines, min_words=7).collect()}
+    assert out == {i: ("\n".join(x for at, x in enumerate(t.split("\n")) if at not in dead[i]), len(dead[i])) for i, t in docs.items()}
+
+
+def test_long_single_lines_go(make):
+    long = " ".join(f"word{k}" for k in range(60))
+    half = " ".join(f"part{k}" for k in range(25))
+    rows = [(1, f"one\n{long}\ntwo"), (2, f"three\n{long}\nfour"), (3, f"{half}\n{half}x\nfive"), (4, f"six\n{half}\n{half}x"), (5, half)]
+    out = {r.doc_id: r.text for r in LR.drop_repeated_runs(make(rows)).collect()}
+    assert out == {1: rows[0][1], 2: "three\nfour", 3: rows[2][1], 4: "six", 5: half}
+
+
 def test_fill_targets():
     assert MX.fill_targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
     out = MX.fill_targets([10, 200, 0, 90], [3, 1, 5, 1])
