@@ -5,7 +5,9 @@ last block may be shorter. Every output shard draws how many of its slots each s
 distribution. The slots of a source, counted through all shards, map to its blocks: each pass over the source is a
 pseudorandom permutation of the block indexes of its own, so every block is used once before any is used again. The
 draws are calibrated: a source takes no slots beyond its target, and what the draws leave short is filled by a last,
-small shard. Slots join blocks by source and index, and blocks give back the words each document supplies.
+small shard. The slots of a shard are numbered by a permutation of its own, so its sources alternate. Slots join blocks
+by source and index: each slot of the mix lists the word spans of documents that fill its block. ``packed`` adds the
+texts; ``mix_sources`` sums the words each document supplies.
 
 *Targets.* Sources in code-point order (null last) weigh by the given cycle and share all words; none exceeds ``repeats``
 times its own size, and what is above is shared again by weight among the others until none is above.
@@ -20,17 +22,19 @@ Ids may be null or repeat. Other columns are ignored. No rows give no rows.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StringType
 
 from scorewright.llm.store import row_key, written
 from scorewright.llm.text import mix as spread
 
 WORD = r"[^\x20\x09-\x0D]+"
+_WORDS = re.compile(WORD)
 BLOCK_WORDS = 128
 SHARD_SLOTS = 8192
 BUCKET_ROWS = 50_000
@@ -78,6 +82,12 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@F.pandas_udf(LongType())
+def _slot_of(index: pd.Series, slots: pd.Series, key: pd.Series) -> pd.Series:
+    with np.errstate(over="ignore"):
+        return pd.Series(permuted(index.to_numpy(np.int64), slots.to_numpy(np.int64), key.to_numpy(np.int64).view(np.uint64)))
+
+
 @F.pandas_udf(LongType())
 def _block_of(slot: pd.Series, blocks: pd.Series, key: pd.Series) -> pd.Series:
     slot, blocks = slot.to_numpy(np.int64), blocks.to_numpy(np.int64)
@@ -102,21 +112,8 @@ def _draws(wanted: list[int], seed: int, shard_slots: int):
     return run
 
 
-def mix_sources(
-    docs: DataFrame,
-    cycle: tuple[float, ...] = (1, 2, 3),
-    repeats: int = 3,
-    block_words: int = BLOCK_WORDS,
-    shard_slots: int = SHARD_SLOTS,
-    seed: int = 7,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """Per row ``(doc_id, source, size, source_size, target, taken)``. (job)
-
-    ``size`` is in words, ``taken`` the words the mix takes of the row, repeats counted.
-    """
+def _placed(docs: DataFrame, cycle, repeats: int, block_words: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Every row with its place in the stream of its source; the table of sources; the slots each is to fill. (job)"""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = written(
@@ -144,39 +141,107 @@ def mix_sources(
     inside = Window.partitionBy("source_no", "bucket").orderBy("turn", "rk", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["source_no", "bucket"])
     placed = written(
-        placed.select("doc_id", "source", "size", "source_size", "target", "source_no", (F.col("base") + F.col("ahead")).alias("offset")), "placed"
+        placed.select("doc_id", "source", "rk", "size", "source_size", "target", "source_no", (F.col("base") + F.col("ahead")).alias("offset")), "placed"
+    )
+    return placed, table, [p[5] for p in plan]
+
+
+def _mix(placed: DataFrame, table: DataFrame, wanted: list[int], block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """The spans of all slots, as :func:`mix_slots` gives them, with the number of the source and the offset of the row. (job)"""
+    last = F.col("offset") + F.col("size") - 1
+    per_block = placed.where("size > 0").withColumn("block", F.explode(F.sequence((F.col("offset") / block_words).cast("long"), (last / block_words).cast("long"))))
+    start = F.greatest(F.col("block") * block_words, F.col("offset"))
+    end = F.least((F.col("block") + 1) * block_words, F.col("offset") + F.col("size"))
+    spans = per_block.select(
+        "source_no", "block", "source", "doc_id", "rk", "offset", (start - F.col("block") * block_words).alias("at"), (start - F.col("offset")).alias("first_word"), (end - start).alias("words")
     )
+    slots = _slots(placed.sparkSession, table, wanted, seed, shard_slots)
+    mix = slots.join(spans, ["source_no", "block"])
+    return written(mix.select("shard", "slot", "source", "block", "at", "doc_id", "rk", "first_word", "words", "source_no", "offset"), "mix")
+
+
+def mix_slots(
+    docs: DataFrame,
+    cycle: tuple[float, ...] = (1, 2, 3),
+    repeats: int = 3,
+    block_words: int = BLOCK_WORDS,
+    shard_slots: int = SHARD_SLOTS,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix: ``(shard, slot, source, block, at, doc_id, rk, first_word, words)``, a row per slot and document in its block. (job)
+
+    Words ``first_word`` to ``first_word + words - 1`` of the document, counted from 0, stand at word ``at`` of the slot.
+    ``rk`` is the row key of the document (:func:`scorewright.llm.store.row_key`), for ids that are null or repeat.
+    """
+    placed = _placed(docs, cycle, repeats, block_words, seed, id_col, text_col, source_col)
+    return _mix(*placed, block_words, shard_slots, seed).drop("source_no", "offset")
+
 
-    uses = _uses(spark, table, [p[5] for p in plan], seed, shard_slots)
-    last = F.greatest(F.col("offset"), F.col("offset") + F.col("size") - 1)
-    per_block = placed.withColumn("block", F.explode(F.sequence((F.col("offset") / block_words).cast("long"), (last / block_words).cast("long"))))
-    overlap = F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("offset"), F.col("block") * block_words)
-    joined = per_block.join(uses, ["source_no", "block"], "left").withColumn("words", F.greatest(overlap, F.lit(0)) * F.coalesce("uses", F.lit(0)))
-    # an offset is unique among rows of its source that have words; empty rows are told apart by nothing, and repeat as they came
-    full = joined.where("size > 0").groupBy("doc_id", "source", "size", "source_size", "target", "source_no", "offset").agg(F.sum("words").cast("long").alias("taken"))
+def mix_sources(
+    docs: DataFrame,
+    cycle: tuple[float, ...] = (1, 2, 3),
+    repeats: int = 3,
+    block_words: int = BLOCK_WORDS,
+    shard_slots: int = SHARD_SLOTS,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """Per row ``(doc_id, source, size, source_size, target, taken)``. (job)
+
+    ``size`` is in words, ``taken`` the words that the spans of the mix take of the row, repeats counted.
+    """
+    placed, table, wanted = _placed(docs, cycle, repeats, block_words, seed, id_col, text_col, source_col)
+    mix = _mix(placed, table, wanted, block_words, shard_slots, seed)
+    # an offset is unique among rows of its source that have words; empty rows are in no slot
+    taken = mix.groupBy("source_no", "offset").agg(F.sum("words").alias("taken"))
+    full = placed.where("size > 0").join(taken, ["source_no", "offset"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     empty = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
     return full.select(columns).unionByName(empty.select(columns))
 
 
-def _uses(spark, table: DataFrame, wanted: list[int], seed: int, shard_slots: int) -> DataFrame:
-    """How often the mix uses each block: ``(source_no, block, uses)``."""
+@F.pandas_udf(StringType())
+def _span(text: pd.Series, first: pd.Series, words: pd.Series) -> pd.Series:
+    return pd.Series([" ".join(_WORDS.findall(t)[a : a + n]) for t, a, n in zip(text, first, words, strict=True)], dtype=object)
+
+
+def packed(mix: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(shard, slot, source, block, text)``: the words of every slot of a mix of ``docs``, a space between them."""
+    texts = docs.select(row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("_text")).dropDuplicates(["rk"])
+    part = mix.join(texts, "rk").withColumn("part", F.struct("at", _span("_text", "first_word", "words").alias("text")))
+    parts = part.groupBy("shard", "slot", "source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return parts.select("shard", "slot", "source", "block", F.array_join(F.col("parts.text"), " ").alias("text"))
+
+
+def _slots(spark, table: DataFrame, wanted: list[int], seed: int, shard_slots: int) -> DataFrame:
+    """The block that each slot of the mix takes: ``(source_no, block, shard, slot)``, slots counting from 0 in their shard."""
     total = sum(wanted)
     if not total:
-        return spark.createDataFrame([], "source_no int, block long, uses long")
+        return spark.createDataFrame([], "source_no int, block long, shard long, slot long")
     shards = -(-total // shard_slots)
     drawn = spark.range(0, shards, 1, max(1, min(shards // 64, 10_000))).mapInPandas(_draws(wanted, seed, shard_slots), "shard long, source_no int, drawn long")
     drawn = written(drawn, "draws")
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = drawn.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0))).select("source_no", "first", (F.col("first") + F.col("drawn")).alias("end"))
+    runs = drawn.withColumn("first", F.coalesce(F.sum("drawn").over(before), F.lit(0))).select("shard", "source_no", "first", (F.col("first") + F.col("drawn")).alias("end"))
     short = drawn.groupBy("source_no").agg(F.sum("drawn").alias("first"))
-    filled = table.where("wanted > 0").join(short, "source_no", "left").select("source_no", F.coalesce("first", F.lit(0)).alias("first"), F.col("wanted").alias("end"))
+    filled = table.where("wanted > 0").join(short, "source_no", "left").select(F.lit(shards).cast("long").alias("shard"), "source_no", F.coalesce("first", F.lit(0)).alias("first"), F.col("wanted").alias("end"))
+    inside = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
     slots = (
         runs.unionByName(filled)
         .join(table.select("source_no", "blocks", "wanted"), "source_no")
         .withColumn("end", F.least("end", "wanted"))
         .where("first < end")
-        .withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("end") - 1)))
+        .withColumn("number", F.col("end") - F.col("first"))
+        .withColumn("ahead", F.coalesce(F.sum("number").over(inside), F.lit(0)))
+        .withColumn("slots", F.sum("number").over(Window.partitionBy("shard")))
+        .withColumn("turn", F.explode(F.sequence(F.col("first"), F.col("end") - 1)))
     )
     key = F.xxhash64(F.lit(seed), F.lit("blocks"), "source_no")
-    return slots.withColumn("block", _block_of("slot", "blocks", key)).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
+    mixed = F.xxhash64(F.lit(seed), F.lit("slots"), "shard")
+    slots = slots.withColumn("block", _block_of("turn", "blocks", key)).withColumn("slot", _slot_of(F.col("ahead") + F.col("turn") - F.col("first"), "slots", mixed))
+    return slots.select("source_no", "block", "shard", "slot")

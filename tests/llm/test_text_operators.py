@@ -179,6 +179,34 @@ def test_mix(make):
     assert MX.mix_sources(make([])).count() == 0
 
 
+def test_mix_is_packed(make):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(rng.randint(0, 90))), "en", rng.choice(["a", "b", None])) for i in range(60)] + [(7, "same words here", "en", "a")] * 2 + [(None, "n1 n2", "en", "a"), (None, "n3\tn4  n5", "en", "a"), (90, None, "en", "a")]
+    docs = make(rows)
+    mix = MX.mix_slots(docs, block_words=16, shard_slots=50)
+    spans, of = mix.collect(), collections.defaultdict(list)
+    for r in spans:
+        of[r.shard, r.slot].append(r)
+    for shard in {s for s, _ in of}:
+        assert sorted(n for s, n in of if s == shard) == list(range(sum(s == shard for s, _ in of)))
+    for parts in of.values():
+        parts.sort(key=lambda r: r.at)
+        assert len({(r.source, r.block) for r in parts}) == 1 and [r.at for r in parts] == [sum(r.words for r in parts[:k]) for k in range(len(parts))]
+    first = [of[0, n][0].source for n in range(50) if (0, n) in of]
+    assert sum(a != b for a, b in zip(first, first[1:], strict=False)) > len(set(first)) - 1
+
+    words = {(r.shard, r.slot): r.text.split(" ") for r in MX.packed(mix, docs).collect()}
+    assert {k: len(w) for k, w in words.items()} == {k: sum(r.words for r in parts) for k, parts in of.items()}
+    text = {r.rk: r.text.split() for r in docs.withColumn("rk", MX.row_key("doc_id", "text")).where("text is not null").collect()}
+    assert all(words[k][r.at : r.at + r.words] == text[r.rk][r.first_word : r.first_word + r.words] for k, parts in of.items() for r in parts)
+    taken, want = collections.Counter(), collections.Counter()
+    for r in spans:
+        taken[r.doc_id, r.source] += r.words
+    for r in MX.mix_sources(docs, block_words=16, shard_slots=50).collect():
+        want[r.doc_id, r.source] += r.taken
+    assert +want == +taken
+
+
 def test_quality_rejects_what_trusted_text_is_not(spark, make):
     rng = random.Random(7)
     say = lambda n: " ".join(rng.choice(["the", "and", "other", "nation", "reads", "rest"]) for _ in range(n))
