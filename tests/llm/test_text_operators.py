@@ -219,6 +219,12 @@ def test_quality_rejects_what_trusted_text_is_not(spark, make):
     assert KN.judged(make([]), labels).count() == 0
 
 
+def test_threshold_is_the_quantile(spark):
+    rows = [("en", True, k / 100) for k in range(1, 101)] + [("de", False, 9.0)]
+    most = {r.lang: r.most for r in KN.thresholds(spark.createDataFrame(rows, "lang string, trusted boolean, log_perplexity double")).collect()}
+    assert most == {"en": pytest.approx(0.99), "de": pytest.approx(0.99)}
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark, monkeypatch):
     monkeypatch.setattr(KN, "ORDER", 2)
     counts = spark.createDataFrame([((a << 6) | b, c) for a, b, c in ((1, 2, 1), (1, 3, 2), (2, 3, 3), (3, 1, 4), (3, 2, 1))], "gram long, c long")
