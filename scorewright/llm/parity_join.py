@@ -344,12 +344,20 @@ def parity_sketch_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows, one of each component: the smallest id, and of rows that repeat it the first by row key. (job)
+    """The input rows, one of each component: the smallest id, of rows that repeat it the first by row key, and of rows that
+    agree in both id and text one. (job)
 
-    Rows with the empty set all stay, and so do rows that agree in id and text with the one kept.
+    Rows with the empty set all stay.
     """
     named = parity_sketch_join(docs, n, percent, id_col, text_col)
     kept = named.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rk")).alias("best"))
-    kept = kept.select(F.col("best.rk").alias("_rk")).unionByName(named.where("n_shingles = 0").select(F.col("rk").alias("_rk"))).distinct()
+    copies = named.where("n_shingles > 0").groupBy(F.col("rk").alias("_rk")).agg((F.count("*") > 1).alias("_many"))
+    kept = kept.select(F.col("best.rk").alias("_rk")).join(copies, "_rk")
+    kept = written(kept.unionByName(named.where("n_shingles = 0").select(F.col("rk").alias("_rk"), F.lit(False).alias("_many")).distinct()), "kept")
     keyed = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_rk"), F.struct(*docs.columns).alias("row"))
-    return keyed.join(kept, "_rk", "left_semi").select("row.*")
+    single = keyed.join(kept.where("not _many"), "_rk", "left_semi")
+    if kept.where("_many").isEmpty():
+        return single.select("row.*")
+    repeated = keyed.join(kept.where("_many"), "_rk", "left_semi")
+    one = repeated.groupBy("_rk").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return single.unionByName(one).select("row.*")

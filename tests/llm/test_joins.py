@@ -89,6 +89,14 @@ def test_near_duplicates_keep_one(make):
     assert PJ.drop_near_duplicates(make([])).count() == 0
 
 
+def test_of_repeated_rows_one_stays(make):
+    long, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(3, long), (2, long + " x"), (2, long + " x"), (None, other), (None, other), (7, "a b c d e f g h"), (4, None), (4, None)]
+    out = PJ.drop_near_duplicates(make(rows))
+    assert out.columns == make(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(2, long + " x"), (None, other), (7, "a b c d e f g h"), (4, None), (4, None)], key=str)
+
+
 @pytest.mark.parametrize("block", [3072, 7])
 def test_metric_join_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(MJ, "CELL_ROWS", 20)
