@@ -47,7 +47,8 @@ STAGES = [
     ("source_mix", mixed),
 ]
 
-#: No SQL: the models and draws of three stages are beyond it. The stages are tested against brute force.
+#: No SQL: the models and draws of three stages are beyond it. Line runs and the n-gram join are tested against
+#: brute force, latent search and quality on planted cases and sums, mixing by its invariants; the whole only for its shape.
 ORACLE_SQL = None
 
 
