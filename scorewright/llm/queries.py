@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorewright.llm.byte_bpe import decoded, encoded
 from scorewright.llm.kn_quality import judged
 from scorewright.llm.latent_search import leaks
 from scorewright.llm.line_runs import line_runs
@@ -94,6 +96,14 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as ids of a byte-level vocabulary, and back."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
+    back = decoded(ids, ranks, pattern)
+    return back.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_string_kernel": op2_string_kernel,
@@ -105,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_line_runs": op10_line_runs,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 _OP1 = """
