@@ -15,6 +15,7 @@ from scorewright.llm.line_runs import line_runs
 from scorewright.llm.metric_join import metric_join
 from scorewright.llm.mixing import WORD, mix_sources
 from scorewright.llm.parity_join import parity_sketch_join
+from scorewright.llm.periodic_runs import periodic_runs
 from scorewright.llm.string_kernel import toxicity
 from scorewright.llm.store import row_key, scratch, written
 from scorewright.llm.substring_sa import remove_repeats
@@ -96,6 +97,29 @@ def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, and digests of them and of the text without their repeats."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumn("_h", h).withColumn("_g", F.floor(F.col("_h") / 10))
+    docs = docs.withColumn("_words", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    n, g = F.size("_words").cast("long"), F.col("_g")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+    repeated = F.array_join(F.transform(place, lambda i: F.get("_words", i)), " ")
+    found = periodic_runs(docs.select("doc_id", F.when(n > 0, repeated).otherwise(F.col("text")).alias("text")))
+    longer = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.reduce("runs", F.get("runs", F.lit(0)), longer)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as ids of a byte-level vocabulary, and back."""
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -115,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_line_runs": op10_line_runs,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_byte_bpe": op12_byte_bpe,
 }
 
@@ -158,4 +183,45 @@ SELECT d.doc_id, (SELECT count(*) FROM lines l WHERE l.doc_id = d.doc_id) AS n_l
 FROM documents d LEFT JOIN counted c USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op10_line_runs": _OP10}
+#: Unsigned CRC-32 of a column's decimal text
+_CRC32 = """xor(4294967295, list_reduce(
+    list_transform(range(1, length({0}::VARCHAR) + 1), lambda k: ascii(substr({0}::VARCHAR, k, 1))::BIGINT),
+    lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT))"""
+
+_OP11 = r"""
+WITH raw AS (
+    SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+    FROM (SELECT *, @CRC@ AS h FROM documents)
+), sized AS (
+    SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN g % len(ws) END AS a FROM raw
+), cut AS (
+    SELECT *, CASE WHEN a IS NOT NULL THEN 1 + (n - a) // (3 + g % 8) END AS p FROM sized
+), docs AS (
+    SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS ws FROM cut
+), words AS (
+    SELECT doc_id, n, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM docs
+), returns AS (
+    SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM returns) GROUP BY doc_id, q, island
+), runs AS (
+    SELECT doc_id, start, length, min(q) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length
+), ranked AS (
+    SELECT *, count(*) OVER (PARTITION BY doc_id) AS n_runs,
+        NOT EXISTS (FROM runs o WHERE o.doc_id = r.doc_id AND (o.length * r.period > r.length * o.period
+            OR (o.length * r.period = r.length * o.period AND (o.start < r.start OR (o.start = r.start AND o.period < r.period))))) AS best
+    FROM runs r
+), listed AS (
+    SELECT doc_id, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY doc_id
+), dropped AS (
+    SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+    SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS t FROM words w LEFT JOIN dropped d ON d.doc_id = w.doc_id AND d.i = w.i WHERE d.i IS NULL GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(b.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+    sha256(coalesce(l.t, '')) AS runs_sha256, sha256(coalesce(k.t, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN ranked b ON b.doc_id = d.doc_id AND b.best LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+""".replace("@CRC@", _CRC32.format("doc_id"))
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op10_line_runs": _OP10, "op11_periodic_runs": _OP11}

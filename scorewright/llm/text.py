@@ -98,9 +98,9 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(((sums[end] - sums[start]) * inverse[start]) ^ (np.asarray(end - start).astype(np.uint64) << np.uint64(48)))
 
 
-def words(piece: Piece, separator: np.ndarray = _SEPARATOR) -> Words:
-    """All words of a piece, between bytes that ``separator`` marks."""
-    data, n_rows = piece.data, piece.hi - piece.lo
+def word_spans(piece: Piece, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all words of a piece, and the index of each row's first word and one past the last row's."""
+    data = piece.data
     inside = ~separator[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
@@ -112,9 +112,14 @@ def words(piece: Piece, separator: np.ndarray = _SEPARATOR) -> Words:
     before = at[at > 0] - 1
     closes[before] |= inside[before]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    first = np.searchsorted(start, piece.offsets)
-    row = np.repeat(np.arange(n_rows), np.diff(first))
-    sums = prefix_sums(_LOWER[data])
+    return start, end, np.searchsorted(start, piece.offsets)
+
+
+def words(piece: Piece, separator: np.ndarray = _SEPARATOR) -> Words:
+    """All words of a piece, between bytes that ``separator`` marks."""
+    start, end, first = word_spans(piece, separator)
+    row = np.repeat(np.arange(piece.hi - piece.lo), np.diff(first))
+    sums = prefix_sums(_LOWER[piece.data])
     return Words(start, end, row, span_hash(sums, start, end), first)
 
 
