@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm.byte_bpe import decoded, encoded
@@ -16,6 +16,7 @@ from scorewright.llm.metric_join import metric_join
 from scorewright.llm.mixing import WORD, mix_sources
 from scorewright.llm.parity_join import parity_sketch_join
 from scorewright.llm.periodic_runs import periodic_runs
+from scorewright.llm.prefix_trie import prefix_trie
 from scorewright.llm.string_kernel import toxicity
 from scorewright.llm.store import row_key, scratch, written
 from scorewright.llm.substring_sa import remove_repeats
@@ -128,6 +129,28 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """``(conv_id, position, role, text)``: every conversation begins with up to eight turns of the one whose id divides by
+    five before it; a conversation without turns keeps one row without position."""
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    named = conversations.where("conv_id is not null")
+    turns = named.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.withColumn("position", F.row_number().over(order))
+    h = F.crc32(F.col("conv_id").cast("string")) % 9
+    ids = named.select("conv_id").distinct()
+    own = turns.where(F.col("position") > h).select("conv_id", "position", "role", "text")
+    heads = ids.select("conv_id", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"), h.alias("h")).where("h > 0")
+    base = turns.where("position <= 8").select(F.col("conv_id").alias("base"), "position", "role", "text")
+    head = heads.join(base, "base").where("position <= h").select("conv_id", "position", "role", "text")
+    none = ids.select("conv_id", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
+    return own.unionByName(head).unionByName(none)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the rebuilt conversations."""
+    return prefix_trie(rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_string_kernel": op2_string_kernel,
@@ -141,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_runs": op10_line_runs,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP1 = """
@@ -224,4 +248,36 @@ SELECT d.doc_id, coalesce(b.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1
 FROM docs d LEFT JOIN ranked b ON b.doc_id = d.doc_id AND b.best LEFT JOIN listed l ON l.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
 """.replace("@CRC@", _CRC32.format("doc_id"))
 
-ORACLES: dict[str, str] = {"op1_warc": _OP1, "op10_line_runs": _OP10, "op11_periodic_runs": _OP11}
+_OP13 = """
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, @CRC@ % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+    SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+), keyed AS (
+    SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS key, octet_length(encode(text)) AS bytes
+    FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), member AS (
+    SELECT conv_id, depth, key, bytes FROM keyed UNION ALL SELECT conv_id, 0, '', 0 FROM c
+), node AS (
+    SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved, left(key, 32 * (depth - 1)::INT) AS parent FROM member GROUP BY key, depth
+), children AS (
+    SELECT parent AS key, count(*) AS n FROM node WHERE depth > 0 GROUP BY parent
+), sized AS (
+    SELECT node.*, coalesce(children.n, 0) AS n_children FROM node LEFT JOIN children USING (key)
+), below AS (
+    SELECT left(key, 32 * k::INT) AS key, saved, n_children FROM (SELECT *, unnest(range(depth + 1)) AS k FROM sized)
+), summed AS (
+    SELECT key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY key
+), ends AS (
+    SELECT key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, arg_max(key, depth) AS key FROM member GROUP BY conv_id) GROUP BY key
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM sized n JOIN summed s USING (key) LEFT JOIN node p ON p.key = n.parent AND n.depth > 0 LEFT JOIN ends e ON e.key = n.key
+""".replace("@CRC@", _CRC32.format("conv_id"))
+
+ORACLES: dict[str, str] = {"op1_warc": _OP1, "op10_line_runs": _OP10, "op11_periodic_runs": _OP11, "op13_prefix_trie": _OP13}
