@@ -294,7 +294,11 @@ def prefix_trie(
         )
         merged = merged.select("p1", "p2", "keys.k1", "keys.k2", "keys.bytes", F.lit(crowd).cast("long").alias("depth"), "n", "first", "children", "leaves", "saved", "ends")
         parents = written(merged, "parents")
-        named = join_skewed(at_floor.drop("parent").select("*", *key), parents.select("p1", "p2", F.col("first").alias("parent")), ["p1", "p2"], **skew)
+        children = at_floor.drop("parent")
+        if crowd:
+            named = join_skewed(children.select("*", *key), parents.select("p1", "p2", F.col("first").alias("parent")), ["p1", "p2"], **skew)
+        else:
+            named = children.withColumn("parent", F.lit(parents.first()["first"]))  # the root alone
         parts.append(_node(named))
         items = written(parents.drop("p1", "p2").unionByName(items.where(F.col("depth") < crowd)), "items")
     parts.append(_node(_peeled(items, 0)))
