@@ -268,6 +268,10 @@ def add(name: str, *parts: str) -> None:
 
 add("delimited_roundtrip",
     "select cast(c_custkey as varchar) as c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+add("delimited_mixed_headers",
+    "select cast(c_custkey as varchar) as c_custkey, cast(c_nationkey as int) as c_nationkey, c_acctbal from customer")
+add("report_blocks", LINE, long("line", ["l_discount", "l_tax"], "varchar", ", y"), counts(),
+    "select 'bad-rate:' || var_name as block_id, var_name, bin, total, bad, round(bad / total, 6) as bad_rate from counts")
 add("append_report", LINE, long("line", ["l_discount", "l_tax"], "varchar", ", y"), counts(),
     "select var_name, bin, total, bad, round(bad / total, 6) as bad_rate from counts")
 add("null_tokens",

@@ -50,6 +50,31 @@ def delimited_roundtrip(spark, d):
     return P.require_key(io.read_delimited(spark, path, schema), "c_custkey")
 
 
+@query
+def delimited_mixed_headers(spark, d):
+    """Extracts of one folder whose files order their columns differently and hold others besides."""
+    path = io.scratch_path(spark, "customer-extracts")
+    customer = fr.table(spark, d, "customer")
+    odd, third = F.col("c_custkey") % 2 == 1, F.col("c_custkey") % 3 == 0
+    orders = {
+        "one": customer.where(odd).select("c_custkey", "c_acctbal", "c_nationkey"),
+        "two": customer.where(~odd & third).select("c_nationkey", F.lit("x").alias("note"), "c_custkey", "c_acctbal"),
+        "three": customer.where(~odd & ~third).select("c_acctbal", "c_nationkey", "c_custkey", "c_name"),
+    }
+    for name, part in orders.items():
+        io.write_delimited(part, f"{path}/{name}")
+    return io.read_delimited(spark, f"{path}/*", "c_custkey string, c_nationkey int, c_acctbal double")
+
+
+@query
+def report_blocks(spark, d):
+    """Blocks of a report sent again count once; a second writer of a block changes nothing."""
+    path = io.scratch_path(spark, "blocks")
+    for v in ("l_discount", "l_tax", "l_discount"):
+        io.append_block(W.bin_bad_rate(W.category_counts(fr.line(spark, d), [v], "y")), path, f"bad-rate:{v}")
+    return r6(io.read_report(spark, path).select("block_id", "var_name", "bin", "total", "bad", "bad_rate"), "bad_rate")
+
+
 @query
 def append_report(spark, d):
     path = io.scratch_path(spark, "bin-report")
