@@ -595,3 +595,25 @@ add("score_batch", *encoded(),
     "select o_orderkey, round(1 / (1 + exp(-(-0.1 + "
     + " + ".join(f"{w} * {c}_woe" for c, w in zip(ENCODED, (1.0, 0.5, 0.25, -0.5, 2.0)))
     + "))), 6) as score from encoded")
+add("corr_pairs_outliers",
+    """far as (select *, (l_linenumber + 7 * (l_orderkey % 1000)) % 1999 = 0 as far, (l_linenumber + 7 * (l_orderkey % 1000)) % 5 as fifth from lineitem),
+cols as (select case when far then 1e12 else l_extendedprice end as a, case when not far then l_extendedprice + l_quantity * 100 end as b,
+         case when not far and fifth <> 0 then l_quantity / 1000 + 1e6 end as c from far),
+corrs as (select 'a' as var_name1, 'b' as var_name2, corr(a, b) as corref from cols where a is not null and b is not null
+  union all select 'a', 'c', corr(a, c) from cols where a is not null and c is not null
+  union all select 'b', 'c', corr(b, c) from cols where b is not null and c is not null)""",
+    "select var_name1, var_name2, round(corref, 6) as corref from corrs where abs(corref) > 0.7")
+# Three columns by determinants: the factor of a column is its square sum times the minor without it over the determinant.
+add("vif_prune_drop",
+    """x as (select l_extendedprice as a, l_discount as b, l_extendedprice + l_quantity * 500 as c from lineitem),
+g as (select sum(a * a) as aa, sum(a * b) as ab, sum(a * c) as ac, sum(b * b) as bb, sum(b * c) as bc, sum(c * c) as cc from x),
+three as (select *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) as det from g),
+first as (select unnest(['l_extendedprice', 'l_discount', 'mixed']) as var_name,
+         unnest([aa * (bb * cc - bc * bc) / det, bb * (aa * cc - ac * ac) / det, cc * (aa * bb - ab * ab) / det]) as vif from three),
+gone as (select * from first qualify row_number() over (order by vif desc) = 1),
+pairs as (select 'l_extendedprice' as u, 'l_discount' as v, aa * bb / (aa * bb - ab * ab) as vif from g
+  union all select 'l_extendedprice', 'mixed', aa * cc / (aa * cc - ac * ac) from g
+  union all select 'l_discount', 'mixed', bb * cc / (bb * cc - bc * bc) from g),
+rest as (select unnest([u, v]) as var_name, p.vif from pairs p, gone where gone.var_name not in (u, v))""",
+    "select var_name, round(vif, 6) as vif, false as kept, 1 as step from gone where vif > 6"
+    " union all select var_name, round(vif, 6), true, 1 from rest where (select max(vif) from rest) <= 6")

@@ -617,6 +617,26 @@ def corr_pairs_wide(spark, d):
     return r6(L.corr_pairs(df, ["a", "b", "c", "e", "f", "flat", "a2", "e2"]))
 
 
+@query
+def corr_pairs_outliers(spark, d):
+    """Columns with gaps, and values of a trillion where their partner is missing."""
+    n = F.col("l_linenumber") + 7 * (F.col("l_orderkey") % 1000)
+    far = n % 1999 == 0
+    df = fr.line(spark, d).select(
+        F.when(far, F.lit(1e12)).otherwise(F.col("l_extendedprice")).alias("a"),
+        F.when(~far, F.col("l_extendedprice") + F.col("l_quantity") * 100).alias("b"),
+        F.when(~far & (n % 5 != 0), F.col("l_quantity") / 1000 + 1e6).alias("c"),
+    )
+    return r6(L.corr_pairs(df, ["a", "b", "c"]))
+
+
+@query
+def vif_prune_drop(spark, d):
+    """Two of three columns grow together; one of them goes."""
+    df = fr.line(spark, d).withColumn("mixed", F.col("l_extendedprice") + F.col("l_quantity") * 500)
+    return r6(L.vif_prune(df, ["l_extendedprice", "l_discount", "mixed"], max_vif=6.0))
+
+
 @query
 def corr_prune(spark, d):
     pairs = L.corr_pairs(_related(spark, d), ["a", "b", "c", "e", "f"])

@@ -50,6 +50,75 @@ def test_corr_matches_pandas(spark):
     assert len(got) == 6  # nothing with the constant
 
 
+@pytest.mark.parametrize("narrow", [6, 1])
+def test_an_outlier_without_partner_touches_no_pair(spark, monkeypatch, narrow):
+    monkeypatch.setattr(L, "_NARROW", narrow)
+    rows = [(float(i), 2.0 * i, None if i % 3 else 1e9 + i, 0.1) for i in range(999)] + [(1e12, None, None, 0.1), (None, -1e12, float("nan"), 0.1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, flat double").repartition(5)
+    got = {(r.var_name1, r.var_name2): r.corref for r in L.corr_pairs(df, ["a", "b", "c", "flat"]).collect()}
+    assert got.keys() == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert all(v == pytest.approx(1.0, abs=1e-9) for v in got.values())
+
+
+def test_moments_of_tiles_and_their_merges():
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        n, k = rng.integers(1, 60), rng.integers(1, 8)
+        x = rng.normal(size=(n, k)) * 10.0 ** rng.integers(-3, 6, k) + 10.0 ** rng.integers(0, 9, k)
+        x[rng.random((n, k)) < 0.3] = np.nan
+        x[rng.random((n, k)) < 0.02] = 1e12
+        want = np.array([[L._about_pair_means(x[:, i], x[:, j]) for j in range(k)] for i in range(k)]).transpose(2, 0, 1)
+        halves = L.merge_moments(L.tile_moments(x[: n // 2], x[: n // 2]), L.tile_moments(x[n // 2 :], x[n // 2 :]))
+        spread = np.sqrt(want[3] * want[4])
+        own_digits = 1e-14 * np.sqrt(want[0]) * (np.abs(want[1]) * np.sqrt(want[4]) + np.abs(want[2]) * np.sqrt(want[3]))
+        for got in (L.tile_moments(x, x), halves):
+            assert (got[0] == want[0]).all()
+            assert (np.abs(got[5] - want[5]) <= 1e-7 * spread + own_digits).all()
+
+
+def test_rows_of_a_task_follow_the_tiles(spark, monkeypatch):
+    monkeypatch.setattr(L, "TILE", 4)
+    names = [f"v{i}" for i in range(30)]
+    df = spark.range(200).select(*[F.rand(i).alias(c) for i, c in enumerate(names)]).repartition(3)
+    tasks = df.mapInArrow(L._partial(30, False), L._TILE_ROW).groupBy("task").count().collect()
+    assert all(r["count"] == 36 for r in tasks)  # 8 tiles in pairs
+    want = df.toPandas().corr()
+    got = L.co_moments(df, names).where("i < j").collect()
+    assert len(got) == 435
+    assert all(r.c / np.sqrt(r.vi * r.vj) == pytest.approx(want.iloc[r.i, r.j], abs=1e-9) for r in got)
+    assert L.co_moments(df.limit(0), names).count() == 0
+
+
+def test_sweep_equals_inverses():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 40))
+    g = x.T @ x
+    sweep, left = L.Sweep(g), list(range(40))
+    for k in (3, 39, 0, 17):
+        sweep.drop(k)
+        left.remove(k)
+        sub = g[np.ix_(left, left)]
+        assert np.allclose(sweep.factors()[left], np.diag(sub) * np.diag(np.linalg.inv(sub)))
+
+
+def test_columns_that_make_each_other_up_go_first(spark):
+    df = spark.createDataFrame(data()).withColumns({"sum": F.col("a") + F.col("b"), "none": F.lit(0.0)})
+    out = {r.var_name: (r.vif, r.kept, r.step) for r in L.vif_prune(df, ["c", "a", "b", "sum", "none", "noise"]).collect()}
+    assert out["a"] == (float("inf"), False, 1) and out["none"] == (float("inf"), False, 2)
+    assert all(out[c][1] and out[c][0] < 10 for c in ("c", "b", "sum", "noise"))
+
+
+def test_a_thousand_columns_in_seconds():
+    import time
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1500, 1000))
+    start, sweep = time.perf_counter(), L.Sweep(x.T @ x)
+    for k in range(300):
+        sweep.drop(k)
+    assert time.perf_counter() - start < 60 and np.isfinite(sweep.factors()[300:]).all()
+
+
 def test_corr_prune(spark):
     pairs = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("d", "e", -0.9)], "var_name1 string, var_name2 string, corref double")
     iv = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.1), ("d", 0.2), ("e", 0.2), ("f", 0.0)], "var_name string, iv double")
