@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -80,19 +80,45 @@ def _key_hash(on: Sequence[str], types: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
+def frequent_keys(df: DataFrame, keys: Sequence[str], types: Sequence[str]) -> tuple[int, int, dict[int, int]]:
+    """(job) Rows with a key, rows without one, and about how many rows each
+    of the most frequent keys has, by the key's hash.
+
+    A frequent-items sketch of fixed size: no shuffle of keys, at most
+    a thousand hashes returned.  Only the spreading of work depends on it,
+    never a result, so an approximate answer is enough."""
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    hashed = df.select(F.when(~no_key, _key_hash(keys, types)).alias("_h"))
+    found = hashed.agg(
+        F.count("_h").alias("n"), F.count(F.when(F.col("_h").isNull(), 1)).alias("without"), F.call_function("approx_top_k", F.col("_h"), F.lit(1000), F.lit(_TRACKED)).alias("t")
+    ).first()
+    return found["n"], found["without"], {i["item"]: i["count"] for i in (found["t"] or []) if i["item"] is not None}
+
+
+def _cuts(n: int, counts: Mapping[int, int], min_rows: int, piece_rows: int) -> dict[int, int]:
+    least = max(min_rows, HOT_SHARE * n)
+    return {h: max(2, -(-c // piece_rows)) for h, c in counts.items() if c >= least}
+
+
 def hot_keys(
     df: DataFrame, keys: Sequence[str], types: Sequence[str] | None = None, min_rows: int = HOT_ROWS, piece_rows: int = PIECE_ROWS
 ) -> dict[int, int]:
     """(job) Hashes of the keys with about ``min_rows`` rows or more that are
-    also a thousandth of all rows, and into how many pieces each is cut.
+    also a thousandth of all rows, and into how many pieces each is cut."""
+    n, _, counts = frequent_keys(df, keys, types or [df.schema[k].dataType.simpleString() for k in keys])
+    return _cuts(n, counts, min_rows, piece_rows)
 
-    A frequent-items sketch of fixed size: no shuffle of keys, at most
-    a thousand hashes returned.  Only the spreading of work depends on it,
-    never the result, so an approximate answer is enough."""
-    hashed = require_key(df, *keys).select(_key_hash(keys, types or [df.schema[k].dataType.simpleString() for k in keys]).alias("_h"))
-    found = hashed.agg(F.count("*").alias("n"), F.call_function("approx_top_k", F.col("_h"), F.lit(1000), F.lit(_TRACKED)).alias("t")).first()
-    least = max(min_rows, HOT_SHARE * found["n"])
-    return {i["item"]: max(2, -(-i["count"] // piece_rows)) for i in (found["t"] or []) if i["count"] >= least}
+
+def _dealt(rows: DataFrame, pieces: Column, name: str) -> DataFrame:
+    """Rows dealt over their pieces in turn, equal rows too.
+
+    The turn is a row's place in its task, after the task has sorted its rows
+    by their content: a task that is run again, over the same rows in another
+    order, deals them alike, which neither their place as they come nor a
+    random number would."""
+    content = F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t and "variant" not in t])
+    placed = rows.withColumn("_content", content).sortWithinPartitions("_content").drop("_content")
+    return placed.withColumn(name, F.pmod(F.monotonically_increasing_id(), pieces.cast("bigint")).cast("int"))
 
 
 def join_skewed(
@@ -102,28 +128,62 @@ def join_skewed(
     how: str = "inner",
     min_rows: int = HOT_ROWS,
     piece_rows: int = PIECE_ROWS,
+    unique: bool = False,
 ) -> DataFrame:
-    """(job) Equi-join that survives hot keys on the left side.
-
-    Rows of a hot key are spread over as many tasks as its row count asks for
-    by a hash of the whole row, and its matching right rows are repeated once
-    per task; all other keys keep salt 0 and are not repeated.  Keys of
-    different types are compared as the plain join compares them; where the
-    common type can't be told, the plain join is used.  Left rows without a
-    key match nothing and are spread as well.  Nothing is broadcast by hand."""
-    if how not in ("inner", "left", "left_semi"):
+    """(job) Equi-join (inner, left, left_semi or left_anti) that survives keys
+    that are hot on the left, on the right or on both sides.
+
+    A key with a pieces of left rows and b pieces of right rows becomes a grid
+    of a x b join tasks: each left row goes to one line of the grid and all its
+    columns, each right row to one column and all its lines, so each pair meets
+    once, and a task reads about two pieces.  Rows are dealt in turn, so equal
+    rows spread as well.  Where some key is hot, each side is read once for
+    its hot rows and once for the others; other keys are shuffled as in a plain
+    join.  Keys of different types are compared as the plain join compares
+    them; where the common type can't be told, the plain join is used.
+    ``unique`` says that the right side holds a key once, so that only the left
+    side is looked at.  Left rows without a key match nothing and, where they are many, aren't shuffled
+    at all.  Nothing is broadcast by hand."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
+    on = list(on)
     types = common_types(left, right, on)
-    hot = hot_keys(left, on, types, min_rows, piece_rows) if types else {}
+    if types is None:
+        return left.join(right, on, how)
+    n, without, counts = frequent_keys(left, on, types)
+    lines, columns = _cuts(n, counts, min_rows, piece_rows), {}
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*on).distinct()
+    elif not unique:
+        n, _, counts = frequent_keys(right, on, types)
+        columns = _cuts(n, counts, min_rows, piece_rows)
+    if how == "left" and columns:  # a line of the grid may lack the match that another has
+        both = join_skewed(left, right, on, "inner", min_rows, piece_rows)
+        alone = join_skewed(left, right, on, "left_anti", min_rows, piece_rows)
+        return both.unionByName(alone, allowMissingColumns=True)
+    if without >= min_rows and how in ("left", "left_anti"):
+        no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
+        kept = join_skewed(left.where(~no_key), right, on, how, min_rows, piece_rows, unique)
+        return kept.unionByName(left.where(no_key), allowMissingColumns=True)
+    hot = sorted({*lines, *columns})
     if not hot:
-        return left.join(right, list(on), how)
-    table = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
-    pieces = F.coalesce(F.try_element_at(table, _key_hash(on, types)), F.lit(1))
-    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in on])
-    row = F.xxhash64(*left.columns)
-    salted = left.withColumn("_salt", F.when(no_key, F.pmod(row, F.lit(64))).otherwise(F.pmod(row, pieces)).cast("int"))
-    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+        return left.join(right, on, how)
+    key = _key_hash(on, types)
+    is_hot = F.coalesce(key.isin(hot), F.lit(False))
+
+    def pieces(cuts: Mapping[int, int]) -> Column:
+        table = [F.lit(x) for pair in cuts.items() for x in pair]
+        return F.coalesce(F.try_element_at(F.create_map(*table), key), F.lit(1)) if cuts else F.lit(1)
+
+    def every(cuts: Mapping[int, int]) -> Column:
+        return F.explode(F.sequence(F.lit(0), pieces(cuts) - 1))
+
+    cold = {"_salt": F.lit(0), "_part": F.lit(0)}
+    hot_left = _dealt(left.where(is_hot), pieces(lines), "_salt").withColumn("_part", every(columns))
+    hot_right = _dealt(right.where(is_hot), pieces(columns), "_part").withColumn("_salt", every(lines))
+    left = left.where(~is_hot).withColumns(cold).unionByName(hot_left)
+    right = right.where(~is_hot).withColumns(cold).unionByName(hot_right)
+    return left.join(right, [*on, "_salt", "_part"], how).drop("_salt", "_part")
 
 
 def inner_join(
@@ -160,7 +220,7 @@ def enrich(
     """Left outer enrichment.  The right side is reduced to its first row per
     key before the join, so the left rows neither fan out nor need a second
     de-duplication."""
-    return join_skewed(left, first_record(right, on, order), on, "left", **skew)
+    return join_skewed(left, first_record(right, on, order), on, "left", unique=True, **skew)
 
 
 def join_chain(tables: Sequence[DataFrame], key: str, checked: bool = True) -> DataFrame:

@@ -161,7 +161,7 @@ def encode(df: DataFrame, table: DataFrame, cols: Sequence[str], measure: str, s
             lookup = table.where(F.col("var_name") == c).select(
                 F.col("bin").alias("_bin"), F.col(measure).cast("double").alias(c + suffix)
             )
-            out = join_skewed(out.withColumn("_bin", bin_text(df, c)), lookup, ["_bin"], "left").drop("_bin")
+            out = join_skewed(out.withColumn("_bin", bin_text(df, c)), lookup, ["_bin"], "left", unique=True).drop("_bin")
     return out
 
 

@@ -617,3 +617,11 @@ pairs as (select 'l_extendedprice' as u, 'l_discount' as v, aa * bb / (aa * bb -
 rest as (select unnest([u, v]) as var_name, p.vif from pairs p, gone where gone.var_name not in (u, v))""",
     "select var_name, round(vif, 6) as vif, false as kept, 1 as step from gone where vif > 6"
     " union all select var_name, round(vif, 6), true, 1 from rest where (select max(vif) from rest) <= 6")
+add("skewed_both_sides",
+    "l as (select case when l_linenumber < 3 then 0 else l_suppkey end as k, l_linenumber as nr from lineitem)",
+    "r as (select case when c_custkey % 3 = 0 then 0 else c_custkey end as k, c_nationkey as nation from customer)",
+    "select nation, nr, count(*) as n, cast(sum(k) as bigint) as keys from l join r using (k) group by all")
+add("skewed_left_join",
+    "l as (select case when event_id % 4 <> 0 then case when event_id % 3 = 0 then 1 else user_id end end as k, event_type from events)",
+    "r as (select case when o_orderkey % 50 = 0 then 1 else o_custkey * 3 end as k, o_orderstatus as status from orders)",
+    "select event_type, status, count(*) as n, count(l.k) as with_key from l left join r on l.k = r.k group by all")

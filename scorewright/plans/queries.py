@@ -549,6 +549,25 @@ def skewed_mixed_keys(spark, d):
     return joined.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"))
 
 
+@query
+def skewed_both_sides(spark, d):
+    """Keys that are hot on both sides, most of their rows equal."""
+    line = fr.table(spark, d, "lineitem")
+    left = line.select(F.when(F.col("l_linenumber") < 3, 0).otherwise(F.col("l_suppkey")).alias("k"), F.col("l_linenumber").alias("nr"))
+    right = fr.table(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(F.col("c_custkey")).cast("bigint").alias("k"), F.col("c_nationkey").alias("nation"))
+    joined = A.join_skewed(left, right, ["k"], min_rows=200, piece_rows=150)
+    return joined.groupBy("nation", "nr").agg(F.count("*").alias("n"), F.sum("k").cast("bigint").alias("keys"))
+
+
+@query
+def skewed_left_join(spark, d):
+    """Left join whose hot key repeats on the right, and keys that are missing or match nothing."""
+    left = fr.evt(spark, d).select(F.when(F.col("event_id") % 4 != 0, F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id"))).alias("k"), "event_type")
+    right = fr.table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 50 == 0, 1).otherwise(F.col("o_custkey") * 3).cast("bigint").alias("k"), F.col("o_orderstatus").alias("status"))
+    joined = A.join_skewed(left, right, ["k"], "left", min_rows=50, piece_rows=100)
+    return joined.groupBy("event_type", "status").agg(F.count("*").alias("n"), F.count("k").alias("with_key"))
+
+
 @query
 def band_join(spark, d):
     """Scores placed into open-ended bands of a table."""

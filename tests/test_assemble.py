@@ -66,6 +66,47 @@ def test_hot_keys_of_different_types_lose_nothing(spark, types, how):
     assert sorted(map(tuple, salted), key=str) == sorted(map(tuple, plain), key=str)
 
 
+def largest_task(joined):
+    """Rows of the largest join task, and all, before AQE looks at them."""
+    rows = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    return max(r["count"] for r in rows), sum(r["count"] for r in rows)
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    left = spark.range(20_000).select(F.lit(7).alias("k"), F.lit("same").alias("v")).repartition(4)
+    right = spark.createDataFrame([(7, 1), (8, 2)], "k int, w int")
+    for conf in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(conf, "false" if "adaptive" in conf else "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        most, total = largest_task(A.join_skewed(left, right, ["k"], min_rows=500, piece_rows=1000))
+    finally:
+        for conf in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+            spark.conf.unset(conf)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert total == 20_000 and most <= 2 * 1000
+
+
+def test_a_retried_task_deals_alike(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).alias("a"), F.lit("x").alias("b")).coalesce(1)
+    dealt = [A._dealt(r, F.lit(5), "_salt").groupBy("a", "_salt").count() for r in (rows, rows.sort(F.desc("a")), rows.sort("a").coalesce(1))]
+    assert dealt[0].exceptAll(dealt[1]).isEmpty() and dealt[0].exceptAll(dealt[2]).isEmpty()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("sides", ["left", "right", "both"])
+def test_keys_hot_on_either_side(spark, how, sides):
+    def table(n, hot):
+        hot_key = F.when(F.col("id") % 2 == 0, F.lit(7)) if hot else F.when(F.lit(False), F.lit(0))
+        return spark.range(n).select(F.coalesce(hot_key, F.when(F.col("id") % 11 == 1, F.lit(None)).otherwise((F.col("id") % 30).cast("int"))).alias("k"), (F.col("id") % 3).alias("v"))
+
+    left = table(400, sides != "right").union(spark.createDataFrame([(99, 0)] * 60, "k int, v long"))
+    right = table(300, sides != "left").where("k <> 5").withColumnRenamed("v", "w")
+    plain = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+    cut = A.join_skewed(left, right, ["k"], how, min_rows=20, piece_rows=15)
+    assert sorted(map(tuple, cut.select(*left.join(right, "k", how).columns).collect()), key=str) == plain
+
+
 def test_zeros_of_both_signs_join(spark):
     left = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)).alias("k"))
     right = spark.createDataFrame([(0.0, 1)], "k double, w int")
