@@ -22,6 +22,7 @@ is the response only if no row with an id holds the payload. Repeated rows are r
 from __future__ import annotations
 
 import hashlib
+import logging
 import math
 import struct
 from collections.abc import Iterator
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 
 from scorewright.llm.store import scratch
 
+_LOG = logging.getLogger(__name__)
+
 # Fixed values of the format
 DICTIONARY_MAGIC = 0x184D2A5D
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"  # an empty skippable frame
@@ -46,10 +49,11 @@ LEVEL = 6
 
 
 def train_dictionary(payloads: list[bytes]) -> bytes:
-    """A Zstandard dictionary of the records; empty if they are too few to train one."""
+    """A Zstandard dictionary of the records; empty, and said so in the log, if they are too few or too short to train one."""
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, payloads).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as error:
+        _LOG.warning("archives without a dictionary: %d training pieces of %d bytes (%s)", len(payloads), sum(map(len, payloads)), error)
         return b""
 
 
@@ -92,8 +96,11 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _encode(dictionary: bytes):
+    """Records of a task's rows, which come sorted by ``rk``; a row with ``refers_to`` comes before the pages that revisit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor, opened = _compressor(dictionary), False
+        revisiting, response = None, None
         for batch in batches:
             if not len(batch):
                 continue
@@ -101,9 +108,13 @@ def _encode(dictionary: bytes):
             if not opened:
                 out.append(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                 opened = True
-            for page_id, url, html, digest, refers_to, revisit in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True):
+            for rk, page_id, url, html, digest, refers_to in zip(*(batch.column(c) for c in ("rk", "page_id", "url", "html", "digest", "refers_to")), strict=True):
+                if refers_to.is_valid:
+                    revisiting, response = rk.as_py(), refers_to.as_py()
+                    continue
+                revisit = rk.as_py() == revisiting
                 payload = (html.as_py() or "").encode()
-                out.append(frames(compressor, record_bytes(page_id.as_py(), url.as_py(), payload, digest.as_py(), refers_to.as_py(), revisit.as_py())))
+                out.append(frames(compressor, record_bytes(page_id.as_py(), url.as_py(), payload, digest.as_py(), response if revisit else None, revisit)))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
     return run
@@ -114,19 +125,25 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 1000, archive
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
     base = base.withColumn("size", F.octet_length("html").cast("long")).withColumn("rk", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest"))
-    totals = base.agg(F.sum("size"), F.count("*")).first()
+    pieces = F.ceil(F.col("size") / SAMPLE_BYTES)
+    totals = base.agg(F.sum("size"), F.count("*"), F.sum(pieces)).first()
     archives = max(1, math.ceil(((totals[0] or 0) + 512 * totals[1]) / archive_bytes))
 
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "rk"), F.lit(1 << 30)) / float(1 << 30)
-    short = base.where(F.col("size").between(1, SAMPLE_BYTES) & (chance < SAMPLE_ROWS / max(totals[1], 1))).select("html")
-    dictionary = train_dictionary(sorted(r["html"].encode() for r in short.collect()))
+    def piece(k):
+        chance = F.pmod(F.xxhash64(F.lit("sample"), "rk", k), F.lit(1 << 30)) / float(1 << 30)
+        return F.when(chance < SAMPLE_ROWS / max(totals[2] or 0, 1), F.substr("html", (k * SAMPLE_BYTES + 1).cast("int"), F.lit(SAMPLE_BYTES)))
+
+    drawn = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), piece), lambda p: p != "")
+    sample = base.where("size > 0").select(F.explode(drawn).alias("piece"))
+    dictionary = train_dictionary(sorted(r["piece"].encode() for r in sample.collect()))
 
     groups = base.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
     copies = base.where(F.col("size") >= least_bytes).select("rk", "page_id", "digest").join(groups, "digest")
     revisits = copies.where("response is not null and not (page_id <=> response)").select("rk", F.col("response").alias("refers_to")).distinct()
-    dealt = base.select("rk", "page_id", "url", "html", "digest").repartition(archives, "rk").join(revisits.repartition(archives, "rk"), "rk", "left")
-    records = dealt.select("page_id", "url", "html", "digest", "refers_to", F.col("refers_to").isNotNull().alias("revisit"))
-    encoded = records.mapInArrow(_encode(dictionary), "frame binary")
+    # payloads are shuffled once: what revisits what goes along as rows of its own, that the encoder meets first
+    rows = base.select("rk", "page_id", "url", "html", "digest").unionByName(revisits, allowMissingColumns=True)
+    dealt = rows.repartition(archives, "rk").sortWithinPartitions("rk", F.col("refers_to").asc_nulls_last())
+    encoded = dealt.mapInArrow(_encode(dictionary), "frame binary")
     encoded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
 
 

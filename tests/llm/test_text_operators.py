@@ -199,6 +199,10 @@ def test_mix_is_packed(make):
     assert {k: len(w) for k, w in words.items()} == {k: sum(r.words for r in parts) for k, parts in of.items()}
     text = {r.rk: r.text.split() for r in docs.withColumn("rk", MX.row_key("doc_id", "text")).where("text is not null").collect()}
     assert all(words[k][r.at : r.at + r.words] == text[r.rk][r.first_word : r.first_word + r.words] for k, parts in of.items() for r in parts)
+    made = {(r.shard, r.slot): r for r in MX.mix_texts(docs, block_words=16, shard_slots=50).collect()}
+    assert {k: r.text.split(" ") for k, r in made.items()} == words
+    assert all([d for d in made[k].doc_ids] == [r.doc_id for r in parts] for k, parts in of.items())
+    assert MX.mix_texts(docs.limit(0)).count() == 0
     taken, want = collections.Counter(), collections.Counter()
     for r in spans:
         taken[r.doc_id, r.source] += r.words
@@ -252,6 +256,81 @@ def test_latent_search_finds_paraphrases(spark, make):
     assert LS.leaks(make([]), benchmark).count() == 0 and LS.leaks(make(docs), benchmark.limit(0)).count() == 0
 
 
+def test_any_window_that_passes_counts(spark, make):
+    """A document with the last half of an item, and further on a greater part of it without its end."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    item, fill = [word() for _ in range(20)], lambda n: [word() for _ in range(n)]
+    docs = [(1, " ".join([*fill(30), *item[10:], *fill(60), *item[:11], *fill(30)])), (2, " ".join([*fill(30), *item[10:], *fill(60)])), (3, " ".join([*fill(30), *item[:11], *fill(60)]))]
+    docs += [(10 + k, " ".join(fill(60))) for k in range(60)]
+    benchmark = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in LS.leaks(make(docs), benchmark).collect()} == {1, 2}
+    assert not LS.passes(0.55, 0.0) and LS.passes(0.5, 1.0)
+
+
+def test_recall_of_the_gates_beyond_the_fit_sample(spark, make, monkeypatch):
+    """Of all documents that hold an item by brute force over every window, the gates lose none or few."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(500)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(rng.randint(15, 60)) for _ in range(12)]
+    docs = []
+    for i in range(400):
+        words = say(rng.randint(20, 120))
+        if i % 4 == 0:
+            kept = [w if rng.random() > 0.25 else rng.choice(vocabulary) for w in items[i // 4 % 12]]
+            words[10:10] = kept
+        docs.append((i, " ".join(words)))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    monkeypatch.setattr(LS, "FIT_DOCS", 100)
+    got = {(r.doc_id, r.item_id) for r in LS.leaks(make(docs), benchmark).collect()}
+    monkeypatch.setattr(LS, "LEAST_COSINE", -2.0)
+    monkeypatch.setattr(LS, "LEAST_RARE", 0)
+    sample = [t for _, t in docs[:100]]
+    fold = np.zeros((LS.TERMS + 1, 1), np.float32)
+    q = LS.queries([(i, " ".join(w)) for i, w in enumerate(items)], fold[:-1], np.ones(LS.TERMS))
+    want = set()
+    for piece in T.pieces(pa.array([t for _, t in docs])):
+        for r, s, _, common, answer in LS.found_in(T.words(piece, T.NOT_LETTERS), fold, q):
+            if LS.passes(common, answer):
+                want.add((docs[piece.lo + r][0], q.item[s]))
+    assert sample and len(want) >= 80 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_columns_with_dots_pass(spark, make):
+    docs = make([(1, "a b c d e f\nx y\nz"), (2, "a b c d e f\nx y\nz"), (3, None)]).withColumn("a.b", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    from scorewright.llm.parity_join import drop_near_duplicates
+
+    for kept in (KN.drop_rejected(docs, labels), LR.drop_repeated_runs(docs), drop_near_duplicates(docs), LS.drop_leaks(docs, benchmark)):
+        assert kept.columns == docs.columns and kept.count() >= 1
+
+
+def test_dictionaries_come_from_long_pages_too(spark, caplog):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    pages = spark.createDataFrame([(i, "u", " ".join(rng.choice(words) for _ in range(9000))) for i in range(40)], "page_id long, url string, html string")
+    path = scratch(spark, "warc-long")
+    W.write_archives(pages, path)
+    heads = [bytes(f.content[:8]) for f in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert all(int.from_bytes(h[4:], "little") > 1000 for h in heads)
+    with caplog.at_level("WARNING"):
+        W.write_archives(pages.limit(1).select("page_id", "url", F.lit("x").alias("html")), scratch(spark, "warc-short"))
+    assert "without a dictionary" in caplog.text
+
+
+def test_payloads_are_shuffled_once(spark, monkeypatch):
+    plans = []
+    kind = type(spark.range(1))
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: plans.append(self._jdf.queryExecution().executedPlan().toString()) or own(self, *a, **k))
+    W.write_archives(spark.createDataFrame([(i, "u", "x" * 1500) for i in range(50)], "page_id long, url string, html string"), scratch(spark, "warc-plan"), archive_bytes=3000)
+    initial = plans[0].split("Initial Plan")[-1]
+    assert sum("Exchange" in line and "html" in line for line in initial.splitlines()) <= 1
+    assert initial.count("REPARTITION_BY_NUM") == 1
+
+
 def test_toxic_text_with_gaps(spark, make):
     rng = random.Random(9)
     say = lambda n: [rng.choice(["the", "and", "other", "nation", "reads", "rest", "loss", "closer"]) for _ in range(n)]
