@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm import text as T
-from scorewright.llm.store import written
+from scorewright.llm.store import whole_row, written
 
 ORDER = 4
 SYMBOLS = 64
@@ -40,6 +40,7 @@ QUANTILE = 0.99
 MARGIN = 0.0  # of log perplexity, beyond the quantile
 LEAST_TRUSTED = 30
 BROADCAST_IDS = 4_000_000  # 8 bytes each
+MERGE_GRAMS = 200_000
 
 _LINE_END, _SKIP = 29, 255
 
@@ -87,22 +88,29 @@ def grams(piece: T.Piece) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    all_of, trusted_of = (np.zeros(SYMBOLS**ORDER, np.int32) for _ in range(2))
-    some = False
+    """N-grams of a task with their counts in trusted text: sorted tables of pieces, merged when they have grown."""
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for batch in batches:
         trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
         for piece in T.pieces(batch.column("text")):
             key, first = grams(piece)
             own = np.repeat(trusted[piece.lo : piece.hi], np.diff(first))
-            for total, keys in ((all_of, key[~own]), (trusted_of, key[own])):
-                value, n = np.unique(keys, return_counts=True)
-                total[value] += n.astype(np.int32)
-            some = True
-    if some:
-        found = np.flatnonzero((all_of > 0) | (trusted_of > 0))
-        for lo in range(0, len(found), 100_000):
-            part = found[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(trusted_of[part].astype(np.int64))], ["gram", "c"])
+            value, where = np.unique(key, return_inverse=True)
+            held.append((value.astype(np.int64), np.bincount(where, own, len(value)).astype(np.int64)))
+            if sum(len(v) for v, _ in held[1:]) > max(MERGE_GRAMS, len(held[0][0])):
+                held = [_added(held)]
+    value, count = _added(held)
+    for lo in range(0, len(value), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(value[lo : lo + 100_000]), pa.array(count[lo : lo + 100_000])], ["gram", "c"])
+
+
+def _added(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of sorted tables of n-grams and counts."""
+    value, count = (np.concatenate(part) for part in zip(*tables, strict=True))
+    order = np.argsort(value, kind="stable")
+    value, count = value[order], count[order]
+    fresh = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+    return value[fresh], np.add.reduceat(count, fresh) if len(fresh) else count
 
 
 def _mask(order: int) -> int:
@@ -143,16 +151,28 @@ def _probabilities(wanted: DataFrame, seen: list[DataFrame], order: int) -> Data
     return joined.select("gram", F.coalesce(p, F.col("q")).alias("p"))
 
 
+class _Logs:
+    """Log probabilities by n-gram: a row of 64 for every context of three symbols that occurs."""
+
+    def __init__(self, gram: np.ndarray, log: np.ndarray) -> None:
+        context = np.unique(gram >> BITS)
+        self.row = np.zeros(1 << (BITS * (ORDER - 1)), np.int32)
+        self.row[context] = np.arange(len(context))
+        self.table = np.zeros((len(context), SYMBOLS), np.float32)
+        self.table[self.row[gram >> BITS], gram & (SYMBOLS - 1)] = log
+
+    def of(self, gram: np.ndarray) -> np.ndarray:
+        return self.table[self.row[gram >> BITS], gram & (SYMBOLS - 1)]
+
+
 def _scorer(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, value = table.value
-        logs = np.zeros(SYMBOLS**ORDER, np.float32)
-        logs[key] = value
+        logs = _Logs(*table.value)
         for batch in batches:
             mean, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
             for piece in T.pieces(batch.column("text")):
                 gram, first = grams(piece)
-                sums = np.concatenate([[0.0], np.cumsum(logs[gram], dtype=np.float64)])
+                sums = np.concatenate([[0.0], np.cumsum(logs.of(gram), dtype=np.float64)])
                 n = np.diff(first)
                 size[piece.lo : piece.hi] = n
                 mean[piece.lo : piece.hi] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
@@ -216,6 +236,6 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """The input rows that aren't rejected. (job)"""
     gone = judged(docs, labels, id_col, text_col, lang_col, **limits).where("not kept").select("id", "th", F.col("lang").alias("_lang")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(lang_col).alias("_l"))
+    rows = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"), F.col(lang_col).alias("_l"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")) & F.col("_l").eqNullSafe(F.col("_lang"))
     return rows.join(gone, same, "left_anti").select("row.*")

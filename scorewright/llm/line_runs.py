@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from scorewright.llm.store import written
+from scorewright.llm.store import whole_row, written
 
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,7 +103,7 @@ def line_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id
     dead = covered.join(lines.select("rk", "pos", "at"), ["rk", "pos"]).groupBy("rk").agg(F.array_sort(F.collect_list("at")).alias("_dead"), F.array_sort(F.collect_list("pos")).alias("_pos"))
     counts = lines.groupBy("rk").agg(F.count("*").alias("_n"))
     facts = counts.join(dead, "rk", "left").withColumnRenamed("rk", "_rk")
-    joined = docs.select(key.alias("_rk"), F.struct(*docs.columns).alias("row")).join(facts, "_rk", "left")
+    joined = docs.select(key.alias("_rk"), whole_row(docs).alias("row")).join(facts, "_rk", "left")
     runs = F.aggregate(F.col("_pos"), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("n")), lambda a, x: F.struct(x.alias("last"), (a["n"] + F.when(x == a["last"] + 1, 0).otherwise(1)).alias("n")))["n"]
     removed = F.coalesce(F.size("_dead"), F.lit(0))
     text = F.col("row").getField(text_col)

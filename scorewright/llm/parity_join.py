@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from scorewright.llm import text as T
 from scorewright.llm.components import components
-from scorewright.llm.store import row_key, written
+from scorewright.llm.store import row_key, whole_row, written
 
 BAND_RATIO = 1.6
 SKETCH_WORDS = 16  # 1,024 bits
@@ -354,7 +354,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col:
     copies = named.where("n_shingles > 0").groupBy(F.col("rk").alias("_rk")).agg((F.count("*") > 1).alias("_many"))
     kept = kept.select(F.col("best.rk").alias("_rk")).join(copies, "_rk")
     kept = written(kept.unionByName(named.where("n_shingles = 0").select(F.col("rk").alias("_rk"), F.lit(False).alias("_many")).distinct()), "kept")
-    keyed = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_rk"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("_rk"), whole_row(docs).alias("row"))
     single = keyed.join(kept.where("not _many"), "_rk", "left_semi")
     if kept.where("_many").isEmpty():
         return single.select("row.*")

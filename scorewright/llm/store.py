@@ -28,3 +28,8 @@ def row_key(id_col: str, text_col: str) -> Column:
     Rows that agree in id and text share it.
     """
     return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`").alias(c) for c in df.columns))

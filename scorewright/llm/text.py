@@ -1,7 +1,8 @@
 """Words and word n-grams of Arrow text columns as flat numpy arrays.
 
 A word is a maximal run of bytes other than space and the five control characters 09-0D; A-Z count as a-z. Work
-proceeds over pieces of a few megabytes of whole texts, so memory doesn't grow with the batch.
+proceeds over pieces of half a megabyte of whole texts, so memory doesn't grow with the batch, and what a reused worker
+keeps between tasks doesn't grow with the longest text.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -71,16 +72,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_KEPT_POWERS = PIECE_BYTES + 1
+_POWERS: list[np.ndarray] = []
+
+
+def _power_table(base: np.uint64, n: int) -> np.ndarray:
+    table = np.full(n, base, np.uint64)
+    table[0] = 1
+    return np.cumprod(table, dtype=np.uint64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            table = np.full(n, base, np.uint64)
-            table[0] = 1
-            _POWERS[k] = np.cumprod(table, dtype=np.uint64)
+    """Powers 0..n-1 of the base and of its inverse, modulo 2**64. Those of a piece are kept, those of a longer text aren't."""
+    if n > _KEPT_POWERS:
+        return _power_table(_BASE, n), _power_table(_BASE_INV, n)
+    if not _POWERS:
+        _POWERS.extend(_power_table(base, _KEPT_POWERS) for base in (_BASE, _BASE_INV))
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
