@@ -7,7 +7,8 @@ pseudorandom permutation of the block indexes of its own, so every block is used
 draws are calibrated: a source takes no slots beyond its target, and what the draws leave short is filled by a last,
 small shard. The slots of a shard are numbered by a permutation of its own, so its sources alternate. Slots join blocks
 by source and index: each slot of the mix lists the word spans of documents that fill its block. ``packed`` adds the
-texts; ``mix_sources`` sums the words each document supplies.
+texts to such a list; ``mix_texts`` packs each block once and writes out the slots' texts; ``mix_sources`` sums the words
+each document supplies.
 
 *Targets.* Sources in code-point order (null last) weigh by the given cycle and share all words; none exceeds ``repeats``
 times its own size, and what is above is shared again by weight among the others until none is above.
@@ -23,15 +24,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from scorewright.llm.store import row_key, written
 from scorewright.llm.text import mix as spread
+from scorewright.operators.assemble import join_skewed
 
 WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
@@ -156,7 +160,8 @@ def _mix(placed: DataFrame, table: DataFrame, wanted: list[int], block_words: in
         "source_no", "block", "source", "doc_id", "rk", "offset", (start - F.col("block") * block_words).alias("at"), (start - F.col("offset")).alias("first_word"), (end - start).alias("words")
     )
     slots = _slots(placed.sparkSession, table, wanted, seed, shard_slots)
-    mix = slots.join(spans, ["source_no", "block"])
+    # both grow with the documents, and the planner sees their size only before they are exploded
+    mix = slots.hint("merge").join(spans.hint("merge"), ["source_no", "block"])
     return written(mix.select("shard", "slot", "source", "block", "at", "doc_id", "rk", "first_word", "words", "source_no", "offset"), "mix")
 
 
@@ -218,6 +223,56 @@ def packed(mix: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: st
     return parts.select("shard", "slot", "source", "block", F.array_join(F.col("parts.text"), " ").alias("text"))
 
 
+def _packing(block_words: int):
+    """The words of each row, cut at the blocks of its source's stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, block, at, text = [], [], [], []
+            for i, (offset, content) in enumerate(zip(batch.column("offset").to_pylist(), batch.column("text"), strict=True)):
+                words = _WORDS.findall(content.as_py())
+                first = 0
+                while first < len(words):
+                    number, place = divmod(offset + first, block_words)
+                    last = first + block_words - place
+                    row.append(i)
+                    block.append(number)
+                    at.append(place)
+                    text.append(" ".join(words[first:last]))
+                    first = last
+            kept = batch.select(["source_no", "source", "doc_id"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(block, pa.int64()), pa.array(at, pa.int32()), pa.array(text, pa.string())], ["source_no", "source", "doc_id", "block", "at", "text"])
+
+    return run
+
+
+def mix_texts(
+    docs: DataFrame,
+    cycle: tuple[float, ...] = (1, 2, 3),
+    repeats: int = 3,
+    block_words: int = BLOCK_WORDS,
+    shard_slots: int = SHARD_SLOTS,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: ``(shard, slot, source, block, doc_ids, text)``, a row per slot. (job)
+
+    ``text`` is the block's words, a space between them, ``doc_ids`` the documents they come from, in order. Every text is
+    cut into its blocks once; a block of ``block_words`` words is put together where it meets its slots.
+    """
+    placed, table, wanted = _placed(docs, cycle, repeats, block_words, seed, id_col, text_col, source_col)
+    texts = docs.select(row_key(id_col, text_col).alias("rk"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["rk"])
+    full = join_skewed(placed.where("size > 0").select("rk", "source_no", "source", "doc_id", "offset"), texts, ["rk"], unique=True)
+    kind = lambda c: placed.schema[c].dataType.simpleString()
+    pieces = full.mapInArrow(_packing(block_words), f"source_no int, source {kind('source')}, doc_id {kind('doc_id')}, block bigint, at int, text string")
+    parts = pieces.groupBy("source_no", "source", "block").agg(F.array_sort(F.collect_list(F.struct("at", "doc_id", "text"))).alias("parts"))
+    blocks = parts.select("source_no", "source", "block", F.col("parts.doc_id").alias("doc_ids"), F.array_join("parts.text", " ").alias("text"))
+    slots = _slots(docs.sparkSession, table, wanted, seed, shard_slots)
+    return slots.hint("merge").join(blocks.hint("merge"), ["source_no", "block"]).select("shard", "slot", "source", "block", "doc_ids", "text")
+
+
 def _slots(spark, table: DataFrame, wanted: list[int], seed: int, shard_slots: int) -> DataFrame:
     """The block that each slot of the mix takes: ``(source_no, block, shard, slot)``, slots counting from 0 in their shard."""
     total = sum(wanted)
