@@ -296,7 +296,7 @@ def prefix_trie(
         parents = written(merged, "parents")
         children = at_floor.drop("parent")
         if crowd:
-            named = join_skewed(children.select("*", *key), parents.select("p1", "p2", F.col("first").alias("parent")), ["p1", "p2"], **skew)
+            named = join_skewed(children.select("*", *key), parents.select("p1", "p2", F.col("first").alias("parent")), ["p1", "p2"], unique=True, **skew)
         else:
             named = children.withColumn("parent", F.lit(parents.first()["first"]))  # the root alone
         parts.append(_node(named))

@@ -88,8 +88,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated strings of 400 bytes removed."""
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    """Repeated strings of 400 bytes removed, and whether a document holds any."""
+    return remove_repeats(_table(spark, sf_dir, "documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op10_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
