@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorewright.llm.kn_quality import drop_rejected
 from scorewright.llm.latent_search import drop_leaks
 from scorewright.llm.line_runs import drop_repeated_runs
-from scorewright.llm.mixing import mix_sources
+from scorewright.llm.mixing import mix_texts
 from scorewright.llm.parity_join import drop_near_duplicates
 from scorewright.llm.store import written
 
@@ -21,6 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: later copies of runs of lines are cut from the texts; documents of which no line is left go."""
     cut = drop_repeated_runs(docs)
+    if "n_chars" not in docs.columns:
+        return cut
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -35,8 +37,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing sources to target weights: how many words of each document the mix takes."""
-    return mix_sources(docs)
+    """Mixing sources to target weights: the slots of the mix, each with its text and the documents it comes from."""
+    return mix_texts(docs)
 
 
 STAGES = [
@@ -47,8 +49,8 @@ STAGES = [
     ("source_mix", mixed),
 ]
 
-#: No SQL: the models and draws of three stages are beyond it. Line runs and the n-gram join are tested against
-#: brute force, latent search and quality on planted cases and sums, mixing by its invariants; the whole only for its shape.
+#: No SQL: the models and draws of three stages are beyond it. Each stage is tested against a brute-force version over a
+#: small fixture (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
