@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,56 +210,97 @@ def _special_levels(df: DataFrame, cols: Sequence[str], special: Sequence[float]
     return seen.asDict()
 
 
-def _chi(total: np.ndarray, bad: np.ndarray, rate: float) -> np.ndarray:
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _chi(total: Column, bad: Column, rate: Column) -> Column:
     expected = total * rate
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return (expected - bad) ** 2 / expected
+    return F.try_divide(F.pow(expected - bad, 2), expected)
+
+
+def _merged_intervals(rows: Column, rate: Column, wanted: Column) -> Column:
+    """Intervals ``(hi, chi)`` of the sorted group rows after merging: a fold
+    that joins the neighbours of least chi-square, the first ones on ties,
+    until ``wanted`` are left."""
+    single = F.transform(rows, lambda g: F.struct(g["grp"].alias("hi"), _chi(g["total"], g["bad"], rate).alias("chi")))
+
+    def join_least(intervals: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(intervals, 1, F.size(intervals) - 1), F.slice(intervals, 2, F.size(intervals) - 1), lambda a, b: F.struct((a["chi"] + b["chi"]).alias("chi"), b["hi"].alias("hi"))
+        )
+
+        def joined(pairs: Column) -> Column:
+            least = F.array_min(F.transform(pairs, lambda p: p["chi"]))
+            at = F.array_position(F.transform(pairs, lambda p: p["chi"]), least).cast("int")
+            pair = F.get(pairs, at - 1)
+            return F.concat(
+                F.slice(intervals, 1, at - 1), F.array(F.struct(pair["hi"].alias("hi"), pair["chi"].alias("chi"))), F.slice(intervals, at + 2, F.size(intervals))
+            )
+
+        return _let(pairs, joined)
+
+    steps = F.greatest(F.size(rows) - F.greatest(wanted, F.lit(1)), F.lit(0))
+    turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    return F.reduce(turns, single, lambda intervals, _: join_least(intervals))
+
 
+def _without_pure_bins(cuts: Column, rows: Column, rate: Column) -> Column:
+    """Cuts without those beside bins of bads or goods only: the first such
+    bin loses its cut, an inner one that of the neighbour it is more alike."""
+    empty = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("bad"))
 
-def merge_groups(
-    groups: pd.DataFrame, max_interval: int, n_special: int, prebinned: bool = False
-) -> list[float]:
-    """Chi-merge of one variable's group table (about a hundred rows).
+    def bins_of(cuts: Column) -> Column:
+        numbered = F.transform(rows, lambda g: F.struct(F.size(F.filter(cuts, lambda c: c <= g["grp"])).alias("bin"), g["total"].alias("total"), g["bad"].alias("bad")))
+
+        def summed(numbered: Column) -> Column:
+            def one(k: Column) -> Column:
+                own = F.filter(numbered, lambda g: g["bin"] == k)
+                return F.reduce(own, empty, lambda s, g: F.struct((s["total"] + g["total"]).alias("total"), (s["bad"] + g["bad"]).alias("bad")))
+
+            return F.filter(F.transform(F.sequence(F.lit(0), F.size(cuts)), one), lambda b: b["total"] > 0)
+
+        return _let(numbered, summed)
+
+    def drop_one(cuts: Column) -> Column:
+        def chosen(bins: Column) -> Column:
+            at = F.array_position(F.transform(bins, lambda b: (b["bad"] == 0) | (b["bad"] == b["total"])), F.lit(True)).cast("int") - 1
+            chi = lambda k: _chi(F.get(bins, k)["total"], F.get(bins, k)["bad"], rate)
+            inner = F.when(chi(at - 1) + chi(at) < chi(at) + chi(at + 1), at - 1).otherwise(at)
+            gone = F.when(at == F.size(bins) - 1, F.size(cuts) - 1).when(at == 0, F.lit(0)).otherwise(inner)
+            return F.when(at < 0, cuts).otherwise(F.filter(cuts, lambda _, i: i != gone))
+
+        return F.when(F.size(cuts) > 0, _let(bins_of(cuts), chosen)).otherwise(cuts)
+
+    turns = F.when(F.size(cuts) > 0, F.sequence(F.lit(1), F.size(cuts))).otherwise(F.array().cast("array<int>"))
+    return F.reduce(turns, cuts, lambda left, _: drop_one(left))
+
+
+def merge_cuts(groups: DataFrame, max_interval: int, n_codes: int, prebinned: Sequence[str] = ()) -> DataFrame:
+    """Chi-merge of group tables ``(var_name, grp, is_special, total, bad)``
+    of about a hundred rows a variable: ``(var_name, n, cuts)``.
 
     Neighbouring intervals with the least chi-square are merged, the first
     one on ties, until few enough are left; then cuts are dropped while a bin
-    holds bads or goods only."""
-    groups = groups.sort_values("grp")
-    if len(groups) <= max_interval and not prebinned:
-        return [float(v) for v in groups["grp"].iloc[:-1]]
-    rows = groups[~groups["is_special"].astype(bool)]
-    value = rows["grp"].to_numpy(float)
-    total = rows["total"].to_numpy(float)
-    bad = rows["bad"].to_numpy(float)
-    rate = bad.sum() / total.sum()
-    if rate in (0.0, 1.0):
-        return []
-    chi = _chi(total, bad, rate).tolist()
-
-    ends = list(range(1, len(value) + 1))  # interval i covers rows ends[i-1]:ends[i]
-    while len(ends) > max_interval - n_special:
-        starts = [0, *ends[:-1]]
-        pairs = [sum(chi[starts[i] : ends[i + 1]]) for i in range(len(ends) - 1)]
-        del ends[pairs.index(min(pairs))]
-    cuts = [value[e - 1] for e in ends[:-1]]
-
-    while cuts:
-        number = np.searchsorted(cuts, value, side="right")
-        seen, where = np.unique(number, return_inverse=True)
-        t = np.bincount(where, weights=total)
-        b = np.bincount(where, weights=bad)
-        pure = [i for i in range(len(seen)) if b[i] in (0.0, t[i])]
-        if not pure:
-            break
-        i = pure[0]
-        if i == len(seen) - 1:
-            cuts.pop()
-        elif i == 0:
-            cuts.pop(0)
-        else:
-            left, right = (_chi(t[s], b[s], rate).sum() for s in (slice(i - 1, i + 1), slice(i, i + 2)))
-            cuts.pop(i - 1 if left < right else i)
-    return [float(c) for c in cuts]
+    holds bads or goods only.  Both loops are folds over one array of a
+    variable's groups, inside the JVM.  A variable that wasn't pre-binned and
+    has few groups keeps them all, specials too."""
+    row = F.struct(F.col("grp").cast("double").alias("grp"), "is_special", F.col("total").cast("bigint").alias("total"), F.col("bad").cast("bigint").alias("bad"))
+    per = groups.groupBy("var_name").agg(F.array_sort(F.collect_list(row)).alias("groups"), F.sum("total").cast("bigint").alias("n"))
+    plain = F.filter("groups", lambda g: ~g["is_special"])
+    total = lambda c: F.reduce("rows", F.lit(0).cast("bigint"), lambda s, g: s + g[c])
+    per = per.withColumn("rows", plain).withColumns({"t": total("total"), "b": total("bad"), "special": F.size("groups") > F.size("rows")})
+    per = per.withColumn("rate", F.try_divide(F.col("b").cast("double"), F.col("t")))
+    wanted = F.lit(max_interval) - F.when(F.col("special"), F.lit(n_codes)).otherwise(0)
+    none = F.array().cast("array<double>")
+    intervals = _merged_intervals(F.col("rows"), F.col("rate"), wanted)
+    per = per.withColumn("ends", F.transform(intervals, lambda i: i["hi"]))
+    merged = _let(F.slice("ends", 1, F.greatest(F.size("ends") - 1, F.lit(0))), lambda c: _without_pure_bins(c, F.col("rows"), F.col("rate")))
+    few = (F.size("groups") <= max_interval) & ~F.col("var_name").isin(list(prebinned))
+    every = F.transform(F.slice("groups", 1, F.greatest(F.size("groups") - 1, F.lit(0))), lambda g: g["grp"])
+    one_sided = F.coalesce(F.col("rate").isin(0.0, 1.0), F.lit(True))
+    return per.select("var_name", "n", F.when(few, every).when(one_sided, none).otherwise(merged).alias("cuts"))
 
 
 def chi_merge(
@@ -269,16 +308,8 @@ def chi_merge(
 ) -> DataFrame:
     """(job) Chi-merge cut points ``(var_name, n, cuts)`` of all columns.
 
-    Spark reduces every column to its group table of at most about a hundred
-    rows; only the merging of those rows runs in Python, one small group per
-    variable, in parallel over the variables.  Empty cuts mean that a variable
+    Every column is reduced to its group table of at most about a hundred
+    rows; variables are merged in parallel.  Empty cuts mean that a variable
     cannot be binned."""
-    n_codes = len(special)
     table, many = _chi_groups(df, cols, y, special)
-
-    def per_variable(key, groups):
-        n_special = n_codes if bool(groups["is_special"].any()) else 0
-        cuts = merge_groups(groups, max_interval, n_special, key[0] in many)
-        return pd.DataFrame({"var_name": [key[0]], "n": [int(groups["total"].sum())], "cuts": [cuts]})
-
-    return table.groupBy("var_name").applyInPandas(per_variable, "var_name string, n bigint, cuts array<double>")
+    return merge_cuts(table, max_interval, len(special), many)

@@ -479,6 +479,47 @@ add("chi_prebin", APP,
     " from long l)",
     "select var_name, grp, is_special, count(*) as total, cast(sum(y) as bigint) as bad from grouped group by all")
 
+_CHI = "power({t} * rate - {b}, 2) / ({t} * rate)"
+_PAIRS = "[ivs[i].chi + ivs[i + 1].chi for i in range(1, len(ivs))]"
+add("chi_merge", APP,
+    "wide as (select *, cast(substr(o_orderpriority, 1, 1) as double) as prio from app)",
+    long("wide", ["o_totalprice", "acct_s", "prio", "n_regionkey"], keep=", y"),
+    cuts("100", where="value <> -99 and var_name not in ('prio', 'n_regionkey')"),
+    "grouped as (select var_name, y, value = -99 as is_special, case when value = -99 or var_name in ('prio', 'n_regionkey') then value"
+    " else coalesce((select min(cut) from cuts c where c.var_name = l.var_name and c.cut >= l.value), 1e11) end as grp"
+    " from long l)",
+    "groups_of as (select var_name, grp, is_special, count(*) as total, sum(y)::bigint as bad from grouped group by all)",
+    """per as (select var_name, sum(total)::bigint as n, count(*) as k, bool_or(is_special) as special,
+    sum(bad) filter (where not is_special) / sum(total) filter (where not is_special) as rate, list(grp order by grp) as every
+  from groups_of group by var_name)""",
+    f"""merged as (
+  select g.var_name, list(struct_pack(hi := grp, chi := {_CHI.format(t='total', b='bad')}) order by grp) as ivs,
+         5 - any_value(special)::int as wanted
+  from groups_of g join per using (var_name) where not is_special group by g.var_name
+  union all
+  select var_name, list_concat(list_concat(ivs[1:(spot - 1)], [struct_pack(hi := ivs[spot + 1].hi, chi := pairs[spot])]), ivs[(spot + 2):len(ivs)]), wanted
+  from (select *, list_position(pairs, list_min(pairs)) as spot from (select *, {_PAIRS} as pairs from merged where len(ivs) > wanted)))""",
+    "least as (select * from merged qualify row_number() over (partition by var_name order by len(ivs)) = 1)",
+    f"""kept as (
+  select var_name, [i.hi for i in ivs[1:(len(ivs) - 1)]] as cuts, true as going from least
+  union all
+  select var_name, case when gone is null then cuts else list_concat(cuts[1:(gone - 1)], cuts[(gone + 1):len(cuts)]) end, gone is not null
+  from (select *, case when spot is null then null when spot = len(bins) then len(cuts) when spot = 1 then 1
+               when chis[spot - 1] + chis[spot] < chis[spot] + chis[spot + 1] then spot - 1 else spot end as gone
+    from (select *, nullif(list_position([b.bad = 0 or b.bad = b.total for b in bins], true), 0) as spot,
+                 [{_CHI.format(t='b.total', b='b.bad')} for b in bins] as chis
+      from (select var_name, cuts, rate, list(struct_pack(total := total, bad := bad) order by bin) as bins
+        from (select k.var_name, k.cuts, p.rate, len(list_filter(k.cuts, lambda c: c <= g.grp)) as bin, sum(g.total) as total, sum(g.bad) as bad
+          from kept k join groups_of g on g.var_name = k.var_name and not g.is_special join per p on p.var_name = k.var_name
+          where k.going and len(k.cuts) > 0 group by all)
+        group by all))))""",
+    "last as (select * from kept qualify row_number() over (partition by var_name order by len(cuts), going) = 1)",
+    """final as (select p.var_name, p.n, case when k <= 5 and p.var_name in ('prio', 'n_regionkey') then every[1:(k - 1)]
+    when rate in (0, 1) then [] else l.cuts end as cuts from per p join last l using (var_name))""",
+    "select var_name, n, (generate_subscripts(cuts, 1) - 1)::int as position, unnest(cuts) as cut from final"
+    " union all select var_name, n, null, null from final where len(cuts) = 0")
+ORACLES["chi_merge"] = ORACLES["chi_merge"].replace("with ", "with recursive ", 1)
+
 # -- evaluation ------------------------------------------------------------------------------
 
 add("ks", SCORE, curve("score"), f"select round({KS_ABS}, 6) as ks_abs, round({KS}, 6) as ks from curve")

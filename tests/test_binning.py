@@ -132,22 +132,37 @@ def groups(values, totals, bads, specials=()):
     return pd.DataFrame({"grp": values, "is_special": [v in specials for v in values], "total": totals, "bad": bads})
 
 
-def test_chi_merge_hand_case():
-    assert B.merge_groups(groups([1.0, 2, 3, 4], [10] * 4, [1, 2, 6, 7]), 2, 0) == [3.0]
+def merge(spark, table, max_interval, n_special, prebinned=False):
+    rows = spark.createDataFrame(table).selectExpr("'v' as var_name", "grp", "is_special", "total", "bad")
+    return B.merge_cuts(rows, max_interval, n_special, ["v"] if prebinned else []).first()["cuts"]
 
 
-def test_chi_merge_few_values_keeps_special_as_cut():
-    assert B.merge_groups(groups([-99.0, 0, 5], [5] * 3, [1, 2, 3], [-99.0]), 5, 1) == [-99.0, 0.0]
+def test_chi_merge_hand_case(spark):
+    assert merge(spark, groups([1.0, 2, 3, 4], [10] * 4, [1, 2, 6, 7]), 2, 0) == [3.0]
 
 
-def test_chi_merge_drops_pure_bins():
-    got = B.merge_groups(groups([1.0, 2, 3, 4, 5, 6], [10] * 6, [0, 0, 5, 5, 10, 10]), 4, 0)
+def test_chi_merge_few_values_keeps_special_as_cut(spark):
+    assert merge(spark, groups([-99.0, 0, 5], [5] * 3, [1, 2, 3], [-99.0]), 5, 1) == [-99.0, 0.0]
+
+
+def test_chi_merge_drops_pure_bins(spark):
+    got = merge(spark, groups([1.0, 2, 3, 4, 5, 6], [10] * 6, [0, 0, 5, 5, 10, 10]), 4, 0)
     t = groups([1.0, 2, 3, 4, 5, 6], [10] * 6, [0, 0, 5, 5, 10, 10])
     number = np.searchsorted(got, t.grp, side="right")
     rates = (t.groupby(number)["bad"].sum() / t.groupby(number)["total"].sum()).tolist()
     assert got and 0 not in rates and 1 not in rates
 
 
+def test_merging_runs_inside_the_jvm(spark):
+    table = groups([float(i) for i in range(60)], [10] * 60, [(i * 7) % 10 for i in range(60)])
+    rows = spark.createDataFrame(table).selectExpr("'v' as var_name", "grp", "is_special", "total", "bad")
+    out = B.merge_cuts(rows, 5, 0, ["v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and len(out.first()["cuts"]) <= 4
+    one_sided = spark.createDataFrame([("v", 1.0, False, 5, 5), ("v", 2.0, False, 5, 5)] + [("w", float(i), True, 5, 1) for i in range(7)], rows.schema)
+    assert {r.var_name: r.cuts for r in B.merge_cuts(one_sided, 5, 7, ["v", "w"]).collect()} == {"v": [], "w": []}
+
+
 def brute_chi_merge(values, y, max_interval, special):
     """Row-level restatement of the rules for a small column."""
     levels = sorted(set(values))
@@ -242,11 +257,11 @@ def test_encode_matches_every_number_type(spark):
     assert all(v is not None for r in out for v in r)
 
 
-def test_few_groups_of_many_values_are_still_merged():
+def test_few_groups_of_many_values_are_still_merged(spark):
     """Few groups left by pre-binning are not few values: the special is no
     cut, and pure bins still go (cuts 1, 2, then 2, then none)."""
     t = groups([-99.0, 1, 2, 3], [10] * 4, [5, 2, 4, 6], [-99.0])
-    assert B.merge_groups(t, 5, 1) == [-99.0, 1.0, 2.0]
-    assert B.merge_groups(t, 5, 1, prebinned=True) == [1.0, 2.0]
+    assert merge(spark, t, 5, 1) == [-99.0, 1.0, 2.0]
+    assert merge(spark, t, 5, 1, prebinned=True) == [1.0, 2.0]
     pure = groups([-99.0, 1, 2, 3], [10] * 4, [5, 0, 4, 6], [-99.0])
-    assert B.merge_groups(pure, 5, 1, prebinned=True) == []
+    assert merge(spark, pure, 5, 1, prebinned=True) == []
