@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.columns import key_slot, logistic
+from scorewright.operators.newton import Model, fit_all
 from scorewright.sources.tables import materialise
 
 
@@ -52,25 +52,12 @@ def assemble(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
 
 
-def logistic_estimator(n: float, C: float = 1.0, intercept: bool = True) -> LogisticRegression:
-    """L2 fit with penalty strength ``C`` on the summed loss of ``n`` rows."""
-    return LogisticRegression(
-        labelCol="y",
-        weightCol="w",
-        regParam=1.0 / (C * n),
-        elasticNetParam=0.0,
-        standardization=False,
-        fitIntercept=intercept,
-        maxIter=100,
-    )
-
-
 def fit_scorecard(df: DataFrame, cols: Sequence[str], y: str, C: float = 1.0) -> tuple[dict[str, float], float]:
-    """(job) Coefficients by name, and the intercept."""
-    rows = patterns(df, cols, y)
-    n = rows.agg(F.sum("w")).first()[0]
-    model = logistic_estimator(n, C).fit(assemble(rows, cols))
-    return dict(zip(cols, map(float, model.coefficients))), float(model.intercept)
+    """(job) Coefficients by name, and the intercept, of an L2 fit: the summed
+    loss plus squared coefficients over ``2 C``, the intercept apart."""
+    cols = list(cols)
+    (fit,) = fit_all(patterns(df, cols, y), cols, [Model(range(len(cols)))], 1.0 / C)
+    return dict(zip(cols, map(float, fit.beta[1:]))), float(fit.beta[0])
 
 
 def lr_coefficients(df: DataFrame, cols: Sequence[str], y: str, C: float = 1.0) -> DataFrame:

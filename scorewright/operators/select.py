@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
-from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.columns import double_array, key_slot
+from scorewright.functions.columns import key_slot
 from scorewright.operators.evaluate import ks_auc
 from scorewright.operators.linear import gram
-from scorewright.operators.model import assemble, logistic_estimator, patterns
+from scorewright.operators.model import assemble, patterns
+from scorewright.operators.newton import Model, fit_all, held_out_scores
 
 FOLDS = 10
 # The alpha grid of the usual cross-validated lasso.
@@ -43,56 +41,52 @@ def fold_counts(df: DataFrame, key: str, y: str) -> DataFrame:
     return _with_fold(df, key).groupBy(F.col("_fold").alias("fold")).agg(F.count("*").alias("n"), F.sum(y).alias("bad"))
 
 
-def cv_backward(df: DataFrame, cols: Sequence[str], y: str, key: str, parallelism: int = 8) -> DataFrame:
+def cv_backward(df: DataFrame, cols: Sequence[str], y: str, key: str, C: float = 1.0) -> DataFrame:
     """(job) Backward pass by cross-validated AUC.
 
     Variables are taken out one after another, cumulatively; the first one
     whose removal gives a higher AUC than the step before is deleted, and the
     pass starts again until a pass deletes none.  Returns ``(var_name, kept,
-    round, auc)`` with the AUC at deletion."""
-    rows = patterns(_with_fold(df, key), cols, y, "_fold")
-    folds = {r["_fold"]: r["n"] for r in rows.groupBy("_fold").agg(F.sum("w").alias("n")).collect()}
-    total = sum(folds.values())
-
-    def score(names: list[str]) -> float:
-        """Mean AUC over the folds: the fits run side by side, and one job
-        judges all held-out rows, each under the model of its fold."""
-        ready = assemble(rows, names)
-
-        def fit(f: int) -> list[float]:
-            model = logistic_estimator(total - folds[f]).fit(ready.where(F.col("_fold") != f))
-            return [float(model.intercept), *map(float, model.coefficients)]
-
-        with ThreadPool(min(parallelism, len(folds))) as pool:
-            models = dict(zip(folds, pool.map(inheritable_thread_target(rows.sparkSession)(fit), folds)))
+    round, auc)`` with the AUC at deletion.
 
-        def weight(i: int) -> Column:
-            return F.get(double_array(models[f][i] if f in models else 0.0 for f in range(FOLDS)), F.col("_fold"))
-
-        z = reduce(Column.__add__, [F.col(c) * weight(i) for i, c in enumerate(names, 1)], weight(0))
-        held_out = 1.0 / (1.0 + F.exp(-z))
-        judged = ks_auc(rows.withColumn("_score", held_out), "_score", "y", ["_fold"], weight="w")
-        return judged.agg(F.avg("auc")).first()[0]
+    A pass fits all its removals in all folds together, a job per Newton step,
+    from the coefficients of the pass before, and judges all held-out rows in
+    one histogram, each under the model of its fold.  A fold without rows
+    doesn't count."""
+    cols = list(cols)
+    rows = patterns(_with_fold(df, key), cols, y, "_fold")
+    folds = sorted(r["_fold"] for r in rows.select("_fold").distinct().collect())
+    left, deleted = list(range(len(cols))), []
+    seen: dict[tuple[int, ...], float] = {}
+    last: dict[int, np.ndarray] = {}
+
+    def judge(subsets: list[tuple[int, ...]]) -> None:
+        """Mean AUC over the folds of every subset."""
+        fits = fit_all(rows, cols, [Model(s, f, last.get(f)) for s in subsets for f in folds], 1.0 / C)
+        beta = np.zeros((len(subsets), FOLDS, len(cols) + 1))
+        for i in range(len(subsets)):
+            for j, f in enumerate(folds):
+                beta[i, f] = fits[i * len(folds) + j].beta
+        last.update({f: beta[0, f] for f in folds})
+        judged = ks_auc(held_out_scores(rows, cols, beta), "score", "y", ["candidate", "_fold"], weight="w")
+        for r in judged.groupBy("candidate").agg(F.avg("auc").alias("auc")).collect():
+            seen[subsets[r["candidate"]]] = r["auc"]
 
-    left, deleted, seen = list(cols), [], {}
     while True:
-        rest, before, drop = list(left), 1.0, None
-        for name in left:
-            rest.remove(name)
-            if not rest:
-                break
-            key_ = tuple(rest)
-            if key_ not in seen:
-                seen[key_] = score(rest)
-            if seen[key_] > before:
-                drop = (name, seen[key_])
+        subsets = [tuple(left[i:]) for i in range(1, len(left))]  # the list without its first, its first two, ...
+        if new := [s for s in subsets if s not in seen]:
+            judge(new)
+        before, drop = 1.0, None
+        for name, rest in zip(left, subsets):
+            if seen[rest] > before:
+                drop = name
                 break
-            before = seen[key_]
+            before = seen[rest]
         if drop is None:
             break
-        deleted.append((drop[0], False, len(deleted) + 1, drop[1]))
-        left.remove(drop[0])
-    table = [(c, True, 0, None) for c in left] + deleted
+        deleted.append((cols[drop], False, len(deleted) + 1, seen[rest]))
+        left.remove(drop)
+    table = [(cols[i], True, 0, None) for i in left] + deleted
     return df.sparkSession.createDataFrame(table, "var_name string, kept boolean, round int, auc double")
 
 
@@ -202,28 +196,29 @@ def lasso_forward(df: DataFrame, cols: Sequence[str], y: str, key: str) -> DataF
 
 def sign_filter(df: DataFrame, cols: Sequence[str], y: str, C: float = 1.0) -> DataFrame:
     """(job) Coefficients of an L2 logistic fit and whether they are positive."""
-    rows = patterns(df, cols, y)
-    n = rows.agg(F.sum("w")).first()[0]
-    model = logistic_estimator(n, C).fit(assemble(rows, cols))
-    table = [(c, float(v), bool(v > 0)) for c, v in zip(cols, model.coefficients)]
+    cols = list(cols)
+    (fit,) = fit_all(patterns(df, cols, y), cols, [Model(range(len(cols)))], 1.0 / C)
+    table = [(c, float(v), bool(v > 0)) for c, v in zip(cols, fit.beta[1:])]
     return df.sparkSession.createDataFrame(table, "var_name string, coef double, kept boolean")
 
 
 def pvalue_backward(df: DataFrame, cols: Sequence[str], y: str, max_p: float = 0.05) -> DataFrame:
     """(job) Drop the variable with the greatest p-value of a logit without
-    intercept until none exceeds the limit."""
+    intercept until none exceeds the limit.  Each fit starts from the
+    coefficients of the one before."""
+    cols = list(cols)
     rows = patterns(df, cols, y)
-    fit = GeneralizedLinearRegression(
-        family="binomial", link="logit", labelCol="y", weightCol="w", fitIntercept=False, maxIter=50
-    )
-    left, table = list(cols), []
+    left, table, start = list(range(len(cols))), [], None
     while left:
-        model = fit.fit(assemble(rows, left))
-        p = list(model.summary.pValues)
+        (fit,) = fit_all(rows, cols, [Model(left, start=start)], intercept=False)
+        start = fit.beta
+        beta = fit.beta[1:][left]
+        error = np.sqrt(np.diag(fit.covariance)[1:][left])
+        p = [math.erfc(abs(b) / e / math.sqrt(2.0)) if e > 0 else 1.0 for b, e in zip(beta, error)]
         worst = int(np.argmax(p))
         if p[worst] <= max_p:
-            table += [(c, float(b), float(v), True) for c, b, v in zip(left, model.coefficients, p)]
+            table += [(cols[i], float(b), float(v), True) for i, b, v in zip(left, beta, p)]
             break
-        table.append((left[worst], float(model.coefficients[worst]), float(p[worst]), False))
+        table.append((cols[left[worst]], float(beta[worst]), float(p[worst]), False))
         left.pop(worst)
     return df.sparkSession.createDataFrame(table, "var_name string, coef double, p_value double, kept boolean")
