@@ -666,3 +666,106 @@ add("skewed_left_join",
     "l as (select case when event_id % 4 <> 0 then case when event_id % 3 = 0 then 1 else user_id end end as k, event_type from events)",
     "r as (select case when o_orderkey % 50 = 0 then 1 else o_custkey * 3 end as k, o_orderstatus as status from orders)",
     "select event_type, status, count(*) as n, count(l.k) as with_key from l left join r on l.k = r.k group by all")
+
+# -- fits ---------------------------------------------------------------------------
+
+
+def inverted(source: str, name: str, k: int) -> list[str]:
+    """CTEs that invert the k x k matrix ``m`` of every row of ``source``, pivot by pivot."""
+    out, last = [], source
+    for p in range(1, k + 1):
+        cell = (
+            f"case when i = {p} and j = {p} then 1 / m[{p}][{p}] when i = {p} then m[{p}][j] / m[{p}][{p}]"
+            f" when j = {p} then -m[i][{p}] / m[{p}][{p}] else m[i][j] - m[i][{p}] * m[{p}][j] / m[{p}][{p}] end"
+        )
+        rows = f"list_transform(range(1, {k + 1}), lambda i: list_transform(range(1, {k + 1}), lambda j: {cell}))"
+        now = name if p == k else f"{name}_{p}"
+        out.append(f"{now} as materialized (select * replace ({rows} as m) from {last})")
+        last = now
+    return out
+
+
+def newton(k: int, penalty: float, steps: int = 9) -> list[str]:
+    """CTE ``fits``: ``(model, b, m)``, coefficients and inverse Hessian of
+    every model, from ``rows_of (fold, xs, y, w)`` and ``models (model, fold,
+    use, ridge)``; a model leaves its fold out and uses the columns marked 1."""
+    out = [f"b0 as materialized (select model, fold, use, ridge, [0.0 for i in range({k})] as b from models)"]
+    hessian = ", ".join(
+        "[" + ", ".join(f"sum(v * x[{i}] * x[{j}])" + (f" + any_value(1 - use[{i}] + use[{i}] * ridge[{i}])" if i == j else "") for j in range(1, k + 1)) + "]"
+        for i in range(1, k + 1)
+    )
+    gradient = ", ".join(f"sum(w * (y - p) * x[{i}]) - any_value(use[{i}] * ridge[{i}] * b[{i}])" for i in range(1, k + 1))
+    for t in range(1, steps + 1):
+        out += [
+            f"""s{t} as materialized (select model, any_value(fold) as fold, any_value(use) as use, any_value(ridge) as ridge, any_value(b) as b, [{hessian}] as m, [{gradient}] as g
+  from (select *, w * p * (1 - p) as v from (select model, n.fold, use, ridge, b, y, w, x, 1 / (1 + exp(-list_dot_product(x, b))) as p
+    from (select n.*, r.y, r.w, list_transform(range(1, {k + 1}), lambda i: r.xs[i] * n.use[i]) as x from b{t - 1} n join rows_of r on r.fold <> n.fold) n))
+  group by model)""",
+            *inverted(f"s{t}", f"i{t}", k),
+            f"b{t} as materialized (select model, fold, use, ridge, list_transform(range(1, {k + 1}), lambda i: b[i] + list_dot_product(m[i], g)) as b, m from i{t})",
+        ]
+        if t < steps:
+            out[-1] = out[-1].replace(", m from", " from")
+    return [*out, f"fits as (select * from b{steps})"]
+
+
+_WOE_NAMES = [f"{c}_woe" for c in ENCODED]
+
+
+def _encoded_rows(intercept: bool, fold: str = "0", where: str = "true") -> str:
+    xs = ", ".join((["1.0"] if intercept else []) + _WOE_NAMES)
+    return f"rows_of as materialized (select fold, xs, y, count(*)::double as w from (select {fold} as fold, [{xs}] as xs, y::double as y from encoded where {where}) group by all)"
+
+
+_L2 = "models as (select 0 as model, -1 as fold, [1, 1, 1, 1, 1, 1] as use, [0.0, 1, 1, 1, 1, 1] as ridge)"
+_TRAIN = slot("o_orderkey") + " < 7"
+add("lr_coefficients", *encoded(), _encoded_rows(True, where=_TRAIN), _L2, *newton(6, 1.0),
+    f"select unnest({['intercept', *_WOE_NAMES]}) as var_name, round(unnest(b), 6) as coef from fits")
+add("sign_filter", *encoded(), _encoded_rows(True, where=_TRAIN), _L2, *newton(6, 1.0),
+    f"select var_name, round(coef, 6) as coef, coef > 0 as kept from (select unnest({_WOE_NAMES}) as var_name, unnest(b[2:6]) as coef from fits)")
+# All subsets are fitted; the path through them follows the greatest p-value. The normal tail is summed by Simpson's rule.
+add("pvalue_backward", *encoded(), _encoded_rows(False, where=_TRAIN),
+    "models as (select s as model, -1 as fold, [(s >> i) & 1 for i in range(5)] as use, [0.0, 0, 0, 0, 0] as ridge from range(1, 32) t(s))",
+    *newton(5, 0.0),
+    "tests as (select model, i, b[i + 1] as coef, abs(b[i + 1]) / sqrt(m[i + 1][i + 1]) as z from fits, range(5) t(i) where use[i + 1] = 1)",
+    "p_values as (select *, case when z > 38 then 0.0 else 2 * 12 / 3000.0 / 3 * list_sum([(case when j in (0, 3000) then 1 when j % 2 = 1 then 4 else 2 end)"
+    " * exp(-power(z + j * 12 / 3000.0, 2) / 2) / sqrt(2 * pi()) for j in range(3001)]) end as p from tests)",
+    "worst as (select * from p_values qualify row_number() over (partition by model order by p desc, i) = 1)",
+    "path as (select 31 as model union all select model - (1 << i)::int from path join worst using (model) where p > 0.05 and model <> 1 << i)",
+    "steps as (select w.* from path join worst w using (model))",
+    f"names as (select unnest({_WOE_NAMES}) as var_name, unnest(range(5)) as i)",
+    "select var_name, round(coef, 6) as coef, round(p, 6) as p_value, false as kept from steps join names using (i) where p > 0.05"
+    " union all select var_name, round(coef, 6), round(p, 6), true from p_values join names using (i)"
+    " where model = (select min(model) from path) and (select max(p) from steps where model = (select min(model) from path)) <= 0.05")
+ORACLES["pvalue_backward"] = ORACLES["pvalue_backward"].replace("with ", "with recursive ", 1)
+# All subsets are fitted in all folds; a pass walks through those that the variables left give.
+add("cv_backward", *encoded(), _encoded_rows(True, slot("o_orderkey", "fold")),
+    "models as (select s * 10 + f as model, f as fold, list_concat([1], [(s >> i) & 1 for i in range(5)]) as use,"
+    " [0.0, 1, 1, 1, 1, 1] as ridge from range(1, 31) t(s), range(10) u(f))",
+    *newton(6, 1.0, 7),
+    "judged as (select model, list_dot_product(b, [x * u for x, u in zip(xs, use)]) as z, sum(w) as total, sum(w * y) as bad"
+    " from fits f join rows_of r on r.fold = f.fold group by all)".replace("[x * u for x, u in zip(xs, use)]", "list_transform(range(1, 7), lambda i: xs[i] * use[i])"),
+    "ranked as (select *, sum(total - bad) over (partition by model order by z) as good_upto from judged)",
+    "areas as (select model // 10 as s, sum(bad * (good_upto - (total - bad) / 2)) / (sum(bad) * sum(total - bad)) as auc from ranked group by model)",
+    "means as (select s, avg(auc) as auc from areas group by s)",
+    """walk as (select mask, i, (mask >> (i + 1)) << (i + 1) as rest, auc from range(1, 32) t(mask), range(5) u(i)
+  join means on s = (mask >> (i + 1)) << (i + 1) where (mask >> i) & 1 = 1)""",
+    "drops as (select * from (select *, auc > coalesce(lag(auc) over (partition by mask order by i), 1) as better from walk)"
+    " where better qualify row_number() over (partition by mask order by i) = 1)",
+    "path as (select 31 as mask, 0 as round, null::bigint as i, null::double as auc"
+    " union all select p.mask - (1 << d.i)::int, p.round + 1, d.i, d.auc from path p join drops d on d.mask = p.mask)",
+    f"names as (select unnest({_WOE_NAMES}) as var_name, unnest(range(5)) as i)",
+    "select var_name, false as kept, round::int as round, round(auc, 6) as auc from path join names using (i)"
+    " union all select var_name, true, 0, null from names where (select min(mask) from path) >> i & 1 = 1")
+ORACLES["cv_backward"] = ORACLES["cv_backward"].replace("with ", "with recursive ", 1)
+# b is the sum of a and ten times e, so the first of the three goes at once; the factors of the others come from the inverse.
+_LEFT = ["b", "c", "e", "f", "flat"]
+add("vif_prune", RELATED,
+    "x as (select a, b, coalesce(c, 0.0) as c, e, f, 0.1 as flat from rel)",
+    "g as (select [" + ", ".join("[" + ", ".join(f"sum({u} * {v})" for v in _LEFT) + "]" for u in _LEFT) + "] as m,"
+    " sum(power(b - a - 10 * e, 2)) / sum(b * b) as apart from x)",
+    "kept as (select m as g, m from g where apart < 1e-10)",
+    *inverted("kept", "inv", 5),
+    f"factors as (select unnest({_LEFT}) as var_name, unnest([g[i][i] * m[i][i] for i in range(1, 6)]) as vif from inv)",
+    "select 'a' as var_name, 'inf'::double as vif, false as kept, 1 as step from kept"
+    " union all select var_name, round(vif, 6), true, 1 from factors where (select max(vif) from factors) <= 10")

@@ -719,7 +719,7 @@ def rf_importance(spark, d):
 @query
 def cv_backward(spark, d):
     df, names = fr.encoded_app(spark, d)
-    return S.cv_backward(df, names, "y", "o_orderkey")
+    return r6(S.cv_backward(df, names, "y", "o_orderkey"))
 
 
 @query
@@ -731,16 +731,16 @@ def lasso_forward(spark, d):
 @query
 def sign_filter(spark, d):
     df, names = fr.encoded_app(spark, d)
-    return S.sign_filter(M.split_by_key(df, "o_orderkey")[0], names, "y")
+    return r6(S.sign_filter(M.split_by_key(df, "o_orderkey")[0], names, "y"))
 
 
 @query
 def pvalue_backward(spark, d):
     df, names = fr.encoded_app(spark, d)
-    return S.pvalue_backward(M.split_by_key(df, "o_orderkey")[0], names, "y")
+    return r6(S.pvalue_backward(M.split_by_key(df, "o_orderkey")[0], names, "y"))
 
 
 @query
 def lr_coefficients(spark, d):
     df, names = fr.encoded_app(spark, d)
-    return M.lr_coefficients(M.split_by_key(df, "o_orderkey")[0], names, "y")
+    return r6(M.lr_coefficients(M.split_by_key(df, "o_orderkey")[0], names, "y"))
