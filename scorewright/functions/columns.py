@@ -140,3 +140,18 @@ def rank_in(x: Column, edges: Column, closed: str = "left") -> Column:
     ``operators.ordered.add_ranks``."""
     below = (lambda e: e <= x) if closed == "left" else (lambda e: e < x)
     return F.when(x.isNotNull(), F.size(F.filter(edges, below)))
+
+
+def search_in(x: Column, edges: Column) -> Column:
+    """How many elements of a sorted array lie at or below ``x``, by halving:
+    a step for each doubling of the array, which may differ from row to row."""
+    n = F.size(edges)
+    steps = F.ceil(F.log2(n + 1.0)).cast("int")
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = (s["lo"] < s["hi"]) & (F.get(edges, mid) <= x)
+        return F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.reduce(F.sequence(F.lit(1), steps), F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"]
+    return F.when(x.isNotNull(), F.when(n == 0, 0).otherwise(found))

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
+from scorewright.functions.columns import double_array, search_in
 from scorewright.operators.clean import require_key
-from scorewright.operators.ordered import add_ranks
+from scorewright.operators.ordered import add_bucket, add_ranks, spread_of
 
 # A key is hot when it alone fills this many rows or more, and this share of all rows ...
 HOT_ROWS = 1_000_000
@@ -247,18 +248,44 @@ def keep_listed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return join_skewed(df, keys.select(on).distinct(), [on], "left_semi")
 
 
-def band_join(df: DataFrame, score: str, bands: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """(job) Attach the band with ``lo <= score < hi``; open ends are null.
-
-    Bands are disjoint, so a score lies in at most one: their edges order all
-    scores, and every row gets the number of its place among the edges, which
-    are constants of the plan, and joins the band on that number.  Rows without a band,
-    without a score or with NaN go."""
-    rows = bands.select(F.explode(F.array(F.col(lo).cast("double"), F.col(hi).cast("double"))).alias("e")).where("e is not null").distinct().collect()
-    edges = sorted(r["e"] for r in rows)
-    numbered = add_ranks(df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))), {score: edges}, "_slot")
-    ranked = add_ranks(bands, {lo: edges, hi: edges}, "_rank")
-    slots = F.sequence(F.coalesce(lo + "_rank", F.lit(0)), F.coalesce(F.col(hi + "_rank") - 1, F.lit(len(edges))))
-    real = F.coalesce(F.col(lo) < F.col(hi), F.lit(True))
-    listed = ranked.where(real).withColumn(score + "_slot", F.explode(slots)).drop(lo + "_rank", hi + "_rank")
-    return numbered.join(listed, score + "_slot").drop(score + "_slot")
+def band_join(df: DataFrame, score: str, bands: DataFrame, lo: str = "lo", hi: str = "hi", **skew: int) -> DataFrame:
+    """(job) Attach every band with ``lo <= score < hi``; open ends are null.
+    Bands may overlap: a row comes once for each band it lies in.
+
+    Scores and band edges are sketched, and the two sketches cut the line into
+    ranges of bounded size on either side.  Rows go to the range of their score; a band
+    goes to the ranges that it touches.  The band edges inside a range, sorted,
+    cut it into segments; a row finds its segment by a binary search, a band is
+    listed under the segments it covers, and the two meet on range and segment.
+    Only the sketch edges reach the driver, however many bands there are, and
+    segments that hold many rows or bands are split.  Rows without a band,
+    without a score or with NaN go, and so do bands that are empty."""
+    x = lambda c: F.col(c).cast("double")
+    bands = bands.where(~(F.coalesce(F.isnan(x(lo)), F.lit(False)) | F.coalesce(F.isnan(x(hi)), F.lit(False))) & F.coalesce(x(lo) < x(hi), F.lit(True)))
+    rows = df.where(F.col(score).isNotNull() & ~F.isnan(x(score)))
+    finite_edges = bands.select(F.explode(F.array(x(lo), x(hi))).alias("e")).where("e is not null and abs(e) < double('Infinity')")
+    edges = sorted({*spread_of(rows.where(F.abs(x(score)) < float("inf")).select(x(score).alias("e")), ["e"])["e"].edges, *spread_of(finite_edges, ["e"])["e"].edges})
+    limits = double_array(edges)
+
+    first, last = "_band_first", "_band_last"
+    touched = add_ranks(bands.withColumns({first: x(lo), last: x(hi)}), {first: edges}, "_at")
+    touched = add_ranks(touched, {last: edges}, "_at", closed="right")
+    from_, to = F.coalesce(first + "_at", F.lit(0)), F.coalesce(last + "_at", F.lit(len(edges)))
+    copies = touched.withColumn("_band_range", F.explode(F.sequence(from_, to)))
+    at = F.col("_band_range")
+    begins = F.when((F.col(first + "_at") == at) & ((at == 0) | (F.col(first) > F.get(limits, at - 1))), F.col(first))
+    ends = F.when((F.col(last + "_at") == at) & ((at == len(edges)) | (F.col(last) < F.get(limits, at))), F.col(last))
+    copies = copies.withColumns({"_band_begins": begins, "_band_ends": ends}).drop(first, last, first + "_at", last + "_at")
+    inner = copies.groupBy("_band_range").agg(
+        F.array_sort(F.array_union(F.collect_set("_band_begins"), F.collect_set("_band_ends"))).alias("_band_edges")
+    )
+    segment = lambda c: search_in(F.col(c), F.col("_band_edges"))
+    covered = F.sequence(
+        F.when(F.col("_band_begins").isNull(), 0).otherwise(segment("_band_begins")),
+        F.when(F.col("_band_ends").isNull(), F.size("_band_edges")).otherwise(segment("_band_ends") - 1),
+    )
+    listed = copies.join(inner, "_band_range").withColumn("_band_segment", F.explode(covered)).drop("_band_begins", "_band_ends", "_band_edges")
+
+    placed = add_bucket(rows.withColumn("_band_x", x(score)), "_band_x", edges, "_band_range")
+    placed = placed.join(inner, "_band_range").withColumn("_band_segment", segment("_band_x")).drop("_band_x", "_band_edges")
+    return join_skewed(placed, listed, ["_band_range", "_band_segment"], **skew).drop("_band_range", "_band_segment")

@@ -769,3 +769,9 @@ add("vif_prune", RELATED,
     f"factors as (select unnest({_LEFT}) as var_name, unnest([g[i][i] * m[i][i] for i in range(1, 6)]) as vif from inv)",
     "select 'a' as var_name, 'inf'::double as vif, false as kept, 1 as step from kept"
     " union all select var_name, round(vif, 6), true, 1 from factors where (select max(vif) from factors) <= 10")
+add("band_join_many",
+    """bands as (select o_orderkey, case when o_orderkey % 991 <> 0 then floor(o_totalprice / 100) * 25 end as lo,
+    case when o_orderkey % 997 <> 0 then floor(o_totalprice / 100) * 25 + o_orderkey % 7 * 3 end as hi from orders),
+ends as (select o_orderkey, coalesce(lo, '-inf'::double) as lo, coalesce(hi, 'inf'::double) as hi from bands)""",
+    "select o_orderkey, count(*) as n, round(max(l_extendedprice), 6) as highest from ends join lineitem"
+    " on l_extendedprice >= lo and l_extendedprice < hi group by o_orderkey")

@@ -576,6 +576,17 @@ def band_join(spark, d):
     return joined.groupBy("band").agg(F.count("*").alias("n"))
 
 
+@query
+def band_join_many(spark, d):
+    """As many bands as orders, overlapping and some of them open, against all line items."""
+    orders = fr.table(spark, d, "orders")
+    lo = F.floor(F.col("o_totalprice") / 100) * 25
+    open_hi, open_lo = F.col("o_orderkey") % 997 == 0, F.col("o_orderkey") % 991 == 0
+    bands = orders.select("o_orderkey", F.when(~open_lo, lo).alias("lo"), F.when(~open_hi, lo + F.col("o_orderkey") % 7 * 3).alias("hi"))
+    joined = A.band_join(fr.table(spark, d, "lineitem").select("l_extendedprice"), "l_extendedprice", bands)
+    return joined.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.round(F.max("l_extendedprice"), 6).alias("highest"))
+
+
 @query
 def label_domain(spark, d):
     """Rows whose target is 0 or 1, and missing targets as good."""

@@ -1,8 +1,10 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from scorewright.functions.columns import search_in
 from scorewright.operators import assemble as A
 
 
@@ -147,6 +149,43 @@ def test_band_join(spark):
     assert sorted((r.s, r.n) for r in A.band_join(df, "s", bands).collect()) == [(0.0, 0), (5.0, 1)]
 
 
+def test_search_equals_counting(spark):
+    rows = [(x, sorted(e)) for e in ([], [1.0], [1.0, 2.0, 2.5], [float(i) for i in range(17)]) for x in (None, -1.0, 1.0, 2.2, 2.5, 16.0, 99.0)]
+    df = spark.createDataFrame(rows, "x double, e array<double>").select("x", "e", search_in(F.col("x"), F.col("e")).alias("n"))
+    assert all(r.n == (None if r.x is None else sum(v <= r.x for v in r.e)) for r in df.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_band_join_of_overlapping_and_open_bands(spark, monkeypatch, seed):
+    monkeypatch.setattr("scorewright.operators.ordered.BUCKETS", 4)
+    rng = random.Random(seed)
+    scores = [rng.choice([None, float("nan"), float("inf"), -float("inf"), 5.0, float(rng.randint(0, 20)), rng.random() * 20]) for _ in range(120)]
+    bands = [tuple(rng.choice([None, float(rng.randint(-2, 22)), rng.random() * 20]) for _ in range(2)) for _ in range(40)] + [(5.0, 5.0), (float("nan"), 3.0), (None, None), (7.0, 2.0)]
+    df = spark.createDataFrame(list(enumerate(scores)), "i int, s double")
+    table = spark.createDataFrame([(n, *b) for n, b in enumerate(bands)], "n int, lo double, hi double")
+    got = sorted((r.i, r.n) for r in A.band_join(df, "s", table, min_rows=10, piece_rows=10).collect())
+    inside = lambda s, lo, hi: s is not None and s == s and (lo is None or lo <= s) and (hi is None or s < hi)
+    real = [(n, lo, hi) for n, (lo, hi) in enumerate(bands) if lo is None or hi is None or lo < hi]
+    assert got == sorted((i, n) for i, s in enumerate(scores) for n, lo, hi in real if inside(s, lo, hi))
+    assert A.band_join(df, "s", table.limit(0)).count() == 0 and A.band_join(df.limit(0), "s", table).count() == 0
+
+
+def test_many_bands_stay_off_the_driver(spark, monkeypatch):
+    """100,000 bands, most of them disjoint: every score finds its own, and the plan holds no band."""
+    edges = spark.range(100_000).select(F.col("id").alias("n"), (F.col("id") * 10.0).alias("lo"), ((F.col("id") + 1) * 10.0).alias("hi"))
+    wide = spark.createDataFrame([(-1, None, 500_000.0), (-2, 999_000.0, None), (-3, None, None)], "n long, lo double, hi double")
+    scores = spark.range(0, 1_000_000, 37).select(F.col("id").alias("s"))
+    kind, seen = type(scores), []
+    own = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: seen.append(own(self)) or seen[-1])
+    joined = A.band_join(scores, "s", edges.unionByName(wide))
+    monkeypatch.undo()
+    assert all(len(rows) <= 2 for rows in seen)  # sketches only
+    out = joined.groupBy((F.col("n") >= 0).alias("narrow")).agg(F.count("*").alias("c"), F.count_if(F.expr("n >= 0 and n <> s div 10")).alias("wrong")).collect()
+    n = scores.count()
+    assert {r.narrow: (r.c, r.wrong) for r in out} == {True: (n, 0), False: (n + scores.where("s < 500000").count() + scores.where("s >= 999000").count(), 0)}
+
+
 def test_chain_shares_one_partitioning(spark):
     base = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("v"))
     tables = [base.groupBy("k").agg(F.sum("v").alias(f"v{i}")) for i in range(3)]
