@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
@@ -224,17 +224,30 @@ def enrich(
     return join_skewed(left, first_record(right, on, order), on, "left", unique=True, **skew)
 
 
-def join_chain(tables: Sequence[DataFrame], key: str, checked: bool = True) -> DataFrame:
+def join_chain(tables: Sequence[DataFrame], key: str, checked: bool = True, at_once: bool = True) -> DataFrame:
     """(job) Inner joins of many tables on one key.  Each table must hold one
     row per key, so one hash partitioning serves the whole chain; a table that
-    repeats a key is an error, as it would multiply rows without notice."""
+    repeats a key is an error, as it would multiply rows without notice.
+
+    ``at_once`` looks for repeats before it returns, all tables in one job,
+    which computes them twice.  Otherwise the check is part of the join: rows
+    of a key meet there anyway, sorted, and the query fails when it runs."""
     tables = [require_key(t, key) for t in tables]
-    for i, t in enumerate(tables if checked else []):
-        if not t.groupBy(key).count().where("count > 1").isEmpty():
-            raise ValueError(f"table {i} of the chain repeats a {key}")
+    if checked and at_once:
+        repeats = [t.groupBy(key).count().where("count > 1").select(F.lit(i).alias("i")).limit(1) for i, t in enumerate(tables)]
+        found = sorted(r["i"] for r in reduce(DataFrame.unionAll, repeats).collect())
+        if found:
+            raise ValueError(f"table {found[0]} of the chain repeats a {key}")
+    elif checked:
+        tables = [_unrepeated(t, key, i) for i, t in enumerate(tables)]
     return reduce(lambda a, b: a.join(b, key, "inner"), tables)
 
 
+def _unrepeated(t: DataFrame, key: str, i: int) -> DataFrame:
+    rows = t.withColumn("_repeats", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return rows.where(F.assert_true(F.col("_repeats") == 1, f"table {i} of the chain repeats a {key}").isNull()).drop("_repeats")
+
+
 def attach_to_names(spark: SparkSession, names: Sequence[str], attributes: DataFrame, name_col: str = "var_name") -> DataFrame:
     """Attributes of an ordered list of names: ``(position, var_name, ...)``.
     Names without attributes stay, with nulls; repeats stay as well."""

@@ -33,14 +33,15 @@ def bin_bad_rate(counts: DataFrame, overall: bool = False) -> DataFrame:
     return _with_totals(out).withColumn("overall_rate", F.col("_b") / F.col("_n")).drop("_n", "_b")
 
 
-def _with_totals(counts: DataFrame) -> DataFrame:
-    """Totals per variable beside each bin.
+def _with_totals(counts: DataFrame, *more: Column) -> DataFrame:
+    """Totals per variable, and further aggregates, beside each bin.
 
-    A window over the bin table: it holds one row per bin, so the source is
-    scanned once, where a join of the table with totals of itself would scan
-    it twice.  A variable with very many values spills to disk."""
-    whole = Window.partitionBy("var_name")
-    return counts.withColumns({"_n": F.sum("total").over(whole), "_b": F.sum("bad").over(whole)})
+    The bin table is summed per variable with map-side combine and joined with
+    the sums, one row per variable, so the bins of a variable stay spread over
+    all tasks however many there are.  Both sides of the join begin with the
+    shuffle that makes the bin table, which runs once: the source is read once."""
+    sums = counts.groupBy(F.col("var_name").alias("_var")).agg(F.sum("total").alias("_n"), F.sum("bad").alias("_b"), *more)
+    return counts.join(F.broadcast(sums), F.col("var_name") == F.col("_var")).drop("_var")
 
 
 def log_ratio(a: Column, b: Column) -> Column:
@@ -57,19 +58,27 @@ def woe_table(counts: DataFrame) -> DataFrame:
     IV comes from unrounded logs and is repeated on each bin.  ``status`` is
     ``zero_cell`` when a bin lacks bads or goods (IV is then infinite) and
     ``single_group`` when the variable has one bin only."""
-    rows = _with_totals(counts).withColumn("good", F.col("total") - F.col("bad"))
-    rows = rows.withColumns(
+    good = F.col("total") - F.col("bad")
+    odds = F.ln(F.try_divide(F.col("bad"), good))
+    zero = (F.col("bad") == 0) | (good == 0)
+    # IV is the sum of (bad share - good share) * (log odds - log overall odds); the shares' differences sum to zero,
+    # so the overall odds drop out, and what is left are two sums that need no totals
+    rows = _with_totals(
+        counts,
+        F.sum(F.col("bad") * odds).alias("_bad_odds"), F.sum(good * odds).alias("_good_odds"),
+        F.count("*").alias("groups"), F.coalesce(F.bool_or(zero), F.lit(False)).alias("_zero"), F.coalesce(F.bool_or(zero & (F.col("total") > 0)), F.lit(False)).alias("_endless"),
+    )
+    rows = rows.withColumn("good", good).withColumns(
         {
             "bad_rate": F.try_divide(F.col("bad"), F.col("total")),
             "bad_pcnt": F.try_divide(F.col("bad"), F.col("_b")),
             "good_pcnt": F.try_divide(F.col("good"), F.col("_n") - F.col("_b")),
         }
-    ).drop("_n", "_b")
-    rows = rows.withColumn("_log", log_ratio(F.col("bad_pcnt"), F.col("good_pcnt")))
-    part = (F.col("bad_pcnt") - F.col("good_pcnt")) * F.col("_log")
-    whole = Window.partitionBy("var_name")
-    zero = F.bool_or((F.col("bad") == 0) | (F.col("good") == 0)).over(whole)
-    rows = rows.withColumns({"iv": F.sum(part).over(whole), "groups": F.count("*").over(whole), "_zero": zero})
+    )
+    iv = F.try_divide(F.col("_bad_odds"), F.col("_b")) - F.try_divide(F.col("_good_odds"), F.col("_n") - F.col("_b"))
+    one_sided = (F.col("_b") == 0) | (F.col("_b") == F.col("_n"))
+    iv = F.when(~one_sided, F.when(F.col("_endless"), F.lit(float("inf"))).otherwise(iv))
+    rows = rows.withColumns({"_log": log_ratio(F.col("bad_pcnt"), F.col("good_pcnt")), "iv": iv})
     status = F.when(F.col("groups") < 2, "single_group").when(F.col("_zero"), "zero_cell").otherwise("ok")
     inf = F.lit(float("inf"))
     woe = F.when(F.abs("_log") == inf, F.col("_log")).otherwise(F.round("_log", 4))

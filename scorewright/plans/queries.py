@@ -262,7 +262,7 @@ def vendor_chain_join(spark, d):
         return P.lower_names(out.drop("unused"))
 
     every = rows.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return A.join_chain([every, rollup("A", "qty_a"), rollup("N", "qty_n"), rollup("R", "qty_r")], "l_orderkey")
+    return A.join_chain([every, rollup("A", "qty_a"), rollup("N", "qty_n"), rollup("R", "qty_r")], "l_orderkey", at_once=False)
 
 
 @query

@@ -122,6 +122,14 @@ def test_chain_refuses_repeated_keys(spark):
         A.join_chain([one, two], "k")
 
 
+def test_chain_checks_while_it_runs(spark):
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    two = spark.createDataFrame([(1, "c"), (1, "d")], "k int, y string")
+    with pytest.raises(Exception, match="table 1 of the chain repeats"):
+        A.join_chain([one, two], "k", at_once=False).collect()
+    assert A.join_chain([one, two.limit(1)], "k", at_once=False).count() <= 1
+
+
 def test_inner_join_suffixes(spark):
     left = spark.createDataFrame([(1, "l")], "a int, name string")
     right = spark.createDataFrame([(1, "r")], "b int, name string")

@@ -265,3 +265,29 @@ def test_few_groups_of_many_values_are_still_merged(spark):
     assert merge(spark, t, 5, 1, prebinned=True) == [1.0, 2.0]
     pure = groups([-99.0, 1, 2, 3], [10] * 4, [5, 0, 4, 6], [-99.0])
     assert merge(spark, pure, 5, 1, prebinned=True) == []
+
+
+def test_bins_of_a_variable_spread_over_tasks(spark):
+    """A column of very many values: no window over a variable, totals with map-side combine, the source read once."""
+    df = spark.range(200_000).select(F.col("id").alias("wide"), (F.col("id") % 3).alias("few"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    table = W.woe_table(W.category_counts(df, ["wide", "few"], "y"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = table.where("var_name = 'wide'").groupBy(F.spark_partition_id()).count().collect()
+        table.write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per_task) == 8 and max(r["count"] for r in per_task) < 2 * 200_000 / 8
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_iv_equals_its_definition(spark):
+    rows = [("v", str(i), t, b) for i, (t, b) in enumerate([(100, 20), (50, 25), (30, 1), (400, 33)])] + [("w", "a", 10, 0), ("w", "b", 10, 5), ("one", "x", 9, 3), ("good", "x", 5, 0), ("good", "y", 6, 0)]
+    out = {(r.var_name, r.bin): r for r in W.woe_table(spark.createDataFrame(rows, "var_name string, bin string, total long, bad long")).collect()}
+    v = [r for r in rows if r[0] == "v"]
+    n, b = sum(r[2] for r in v), sum(r[3] for r in v)
+    want = sum((r[3] / b - (r[2] - r[3]) / (n - b)) * np.log((r[3] / b) / ((r[2] - r[3]) / (n - b))) for r in v)
+    assert out["v", "0"].iv == pytest.approx(want, rel=1e-12) and out["v", "0"].status == "ok"
+    assert out["w", "a"].iv == float("inf") and out["w", "a"].status == "zero_cell"
+    assert out["one", "x"].status == "single_group" and out["good", "x"].iv is None and out["good", "x"].status == "zero_cell"
