@@ -52,9 +52,12 @@ def is_text(df: DataFrame, col: str) -> bool:
 
 
 def long_values(df: DataFrame, cols: Sequence[str], *keep: str, kind: str = "double") -> DataFrame:
-    """Rows ``(*keep, var_name, value)`` of the non-missing cells."""
-    wide = df.select(*keep, *[F.col(c).cast(kind).alias(c) for c in cols])
-    rows = wide.unpivot([F.col(k) for k in keep], list(cols), "var_name", "value")
+    """Rows ``(*keep, var_name, value)`` of the non-missing cells.
+
+    By ``stack`` and not by ``unpivot``: two uses of the rows are then seen to
+    be the same, so that a bin table joined with sums of itself is made once."""
+    cells = [e for c in cols for e in (F.lit(c), F.col(c).cast(kind))]
+    rows = df.select(*keep, F.stack(F.lit(len(cols)), *cells).alias("var_name", "value"))
     present = F.col("value").isNotNull()
     if kind == "double":
         present &= ~F.isnan("value")

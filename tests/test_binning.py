@@ -282,6 +282,14 @@ def test_bins_of_a_variable_spread_over_tasks(spark):
     assert "Window" not in plan
 
 
+def test_the_bin_table_is_made_once(spark):
+    df = spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    table = W.woe_iv(df, ["l_quantity", "l_tax"], "y")
+    table.collect()
+    plan = table._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
 def test_iv_equals_its_definition(spark):
     rows = [("v", str(i), t, b) for i, (t, b) in enumerate([(100, 20), (50, 25), (30, 1), (400, 33)])] + [("w", "a", 10, 0), ("w", "b", 10, 5), ("one", "x", 9, 3), ("good", "x", 5, 0), ("good", "y", 6, 0)]
     out = {(r.var_name, r.bin): r for r in W.woe_table(spark.createDataFrame(rows, "var_name string, bin string, total long, bad long")).collect()}
