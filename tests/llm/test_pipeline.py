@@ -1,15 +1,163 @@
-import corpus_pipeline as CP
+"""Every stage of the pipeline against a brute-force version over the smallest tables."""
+
+import collections
+import itertools
+import math
+import re
+
+import pytest
 from conftest import SF
+
+import corpus_pipeline as CP
+from scorewright.llm import kn_quality as KN
+from scorewright.llm import latent_search as LS
+from scorewright.llm import mixing as MX
 from scorewright.llm.store import written
 
 
-def test_stages_keep_columns_and_add_no_rows(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, docs.count()
+@pytest.fixture(scope="module")
+def stages(spark):
+    """(rows before, rows after) of each stage by name."""
+    docs, out = spark.read.parquet(f"{SF}/documents.parquet"), {}
     for name, stage in CP.STAGES:
+        before, columns = docs.collect(), docs.columns
         docs = written(stage(spark, docs, SF), name)
-        assert docs.count() <= before and docs.count() > 0.5 * before
-        before = docs.count()
+        out[name] = (before, docs.collect())
         if name != CP.STAGES[-1][0]:
             assert docs.columns == columns
-    assert docs.groupBy("doc_id").count().where("count > 1").count() == 0
+    return out
+
+
+def test_names_and_columns(stages):
+    assert list(stages) == ["quality_classifier", "line_dedup", "ngram_jaccard_join", "benchmark_decontamination", "source_mix"]
+    for name, (before, after) in list(stages.items())[:-1]:
+        assert len(after) <= len(before) and len(after) > 0.5 * len(before), name
+        assert len({r.doc_id for r in after}) == len(after)
+
+
+def test_quality(spark, stages):
+    before, after = stages["quality_classifier"]
+    good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1}
+    grams = {}
+    for r in before:
+        symbols = [29] * 3 + [int(s) for s in KN._CLASS[list((r.text or "").encode())] if s != KN._SKIP]
+        grams[r.doc_id] = [tuple(symbols[i : i + 4]) for i in range(len(symbols) - 3)]
+    seen = [None] * 4 + [collections.Counter(g for d, gs in grams.items() if d in good for g in gs)]
+    for order in (3, 2, 1):
+        seen[order] = collections.Counter(g[1:] for g in seen[order + 1])
+    cuts, totals, masses = {}, {}, {}
+    for order in range(1, 5):
+        n = collections.Counter(seen[order].values())
+        cuts[order] = KN.discounts(n[1], n[2], n[3], n[4])
+        totals[order], masses[order] = collections.Counter(), collections.Counter()
+        for g, c in seen[order].items():
+            totals[order][g[:-1]] += c
+            masses[order][g[:-1]] += cuts[order][min(c, 3) - 1]
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / KN.SYMBOLS
+        order, c = len(g), seen[len(g)][g]
+        if not totals[order][g[:-1]]:
+            return lower
+        own = c - cuts[order][min(c, 3) - 1] if c else 0.0
+        return (own + masses[order][g[:-1]] * lower) / totals[order][g[:-1]]
+
+    known = {}
+    score = {d: -sum(known.setdefault(g, math.log(p(g))) for g in gs) / len(gs) for d, gs in grams.items() if gs}
+
+    def quantile(ids):
+        bins = sorted(math.ceil(score[d] * 1000) for d in ids)
+        return bins[math.ceil(KN.QUANTILE * len(bins) - 1e-9) - 1] / 1000
+
+    trusted = collections.defaultdict(list)
+    for r in before:
+        if r.doc_id in good and r.doc_id in score:
+            trusted[r.lang].append(r.doc_id)
+    pooled = quantile([d for ids in trusted.values() for d in ids])
+    most = {r.lang: quantile(trusted[r.lang]) if len(trusted[r.lang]) >= KN.LEAST_TRUSTED else pooled for r in before}
+    close = {r.doc_id for r in before if r.doc_id in score and abs(score[r.doc_id] - most[r.lang]) < 2e-6}  # single precision decides
+    want = {r.doc_id for r in before if r.doc_id not in score or score[r.doc_id] <= most[r.lang]}
+    assert {r.doc_id for r in after} - close == want - close and len(want) < len(before)
+
+
+def test_lines(stages):
+    """Later copies of repeated runs of three lines, or of fifty words, go."""
+    before, after = stages["line_dedup"]
+    first, dead = {}, collections.defaultdict(set)
+    lines = {r.doc_id: [(i, x) for i, x in enumerate((r.text or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)] for r in before}
+    for depth in (1, 2, 3):
+        for d in sorted(lines):
+            for at in range(len(lines[d]) - depth + 1):
+                run = lines[d][at : at + depth]
+                if depth == 3 or sum(len(re.findall(MX.WORD, x)) for _, x in run) >= 50:
+                    if first.setdefault(tuple(x for _, x in run), (d, at)) != (d, at):
+                        dead[d] |= {i for i, _ in run}
+    want = {}
+    for r in before:
+        text = (r.text or "").split("\n")
+        if not dead[r.doc_id] or len(dead[r.doc_id]) < len(lines[r.doc_id]):
+            want[r.doc_id] = "\n".join(x for i, x in enumerate(text) if i not in dead[r.doc_id])
+    assert {r.doc_id: r.text or "" for r in after} == want
+    assert all(r.n_chars == len(r.text) for r in after if r.text is not None)
+
+
+def test_near_duplicates(stages):
+    before, after = stages["ngram_jaccard_join"]
+    sets = {}
+    for r in before:
+        words = re.findall(MX.WORD, "".join(c.lower() if c.isascii() else c for c in r.text or ""))
+        sets[r.doc_id] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sets, 2):
+        common = len(sets[a] & sets[b])
+        if common and 100 * common >= 80 * len(sets[a] | sets[b]):
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    assert {r.doc_id for r in after} == {d for d in sets if find(d) == d}
+
+
+def test_decontamination(spark, stages):
+    """No document that stays holds an item by a subsequence over all its windows; those that go do."""
+    before, after = stages["benchmark_decontamination"]
+    word = re.compile(r"[0-9a-z\x80-\U0010ffff]+")
+    items = [word.findall("".join(c.lower() if c.isascii() else c for c in r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text]
+    gone = {r.doc_id for r in before} - {r.doc_id for r in after}
+    verbatim = set()
+    for r in before:
+        words = word.findall("".join(c.lower() if c.isascii() else c for c in r.text or ""))
+        text = " " + " ".join(words) + " "
+        if any(len(i) >= LS.LEAST_WORDS and " " + " ".join(i) + " " in text for i in items):
+            verbatim.add(r.doc_id)
+        elif r.doc_id in gone:
+            best = max((LS.common_subsequence(words, LS.masks_of(i), len(i)) / len(i) for i in items if len(i) >= LS.LEAST_WORDS), default=0.0)
+            assert best >= LS.LCS_WITH_ANSWER, r.doc_id
+    assert verbatim <= gone
+
+
+def test_mix(stages):
+    """Slots are blocks of the sources' words, as many as the targets ask for."""
+    before, after = stages["source_mix"]
+    sizes, words = collections.Counter(), {}
+    for r in before:
+        words[r.doc_id] = re.findall(MX.WORD, r.text or "")
+        sizes[r.source] += len(words[r.doc_id])
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    targets = dict(zip(names, MX.fill_targets([sizes[s] for s in names], [(1, 2, 3)[i % 3] for i in range(len(names))])))
+    taken, used = collections.Counter(), collections.Counter()
+    source = {r.doc_id: r.source for r in before}
+    for r in after:
+        n = len(r.text.split(" "))
+        assert n <= MX.BLOCK_WORDS and all(source[d] == r.source for d in r.doc_ids)
+        taken[r.source] += n
+        used[r.source, r.block] += 1
+        joined = " ".join(" ".join(words[d]) for d in r.doc_ids)
+        assert r.text in joined
+    assert all(abs(taken[s] - targets[s]) <= 2 * MX.BLOCK_WORDS for s in names)
+    assert max(used.values()) <= 3
+    assert len({(r.shard, r.slot) for r in after}) == len(after)
