@@ -9,7 +9,7 @@ Then the id is added to ``commits``. Readers only count deltas of committed ids,
 way doesn't show, and one that is sent again, also by a second writer, changes nothing.
 
 Cases: null source, language or version are keys of their own. A null count counts as 0 tokens. Unknown operations are an
-error. An empty batch commits and changes nothing. Keys whose documents have all gone stay with 0 documents and 0 tokens.
+error, and so is an empty or missing batch id. An empty batch commits and changes nothing. Keys whose documents have all gone stay with 0 documents and 0 tokens.
 """
 
 from __future__ import annotations
@@ -48,6 +48,8 @@ class Rollups:
         ``changes`` has ``op`` (insert, delete or revise), and the keys and ``tokens`` of the document before and after:
         ``old_source, old_lang, old_tokenizer, old_tokens`` and ``source, lang, tokenizer, tokens``.
         """
+        if not batch_id:
+            raise ValueError("a batch needs an id")
         if not self.committed().where(F.col("batch_id") == batch_id).isEmpty():
             return False
         delta = signed(changes).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).withColumn("batch_id", F.lit(batch_id))

@@ -365,6 +365,8 @@ def test_rollups_count_each_batch_once(spark):
     assert {tuple(r) for r in rollups.totals().collect()} == {("a", "en", "v1", 0, 0), ("a", "en", "v2", 1, 12), (None, "en", "v1", 1, 0)}
     with pytest.raises(Exception, match="unknown operation"):
         rollups.apply("four", load.withColumn("op", F.lit("upsert")))
+    with pytest.raises(ValueError, match="id"):
+        rollups.apply("", load)
     assert rollups.totals().count() == 3
 
 
