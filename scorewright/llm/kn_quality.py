@@ -1,24 +1,26 @@
 """Quality of documents by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model predicts one of 64 symbols from the three before it. Symbols are classes of bytes: letters, one class for
-capitals, space, line ends, digits, punctuation, other signs, and 32 classes of UTF-8 continuation bytes (lead bytes
-are passed over). A document starts after three line ends.
+The model predicts a byte from the four before it. Digits count as one symbol, the control characters 09-0D as line ends;
+a document starts after four line ends. There are 256 ** 5 n-grams, so what is gathered grows with the text, and nothing
+is cut off.
 
-*Counting.* Each task adds up the n-grams of its documents before anything is shuffled; counts of trusted text and the
-n-grams of the whole corpus come from one scan of all rows.
+*Counting.* Each task adds up the n-grams of its documents, and passes its table on whenever it has grown to
+``FLUSH_GRAMS``; counts of trusted text and the n-grams of the whole corpus come from one scan of all rows.
 *Probabilities.* Counts, contexts and lower orders are tables sharded by n-gram. Those of every n-gram of the corpus are
-joined order by order: ``p(w|abc) = max(c(abcw) - D(c), 0) / c(abc.) + gamma(abc) p(w|bc)``, where lower orders count the
-different symbols before an n-gram, D takes three values for counts 1, 2 and more, and the lowest order falls back to
-1/64.
-*Scoring.* There are at most 64 ** 4 n-grams whatever the corpus, so the table of probabilities has a proven bound of
-128 MB and is broadcast; documents aren't shuffled.
-*Thresholds.* For each language the given quantile of the log perplexity of its trusted documents (``margin`` widens it);
-languages with fewer than ``least_trusted`` trusted documents take that of all trusted documents. Quantiles come from
-counts per thousandth of log perplexity, so they are exact to that step at any size.
+joined order by order: ``p(w|abcd) = max(c(abcdw) - D(c), 0) / c(abcd.) + gamma(abcd) p(w|bcd)``, where lower orders count
+the different symbols before an n-gram, D takes three values for counts 1, 2 and more, and the lowest order falls back to
+1/256.
+*Scoring.* The most frequent n-grams, ``HEAD_GRAMS`` at most (12 bytes each), are broadcast and looked up while texts are
+scanned, so texts aren't shuffled. All other n-grams of a document leave it as rows, meet the sharded table of
+probabilities in a join, and their sum is added to the document's. The split moves no result.
+*Thresholds.* A fifth of the trusted documents, by a hash of the id, is held out of the counts. For each language the given
+quantile of the log perplexity of its held-out documents is the limit (``margin`` widens it); languages with fewer than
+``least_trusted`` of them take that of all held-out documents. Where no trusted document is held out, the counted ones take
+their place. Quantiles come from counts per thousandth of log perplexity, so they are exact to that step at any size.
 
 Cases: null and empty texts have no perplexity and are kept. A null language is a language. Rows of ``labels`` with null
 ids or grades are ignored; ids that occur twice there are trusted if any row says so. Without trusted text nothing is
-rejected. Other columns pass through. No rows give no rows.
+rejected. Rows that agree in id and text are scored alike. Other columns pass through. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,90 +29,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm import text as T
-from scorewright.llm.store import whole_row, written
+from scorewright.llm.store import row_key, whole_row, written
 
-ORDER = 4
-SYMBOLS = 64
-BITS = 6
+ORDER = 5
+SYMBOLS = 256
+BITS = 8
 QUANTILE = 0.99
 MARGIN = 0.0  # of log perplexity, beyond the quantile
 LEAST_TRUSTED = 30
+HELD_OUT = 5  # one trusted document in so many sets the thresholds and isn't counted
 BROADCAST_IDS = 4_000_000  # 8 bytes each
+HEAD_GRAMS = 1 << 18
 MERGE_GRAMS = 200_000
+FLUSH_GRAMS = 1_500_000
+TAIL_ROWS = 50_000  # n-grams in one row on their way to the join
 
-_LINE_END, _SKIP = 29, 255
+_LINE_END = 10
 
 
 def _symbols() -> np.ndarray:
-    table = np.zeros(256, np.uint8)
-    for b in range(256):
-        if 97 <= b < 123:
-            table[b] = b - 96
-        elif 65 <= b < 91:
-            table[b] = 27
-        elif b == 32:
-            table[b] = 28
-        elif 9 <= b < 14:
-            table[b] = _LINE_END
-        elif 48 <= b < 58:
-            table[b] = 30
-        elif chr(b) in ".,;:'\"-()?":
-            table[b] = 31
-        elif 128 <= b < 192:
-            table[b] = 32 + (b & 31)
-        elif b >= 192:
-            table[b] = _SKIP
+    table = np.arange(256, dtype=np.uint8)
+    table[9:14] = _LINE_END
+    table[48:58] = 48
     return table
 
 
-_CLASS = _symbols()
+_SYMBOL = _symbols()
 
 
 def grams(piece: T.Piece) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at every symbol of a piece, and where each text's n-grams begin (and one past the last)."""
-    symbol = _CLASS[piece.data]
-    heard = symbol != _SKIP
-    kept = np.concatenate([[0], np.cumsum(heard)])
-    first = kept[piece.offsets]
-    symbol, pad, rows = symbol[heard], ORDER - 1, len(piece.offsets) - 1
+    """The n-gram that ends at every byte of a piece, and where each text's n-grams begin (and one past the last)."""
+    first, pad = piece.offsets, ORDER - 1
+    n, rows = len(piece.data), len(first) - 1
     row = np.repeat(np.arange(rows), np.diff(first))
-    padded = np.full(len(symbol) + pad * rows, _LINE_END, np.int32)
-    at = np.arange(len(symbol)) + pad * (row + 1)
-    padded[at] = symbol
+    padded = np.full(n + pad * rows, _LINE_END, np.int64)
+    at = np.arange(n) + pad * (row + 1)
+    padded[at] = _SYMBOL[piece.data]
     key = padded.copy()
     for k in range(1, ORDER):
         key[k:] |= padded[:-k] << (BITS * k)
     return key[at], first
 
 
+def _totals(value: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values with the sums of their counts (1 each by default)."""
+    if not len(value):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if count is None:
+        value = np.sort(value)
+    else:
+        order = np.argsort(value, kind="stable")
+        value, count = value[order], count[order]
+    fresh = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+    return value[fresh], np.diff(np.r_[fresh, len(value)]) if count is None else np.add.reduceat(count, fresh)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """N-grams of a task with their counts in trusted text: sorted tables of pieces, merged when they have grown."""
-    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    """``(gram, c, f)``: n-grams of a task with their counts in counted and in all texts."""
+    held = [_totals(np.zeros(0, np.int64))]  # keys are gram * 2 + (1 in counted texts)
     for batch in batches:
-        trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
+        counted = batch.column("counted").to_numpy(zero_copy_only=False).astype(np.int64)
         for piece in T.pieces(batch.column("text")):
-            key, first = grams(piece)
-            own = np.repeat(trusted[piece.lo : piece.hi], np.diff(first))
-            value, where = np.unique(key, return_inverse=True)
-            held.append((value.astype(np.int64), np.bincount(where, own, len(value)).astype(np.int64)))
+            gram, first = grams(piece)
+            held.append(_totals(gram << 1 | np.repeat(counted[piece.lo : piece.hi], np.diff(first))))
             if sum(len(v) for v, _ in held[1:]) > max(MERGE_GRAMS, len(held[0][0])):
-                held = [_added(held)]
-    value, count = _added(held)
-    for lo in range(0, len(value), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(value[lo : lo + 100_000]), pa.array(count[lo : lo + 100_000])], ["gram", "c"])
+                held = [_merged(held)]
+                if len(held[0][0]) > FLUSH_GRAMS:
+                    yield from _rows(*held[0])
+                    held = [_totals(np.zeros(0, np.int64))]
+    yield from _rows(*_merged(held))
 
 
-def _added(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of sorted tables of n-grams and counts."""
-    value, count = (np.concatenate(part) for part in zip(*tables, strict=True))
-    order = np.argsort(value, kind="stable")
-    value, count = value[order], count[order]
-    fresh = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
-    return value[fresh], np.add.reduceat(count, fresh) if len(fresh) else count
+def _merged(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _totals(*(np.concatenate(part) for part in zip(*tables, strict=True)))
+
+
+def _rows(value: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(value), 100_000):
+        v, n = value[lo : lo + 100_000], count[lo : lo + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(v >> 1), pa.array(n * (v & 1)), pa.array(n)], ["gram", "c", "f"])
 
 
 def _mask(order: int) -> int:
@@ -151,32 +152,42 @@ def _probabilities(wanted: DataFrame, seen: list[DataFrame], order: int) -> Data
     return joined.select("gram", F.coalesce(p, F.col("q")).alias("p"))
 
 
-class _Logs:
-    """Log probabilities by n-gram: a row of 64 for every context of three symbols that occurs."""
+def _head(counts: DataFrame, most: int) -> Column:
+    """Condition for the most frequent n-grams, ``most`` at most: all from some frequency on. (job)"""
+    frequency = F.floor(F.log2("f") * 8)
+    sizes = counts.groupBy(frequency.alias("bin")).agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect()  # at most 8 bins a power of two
+    total, least = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["bin"]
+    return F.lit(False) if least is None else frequency >= least
 
-    def __init__(self, gram: np.ndarray, log: np.ndarray) -> None:
-        context = np.unique(gram >> BITS)
-        self.row = np.zeros(1 << (BITS * (ORDER - 1)), np.int32)
-        self.row[context] = np.arange(len(context))
-        self.table = np.zeros((len(context), SYMBOLS), np.float32)
-        self.table[self.row[gram >> BITS], gram & (SYMBOLS - 1)] = log
 
-    def of(self, gram: np.ndarray) -> np.ndarray:
-        return self.table[self.row[gram >> BITS], gram & (SYMBOLS - 1)]
+def _scorer(head):
+    """Sums of log probabilities of the broadcast n-grams of every text; all its other n-grams as lists in rows."""
 
-
-def _scorer(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = _Logs(*table.value)
+        known, log = head.value
+        if not len(known):
+            known, log = np.full(1, -1, np.int64), np.zeros(1, np.float32)
         for batch in batches:
-            mean, size = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            passed = [c for c in batch.schema.names if c != "text"]
             for piece in T.pieces(batch.column("text")):
                 gram, first = grams(piece)
-                sums = np.concatenate([[0.0], np.cumsum(logs.of(gram), dtype=np.float64)])
-                n = np.diff(first)
-                size[piece.lo : piece.hi] = n
-                mean[piece.lo : piece.hi] = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(size), pa.array(-mean, mask=size == 0)], [*(c for c in batch.schema.names if c != "text"), "n_symbols", "log_perplexity"])
+                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                hit = known[at] == gram
+                sums = np.concatenate([[0.0], np.cumsum(np.where(hit, log[at], 0), dtype=np.float64)])
+                rest = gram[~hit]
+                upto = np.concatenate([[0], np.cumsum(~hit)])[first]
+                parts = np.maximum(-(-np.diff(upto) // TAIL_ROWS), 1)
+                row = np.repeat(np.arange(piece.hi - piece.lo), parts)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                lo = np.minimum(upto[row] + part * TAIL_ROWS, upto[row + 1])
+                tail = pa.LargeListArray.from_arrays(pa.array(np.r_[lo, len(rest)].astype(np.int64)), pa.array(rest)).cast(pa.list_(pa.int64()))
+                own = [batch.column(c).take(pa.array(row + piece.lo)) for c in passed]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(part), pa.array(np.diff(first)[row].astype(np.int64)), pa.array((sums[first[1:]] - sums[first[:-1]])[row]), tail], [*passed, "part", "n_symbols", "sum", "tail"])
 
     return run
 
@@ -186,24 +197,31 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id", grade_col: str = "qua
     return labels.where(F.col(id_col).isNotNull() & (F.col(grade_col) == 1)).select(F.col(id_col).alias("_id")).distinct()
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(row, lang, trusted, n_symbols, log_perplexity)``: id and language of every row with its score. (job)
-
-    ``row`` is a struct of id and the key of its text.
-    """
+def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", head_grams: int = HEAD_GRAMS) -> DataFrame:
+    """``(id, th, lang, trusted, counted, n_symbols, log_perplexity)`` of every row, ``th`` a hash of its text. (job)"""
     spark = docs.sparkSession
     trusted = written(trusted_ids(labels), "trusted")
     if trusted.count() <= BROADCAST_IDS:
         trusted = F.broadcast(trusted)
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), row_key(id_col, text_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    held_out = F.pmod(F.crc32(F.concat(F.lit("held out "), F.col("id").cast("string"))), F.lit(HELD_OUT)) == 0
     flagged = base.join(trusted, F.col("id") == F.col("_id"), "left").withColumn("trusted", F.col("_id").isNotNull()).drop("_id")
-    counted = flagged.select("text", "trusted").mapInArrow(_count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    counts = written(counted, "grams")
-    seen = [written(t, "seen") for t in _seen_tables(counts)]
-    logs = _probabilities(counts.select("gram"), seen, ORDER).select("gram", F.log("p").cast("float").alias("l")).toPandas()  # at most 64 ** 4 rows
-    sent = spark.sparkContext.broadcast((logs["gram"].to_numpy(np.int32), logs["l"].to_numpy(np.float32)))
+    flagged = flagged.withColumn("counted", F.coalesce(F.col("trusted") & ~held_out, F.lit(False)))
+    counted = flagged.select("text", "counted").mapInArrow(_count, "gram long, c long, f long")
+    counts = written(counted.groupBy("gram").agg(F.sum("c").alias("c"), F.sum("f").alias("f")), "grams")
+    seen = [written(t, "seen") for t in _seen_tables(counts.select("gram", "c"))]
+    p = _probabilities(counts.select("gram"), seen, ORDER).withColumnRenamed("gram", "_gram")
+    logs = written(counts.join(p, F.col("gram") == F.col("_gram")).select("gram", "f", F.log("p").cast("float").alias("l")), "logs")
+    head = logs.where(_head(logs, head_grams)).select("gram", "l").toPandas().sort_values("gram")  # at most head_grams rows
+    sent = spark.sparkContext.broadcast((head["gram"].to_numpy(np.int64), head["l"].to_numpy(np.float32)))
     kind, lang = docs.schema[id_col].dataType.simpleString(), docs.schema[lang_col].dataType.simpleString()
-    return written(flagged.mapInArrow(_scorer(sent), f"id {kind}, th long, lang {lang}, trusted boolean, n_symbols long, log_perplexity double"), "scores")
+    scanned = written(flagged.mapInArrow(_scorer(sent), f"id {kind}, th long, key long, lang {lang}, trusted boolean, counted boolean, part long, n_symbols long, sum double, tail array<long>"), "scanned")
+    tails = scanned.where(F.size("tail") > 0).groupBy("key", "part").agg(F.any_value("tail").alias("tail"))
+    rare = tails.select("key", F.explode("tail").alias("gram")).groupBy("key", "gram").agg(F.count("*").alias("n"))
+    rest = rare.join(logs.select("gram", "l"), "gram").groupBy("key").agg(F.sum(F.col("n") * F.col("l")).alias("rest"))
+    whole = scanned.where("part = 0").drop("tail", "part").join(rest, "key", "left")
+    mean = -(F.col("sum") + F.coalesce("rest", F.lit(0.0))) / F.col("n_symbols")
+    return written(whole.select("id", "th", "lang", "trusted", "counted", "n_symbols", F.when(F.col("n_symbols") > 0, mean).alias("log_perplexity")), "scores")
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
@@ -226,6 +244,9 @@ def thresholds(scores: DataFrame, quantile: float = QUANTILE, margin: float = MA
 def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """``(id, th, lang, n_symbols, perplexity, threshold, kept)`` of every row. (job)"""
     scores = perplexities(docs, labels, id_col, text_col, lang_col)
+    held_out = F.col("trusted") & ~F.col("counted")
+    if not scores.where(held_out & F.col("log_perplexity").isNotNull()).isEmpty():
+        scores = scores.withColumn("trusted", held_out)
     most = written(thresholds(scores, **limits), "thresholds").withColumnRenamed("lang", "_lang")
     joined = scores.join(F.broadcast(most), F.col("lang").eqNullSafe(F.col("_lang")), "left")  # one row per language
     return joined.select(

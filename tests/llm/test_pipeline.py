@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import re
+import zlib
 
 import pytest
 from conftest import SF
@@ -40,13 +41,15 @@ def test_quality(spark, stages):
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality == 1}
     grams = {}
     for r in before:
-        symbols = [29] * 3 + [int(s) for s in KN._CLASS[list((r.text or "").encode())] if s != KN._SKIP]
-        grams[r.doc_id] = [tuple(symbols[i : i + 4]) for i in range(len(symbols) - 3)]
-    seen = [None] * 4 + [collections.Counter(g for d, gs in grams.items() if d in good for g in gs)]
-    for order in (3, 2, 1):
+        text = re.sub(rb"[\x09-\x0D]", b"\n", re.sub(rb"[0-9]", b"0", (r.text or "").encode()))
+        symbols = b"\n" * 4 + text
+        grams[r.doc_id] = [tuple(symbols[i : i + 5]) for i in range(len(text))]
+    held_out = {d for d in good if zlib.crc32(f"held out {d}".encode()) % 5 == 0}
+    seen = [None] * 5 + [collections.Counter(g for d, gs in grams.items() if d in good - held_out for g in gs)]
+    for order in (4, 3, 2, 1):
         seen[order] = collections.Counter(g[1:] for g in seen[order + 1])
     cuts, totals, masses = {}, {}, {}
-    for order in range(1, 5):
+    for order in range(1, 6):
         n = collections.Counter(seen[order].values())
         cuts[order] = KN.discounts(n[1], n[2], n[3], n[4])
         totals[order], masses[order] = collections.Counter(), collections.Counter()
@@ -55,7 +58,7 @@ def test_quality(spark, stages):
             masses[order][g[:-1]] += cuts[order][min(c, 3) - 1]
 
     def p(g):
-        lower = p(g[1:]) if len(g) > 1 else 1 / KN.SYMBOLS
+        lower = p(g[1:]) if len(g) > 1 else 1 / 256
         order, c = len(g), seen[len(g)][g]
         if not totals[order][g[:-1]]:
             return lower
@@ -71,7 +74,7 @@ def test_quality(spark, stages):
 
     trusted = collections.defaultdict(list)
     for r in before:
-        if r.doc_id in good and r.doc_id in score:
+        if r.doc_id in held_out and r.doc_id in score:
             trusted[r.lang].append(r.doc_id)
     pooled = quantile([d for ids in trusted.values() for d in ids])
     most = {r.lang: quantile(trusted[r.lang]) if len(trusted[r.lang]) >= KN.LEAST_TRUSTED else pooled for r in before}

@@ -223,6 +223,24 @@ def test_quality_rejects_what_trusted_text_is_not(spark, make):
     assert KN.judged(make([]), labels).count() == 0
 
 
+def test_perplexity_is_the_same_for_any_head(spark, make, monkeypatch):
+    rng = random.Random(17)
+    say = lambda n: "".join(rng.choice("abcdefgh é\n9") for _ in range(n))
+    rows = [(i, say(rng.randint(1, 300)), "en") for i in range(40)] + [(50, say(9000), "de"), (3, None, "en"), (4, "", None), (None, "abc", None)]
+    rows += [(60, "abc é 9", "fr")] * 3
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(25)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(KN, "TAIL_ROWS", 100)  # tails go in several rows
+    monkeypatch.setattr(KN, "FLUSH_GRAMS", 50)
+    monkeypatch.setattr(KN, "MERGE_GRAMS", 40)
+    scores = []
+    for most in (0, 40, KN.HEAD_GRAMS):
+        out = KN.perplexities(make(rows), labels, head_grams=most).collect()
+        assert len(out) == len(rows)
+        scores.append(sorted((r.id if r.id is not None else -1, r.th or 0, r.n_symbols, round(r.log_perplexity or 0, 5)) for r in out))
+    assert scores[0] == scores[1] == scores[2]
+    assert {r.n_symbols for r in out if r.id == 60} == {8} and len({r.log_perplexity for r in out if r.id == 60}) == 1
+
+
 def test_threshold_is_the_quantile(spark):
     rows = [("en", True, k / 100) for k in range(1, 101)] + [("de", False, 9.0)]
     most = {r.lang: r.most for r in KN.thresholds(spark.createDataFrame(rows, "lang string, trusted boolean, log_perplexity double")).collect()}
@@ -230,7 +248,8 @@ def test_threshold_is_the_quantile(spark):
 
 
 def test_kneser_ney_probabilities_sum_to_one(spark, monkeypatch):
-    monkeypatch.setattr(KN, "ORDER", 2)
+    for name, value in (("ORDER", 2), ("SYMBOLS", 64), ("BITS", 6)):
+        monkeypatch.setattr(KN, name, value)
     counts = spark.createDataFrame([((a << 6) | b, c) for a, b, c in ((1, 2, 1), (1, 3, 2), (2, 3, 3), (3, 1, 4), (3, 2, 1))], "gram long, c long")
     seen = KN._seen_tables(counts)
     wanted = spark.createDataFrame([((a << 6) | b,) for a in (1, 3, 9) for b in range(64)], "gram long")
