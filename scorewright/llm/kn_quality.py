@@ -10,7 +10,7 @@ is cut off.
 joined order by order: ``p(w|abcd) = max(c(abcdw) - D(c), 0) / c(abcd.) + gamma(abcd) p(w|bcd)``, where lower orders count
 the different symbols before an n-gram, D takes three values for counts 1, 2 and more, and the lowest order falls back to
 1/256.
-*Scoring.* The most frequent n-grams, ``HEAD_GRAMS`` at most (12 bytes each), are broadcast and looked up while texts are
+*Scoring.* The most frequent n-grams, ``HEAD_GRAMS`` at most (12 bytes each, and up to 32 in a worker's table), are broadcast and looked up while texts are
 scanned, so texts aren't shuffled. All other n-grams of a document leave it as rows, meet the sharded table of
 probabilities in a join, and their sum is added to the document's. The split moves no result.
 *Thresholds.* A fifth of the trusted documents, by a hash of the id, is held out of the counts. For each language the given
@@ -165,20 +165,38 @@ def _head(counts: DataFrame, most: int) -> Column:
     return F.lit(False) if least is None else frequency >= least
 
 
+class _Lookup:
+    """Log probabilities by n-gram: most are found in the slot of their hash, those that share one by binary search."""
+
+    def __init__(self, gram: np.ndarray, log: np.ndarray) -> None:
+        self.gram, self.log = np.r_[gram, np.int64(1 << 62)], np.r_[log, np.float32(0)]  # sorted, with an end that no text holds
+        self.shift = np.uint64(64 - max(8, len(gram).bit_length() + 2))
+        self.place = np.full(1 << (64 - int(self.shift)), len(gram), np.int32)
+        self.place[self._slot(gram)] = np.arange(len(gram))
+
+    def _slot(self, gram: np.ndarray) -> np.ndarray:
+        return (gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which n-grams are known, and their log probabilities (0 where not)."""
+        at = self.place[self._slot(gram)]
+        miss = np.flatnonzero(self.gram[at] != gram)
+        at[miss] = np.searchsorted(self.gram, gram[miss])
+        hit = self.gram[at] == gram
+        return hit, np.where(hit, self.log[at], np.float32(0))
+
+
 def _scorer(head):
     """Sums of log probabilities of the broadcast n-grams of every text; all its other n-grams as lists in rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, log = head.value
-        if not len(known):
-            known, log = np.full(1, -1, np.int64), np.zeros(1, np.float32)
+        known = _Lookup(*head.value)
         for batch in batches:
             passed = [c for c in batch.schema.names if c != "text"]
             for piece in T.pieces(batch.column("text")):
                 gram, first = grams(piece)
-                at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
-                hit = known[at] == gram
-                sums = np.concatenate([[0.0], np.cumsum(np.where(hit, log[at], 0), dtype=np.float64)])
+                hit, log = known.of(gram)
+                sums = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
                 rest = gram[~hit]
                 upto = np.concatenate([[0], np.cumsum(~hit)])[first]
                 parts = np.maximum(-(-np.diff(upto) // TAIL_ROWS), 1)
