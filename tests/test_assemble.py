@@ -204,3 +204,25 @@ def test_chain_shares_one_partitioning(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     initial = plan.split("Initial Plan")[-1]
     assert len(re.findall(r"Exchange hashpartitioning", initial)) == 3  # one per rollup, none for the joins
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_sides_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 100)
+    left = spark.range(900).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v"))
+    right = spark.range(60).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("w"))
+    joined = A.join_skewed(left, right, ["k"], min_rows=20, piece_rows=15)
+    assert "SortMergeJoin" in plan_of(joined) and "BroadcastHashJoin" not in plan_of(joined) and joined.count() == 900 * 60
+
+
+def test_a_grid_is_bounded_and_keeps_all_pairs(spark, monkeypatch):
+    assert A._grid(10_000, 200) == (455, 9) and A._grid(9, 3) == (9, 3) and A._grid(5000, 1) == (5000, 1) and A._grid(2, 100_000) == (1, 4096)
+    monkeypatch.setattr(A, "GRID_TASKS", 8)
+    left = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    right = spark.range(90).select((F.col("id") % 3).alias("k"), F.col("id").alias("w"))
+    joined = A.join_skewed(left, right, ["k"], min_rows=10, piece_rows=2)
+    plain = left.join(right, "k")
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
