@@ -226,3 +226,13 @@ def test_a_grid_is_bounded_and_keeps_all_pairs(spark, monkeypatch):
     joined = A.join_skewed(left, right, ["k"], min_rows=10, piece_rows=2)
     plain = left.join(right, "k")
     assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
+def test_left_join_of_exploded_sides_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 100)
+    left = spark.range(900).select(F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    right = spark.range(60).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("w"))
+    joined, plain = A.join_skewed(left, right, ["k"], "left", min_rows=20, piece_rows=15), left.join(right, "k", "left")
+    inner = plan_of(joined).split("LeftAnti")[0]
+    assert "SortMergeJoin" in inner and "Inner, Build" not in inner
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
