@@ -236,3 +236,13 @@ def test_left_join_of_exploded_sides_is_not_broadcast(spark, monkeypatch):
     inner = plan_of(joined).split("LeftAnti")[0]
     assert "SortMergeJoin" in inner and "Inner, Build" not in inner
     assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
+def test_listed_bands_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 100)
+    bands = spark.range(300).select(F.col("id").alias("n"), F.when(F.col("id") % 9 != 0, F.col("id") * 1.0).alias("lo"), (F.col("id") + 3.0).alias("hi"))
+    joined = A.band_join(spark.range(200).select((F.col("id") * 1.0).alias("s")), "s", bands)
+    top = [line for line in plan_of(joined).splitlines() if "Join" in line][0]
+    assert "SortMergeJoin" in top and "_band_segment" in top
+    want = sum((n % 9 == 0 or n <= s) and s < n + 3 for n in range(300) for s in range(200))
+    assert joined.count() == want
