@@ -392,3 +392,46 @@ def test_rollups_count_each_batch_once(spark):
 def test_token_counts(make):
     out = {r.doc_id: r._tokens for r in TR.token_counts(make([(1, "Hello world"), (2, None), (3, "")]).select("doc_id", "text")).collect()}
     assert out == {1: 2, 2: 0, 3: 0}
+
+
+def test_latent_space_is_fitted_on_all_documents(spark, make, monkeypatch):
+    """The fit sees every text, also beyond FIT_DOCS of them, and gives the singular vectors of the whole matrix."""
+    monkeypatch.setattr(LS, "FIT_DOCS", 20)
+    rng = random.Random(4)
+    groups = [["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(15)] for _ in range(10)]
+    texts = [" ".join(rng.choice(groups[i % 10]) for _ in range(40 + 3 * (i % 10))) for i in range(200)]
+    fitted, real = [], LS.latent_terms
+    monkeypatch.setattr(LS, "latent_terms", lambda texts, idf: fitted.extend(r.text for r in texts.collect()) or real(texts, idf))
+    benchmark = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
+    found = LS.leaks(make(list(enumerate(texts))), benchmark).collect()
+    assert sorted(fitted) == sorted([*texts, texts[3]]) and {r.doc_id for r in found} >= {3}
+
+    _, idf = LS.inverse_frequencies(make(list(enumerate(texts))).select("text"))
+    fold = real(make(list(enumerate(texts))).select("text"), idf)
+    dense = []
+    for piece in T.pieces(pa.array(texts)):
+        a = LS.passages(T.words(piece, T.NOT_LETTERS), idf)
+        rows = np.zeros((a.rows, LS.TERMS), np.float32)
+        rows[a.row, a.term] = a.weight
+        dense.append(rows)
+    gram = np.concatenate(dense)
+    gram = (gram @ gram.T).astype(np.float64)
+    value = np.linalg.eigvalsh(gram)[::-1][:8]
+    used = idf > 0
+    space = fold[used, :8] / idf[used, None]
+    got = 1 / np.linalg.norm(space.astype(np.float64), axis=0) ** 2
+    assert np.all(np.abs(got / value - 1) < 0.1)
+
+
+def test_a_hot_shard_sends_repeated_windows_once():
+    """Near copies of one passage: their common windows leave the shard once, not once per copy."""
+    rng = random.Random(6)
+    common = bytes(rng.randrange(97, 123) for _ in range(60))
+    contexts = [common + bytes([65 + i]) + bytes(rng.randrange(97, 123) for _ in range(19)) for i in range(30)]
+    n = len(contexts)
+    table = pa.table({"s1": [5] * n, "split": [2] * n, "rk": list(range(n)), "first": [0] * n, "copies": [1] * n, "bytes": contexts})
+    out = SA._shard(20)(table)
+    rows = np.concatenate([np.frombuffer(x.as_py(), SA._ROW) for x in out.column("windows") if x.is_valid])
+    assert rows["done"].sum() == 41 and (~rows["done"]).sum() == n * 20
+    spans = {(r["rk"], r["lo"], r["hi"]) for r in out.to_pylist() if r["rk"] is not None}
+    assert spans == {(i, 0, 60) for i in range(n)}
