@@ -246,3 +246,14 @@ def test_listed_bands_are_not_broadcast(spark, monkeypatch):
     assert "SortMergeJoin" in top and "_band_segment" in top
     want = sum((n % 9 == 0 or n <= s) and s < n + 3 for n in range(300) for s in range(200))
     assert joined.count() == want
+
+
+def test_left_join_broadcasts_no_list_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 100)
+    left = spark.range(900).select(F.when(F.col("id") % 5 != 0, F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))).alias("k"), F.col("id").alias("v"))
+    right = spark.range(700).select(F.when(F.col("id") % 9 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("w"))
+    for how in ("left", "left_semi", "left_anti"):
+        joined, plain = A.join_skewed(left, right, ["k"], how, min_rows=20, piece_rows=15), left.join(right, "k", how)
+        assert "BroadcastExchange" not in plan_of(joined)
+        assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+    assert "BroadcastExchange" not in plan_of(A.enrich(left, right, ["k"], "w"))
