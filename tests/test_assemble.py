@@ -257,3 +257,13 @@ def test_left_join_broadcasts_no_list_of_keys(spark, monkeypatch):
         assert "BroadcastExchange" not in plan_of(joined)
         assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
     assert "BroadcastExchange" not in plan_of(A.enrich(left, right, ["k"], "w"))
+
+
+@pytest.mark.parametrize("many", (True, False))
+def test_edges_of_many_bands_are_not_broadcast(spark, monkeypatch, many):
+    monkeypatch.setattr(A, "BROADCAST_ROWS", 100)
+    n = 300 if many else 30
+    bands = spark.range(n).select(F.col("id").alias("n"), F.when(F.col("id") % 9 != 0, F.col("id") * 1.0).alias("lo"), (F.col("id") + 3.0).alias("hi"))
+    joined = A.band_join(spark.range(200).select((F.col("id") * 1.0).alias("s")), "s", bands)
+    assert many == ("BroadcastExchange" not in plan_of(joined))
+    assert joined.count() == sum((b % 9 == 0 or b <= s) and s < b + 3 for b in range(n) for s in range(200))
