@@ -435,3 +435,32 @@ def test_a_hot_shard_sends_repeated_windows_once():
     assert rows["done"].sum() == 41 and (~rows["done"]).sum() == n * 20
     spans = {(r["rk"], r["lo"], r["hi"]) for r in out.to_pylist() if r["rk"] is not None}
     assert spans == {(i, 0, 60) for i in range(n)}
+
+
+def test_products_of_the_fit_by_blocks(monkeypatch):
+    monkeypatch.setattr(LS, "BLOCK_PASSAGES", 3)
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"], n)) for n in (0, 5, 200, 33, 1)]
+    piece = next(T.pieces(pa.array(texts)))
+    a = LS.passages(T.words(piece, T.NOT_LETTERS), rng.random(LS.TERMS), 8)
+    q, out = rng.standard_normal((LS.TERMS, 4), np.float32), np.ones((LS.TERMS, 4))
+    LS.add_products(a, q, out)
+    dense = np.zeros((a.rows, LS.TERMS))
+    dense[a.row, a.term] = a.weight
+    assert a.rows == 32 and np.allclose(out, 1 + dense.T @ (dense @ q), atol=1e-4)
+    LS.add_products(LS.Passages(a.row[:0], a.term[:0], a.weight[:0], 0), q, out)
+
+
+@pytest.mark.parametrize("least", (1, 2, 3))
+def test_only_windows_with_rare_words_are_compared(monkeypatch, least):
+    """The pairs of the rare words' places are those of all windows and segments, each once."""
+    monkeypatch.setattr(LS, "LEAST_RARE", least)
+    monkeypatch.setattr(LS, "PAIRS_AT_ONCE", 7)
+    rng = np.random.default_rng(least)
+    from_, to = np.sort(rng.integers(0, 300, 40)), np.sort(rng.integers(5, 330, 40))
+    hits = np.unique(rng.integers(0, 6 * 400, 90))
+    segment, place = hits // 400, hits % 400
+    want = {(w, s) for w in range(40) for s in range(6) if ((segment == s) & (place >= from_[w]) & (place < to[w])).sum() >= least}
+    got = [(int(w), int(s)) for ws, ss in LS._rare_pairs(segment, place, from_, to) for w, s in zip(ws, ss, strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert not list(LS._rare_pairs(segment[:0], place[:0], from_, to))
