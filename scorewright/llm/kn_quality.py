@@ -136,20 +136,26 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def _probabilities(wanted: DataFrame, seen: list[DataFrame], order: int) -> DataFrame:
-    """(gram, p) of every wanted n-gram of this order."""
-    table = seen[order - 1]
-    n = table.agg(*(F.count(F.when(F.col("c") == k, 1)) for k in range(1, 5))).first()
-    d1, d2, d3 = discounts(*n)
-    cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    contexts = table.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("c").alias("total"), F.sum(cut).alias("mass"))
-    if order > 1:
-        lower = _probabilities(wanted.select(F.col("gram").bitwiseAND(F.lit(_mask(order - 1))).alias("gram")).distinct(), seen, order - 1)
-        below = wanted.withColumn("_low", F.col("gram").bitwiseAND(F.lit(_mask(order - 1)))).join(lower.select(F.col("gram").alias("_low"), F.col("p").alias("q")), "_low")
-    else:
-        below = wanted.withColumn("q", F.lit(1.0 / SYMBOLS))
-    joined = below.withColumn("context", F.shiftright("gram", BITS)).join(table, "gram", "left").join(contexts, "context", "left")
-    p = F.coalesce(F.when(F.col("c").isNotNull(), F.col("c") - cut), F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * F.col("q")
-    return joined.select("gram", F.coalesce(p, F.col("q")).alias("p"))
+    """(gram, p) of every wanted n-gram of this order. (job)
+
+    Each order is a query of its own over the one below: the plan of all of them is long, and the driver gets its text
+    anew whenever a stage ends."""
+    lower = None
+    for k, table in enumerate(seen[:order], 1):
+        n = table.agg(*(F.count(F.when(F.col("c") == i, 1)) for i in range(1, 5))).first()
+        d1, d2, d3 = discounts(*n)
+        cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        contexts = table.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("c").alias("total"), F.sum(cut).alias("mass"))
+        below = wanted if k == order else wanted.select(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).distinct()
+        if lower is None:
+            below = below.withColumn("q", F.lit(1.0 / SYMBOLS))
+        else:
+            below = below.withColumn("_low", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))).join(lower.select(F.col("gram").alias("_low"), F.col("p").alias("q")), "_low")
+        joined = below.withColumn("context", F.shiftright("gram", BITS)).join(table, "gram", "left").join(contexts, "context", "left")
+        p = F.coalesce(F.when(F.col("c").isNotNull(), F.col("c") - cut), F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * F.col("q")
+        found = joined.select("gram", F.coalesce(p, F.col("q")).alias("p"))
+        lower = found if k == order else written(found, "probabilities")
+    return lower
 
 
 def _head(counts: DataFrame, most: int) -> Column:
@@ -230,8 +236,8 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     seen = [written(t, "seen") for t in _seen_tables(counts.select("gram", "c"))]
     p = _probabilities(counts.select("gram"), seen, ORDER).withColumnRenamed("gram", "_gram")
     logs = written(counts.join(p, F.col("gram") == F.col("_gram")).select("gram", "f", F.log("p").cast("float").alias("l")), "logs")
-    head = logs.where(_head(logs, head_grams)).select("gram", "l").toPandas().sort_values("gram")  # at most head_grams rows
-    sent = spark.sparkContext.broadcast((head["gram"].to_numpy(np.int64), head["l"].to_numpy(np.float32)))
+    head = logs.where(_head(logs, head_grams)).select("gram", "l").toArrow().sort_by("gram")  # at most head_grams rows
+    sent = spark.sparkContext.broadcast((head["gram"].to_numpy(), head["l"].to_numpy()))
     kind, lang = docs.schema[id_col].dataType.simpleString(), docs.schema[lang_col].dataType.simpleString()
     scanned = written(flagged.mapInArrow(_scorer(sent), f"id {kind}, th long, key long, lang {lang}, trusted boolean, counted boolean, part long, n_symbols long, sum double, tail array<long>"), "scanned")
     tails = scanned.where(F.size("tail") > 0).groupBy("key", "part").agg(F.any_value("tail").alias("tail"))

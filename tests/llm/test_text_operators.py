@@ -464,3 +464,12 @@ def test_only_windows_with_rare_words_are_compared(monkeypatch, least):
     got = [(int(w), int(s)) for ws, ss in LS._rare_pairs(segment, place, from_, to) for w, s in zip(ws, ss, strict=True)]
     assert len(got) == len(set(got)) and set(got) == want and want
     assert not list(LS._rare_pairs(segment[:0], place[:0], from_, to))
+
+
+def test_probabilities_of_an_order_are_a_short_plan(spark, monkeypatch):
+    """Each order reads the one below from the shared folder, so the plan of the highest does not hold them all."""
+    counts = spark.createDataFrame([(65 << 8 | 66, 2, 2), (66 << 8 | 65, 1, 1), (65 << 8 | 65, 1, 1)], "gram long, c long, f long")
+    monkeypatch.setattr(KN, "ORDER", 3)
+    seen = KN._seen_tables(counts.select("gram", "c"))
+    plan = KN._probabilities(counts.select("gram"), seen, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 3
