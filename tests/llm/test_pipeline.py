@@ -3,17 +3,19 @@
 import collections
 import itertools
 import math
+import os
 import re
 import zlib
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 import corpus_pipeline as CP
 from scorewright.llm import kn_quality as KN
 from scorewright.llm import latent_search as LS
 from scorewright.llm import mixing as MX
-from scorewright.llm.store import written
+from scorewright.llm.store import frugal, written
 
 
 @pytest.fixture(scope="module")
@@ -164,3 +166,38 @@ def test_mix(stages):
     assert all(abs(taken[s] - targets[s]) <= 2 * MX.BLOCK_WORDS for s in names)
     assert max(used.values()) <= 3
     assert len({(r.shard, r.slot) for r in after}) == len(after)
+
+
+def test_stages_hold_small_batches(spark, tmp_path, monkeypatch):
+    """Decontamination gets long texts in batches of few MB, and the session's settings are as before."""
+    text = F.concat_ws(" ", F.lit("word " * 1000), F.col("doc_id"))
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("web").alias("source")).withColumn("text", text)
+    spark.createDataFrame([(1, "where does the quick brown fox jump tonight")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    scan = LS._frequencies
+
+    def bounded(batches):
+        def seen():
+            for batch in batches:
+                assert batch.nbytes < 4 << 20
+                yield batch
+
+        yield from scan(seen())
+
+    monkeypatch.setattr(LS, "_frequencies", bounded)
+    names = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = [spark.conf.get(name) for name in names]
+    assert CP.decontaminated(spark, docs, str(tmp_path)).count() == 4000
+    assert [spark.conf.get(name) for name in names] == before
+
+
+def _shuffle_files(folder):
+    return {name for _, _, names in os.walk(folder) for name in names if re.fullmatch(r"shuffle_.*[.]data", name)}
+
+
+def test_frugal_queries_drop_their_shuffle_files(spark):
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before = _shuffle_files(folder)
+    with frugal(spark):
+        assert sorted(tuple(r) for r in written(counts, "counts").collect()) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert _shuffle_files(folder) <= before
