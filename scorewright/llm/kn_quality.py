@@ -26,6 +26,7 @@ rejected. Rows that agree in id and text are scored alike. Other columns pass th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -119,10 +120,13 @@ def _mask(order: int) -> int:
 
 
 def _seen_tables(counts: DataFrame) -> list[DataFrame]:
-    """(gram, c) of each order, highest last: counts of the trusted text, below that numbers of different symbols before."""
-    out = [counts.where("c > 0")]
+    """(gram, c) of each order, highest last: counts of the trusted text, below that numbers of different symbols before. (job)
+
+    Each is counted from the written one above it, not from the counts through all orders between."""
+    out = [written(counts.where("c > 0"), "seen")]
     for order in range(ORDER - 1, 0, -1):
-        out.insert(0, out[0].groupBy(F.col("gram").bitwiseAND(F.lit(_mask(order))).alias("gram")).agg(F.count("*").alias("c")))
+        below = out[0].groupBy(F.col("gram").bitwiseAND(F.lit(_mask(order))).alias("gram")).agg(F.count("*").alias("c"))
+        out.insert(0, written(below, "seen"))
     return out
 
 
@@ -135,23 +139,29 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))  # type: ignore[return-value]
 
 
+def _all_discounts(seen: list[DataFrame]) -> list[tuple[float, float, float]]:
+    """The discounts of every order, from one query. (job)"""
+    few = reduce(DataFrame.unionByName, (t.where("c <= 4").select(F.lit(k).alias("order"), "c") for k, t in enumerate(seen, 1)))
+    n = {(r["order"], r["c"]): r["n"] for r in few.groupBy("order", "c").agg(F.count("*").alias("n")).collect()}  # four rows an order
+    return [discounts(*(n.get((k, c), 0) for c in range(1, 5))) for k in range(1, len(seen) + 1)]
+
+
 def _probabilities(wanted: DataFrame, seen: list[DataFrame], order: int) -> DataFrame:
     """(gram, p) of every wanted n-gram of this order. (job)
 
     Each order is a query of its own over the one below: the plan of all of them is long, and the driver gets its text
     anew whenever a stage ends."""
     lower = None
-    for k, table in enumerate(seen[:order], 1):
-        n = table.agg(*(F.count(F.when(F.col("c") == i, 1)) for i in range(1, 5))).first()
-        d1, d2, d3 = discounts(*n)
+    for k, (table, (d1, d2, d3)) in enumerate(zip(seen[:order], _all_discounts(seen[:order]), strict=True), 1):
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         contexts = table.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("c").alias("total"), F.sum(cut).alias("mass"))
         below = wanted if k == order else wanted.select(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).distinct()
+        below = below.join(table, "gram", "left")  # first, since the distinct n-grams are dealt by gram already
         if lower is None:
             below = below.withColumn("q", F.lit(1.0 / SYMBOLS))
         else:
             below = below.withColumn("_low", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))).join(lower.select(F.col("gram").alias("_low"), F.col("p").alias("q")), "_low")
-        joined = below.withColumn("context", F.shiftright("gram", BITS)).join(table, "gram", "left").join(contexts, "context", "left")
+        joined = below.withColumn("context", F.shiftright("gram", BITS)).join(contexts, "context", "left")
         p = F.coalesce(F.when(F.col("c").isNotNull(), F.col("c") - cut), F.lit(0.0)) / F.col("total") + F.col("mass") / F.col("total") * F.col("q")
         found = joined.select("gram", F.coalesce(p, F.col("q")).alias("p"))
         lower = found if k == order else written(found, "probabilities")
@@ -233,7 +243,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     flagged = flagged.withColumn("counted", F.coalesce(F.col("trusted") & ~held_out, F.lit(False)))
     counted = flagged.select("text", "counted").mapInArrow(_count, "gram long, c long, f long")
     counts = written(counted.groupBy("gram").agg(F.sum("c").alias("c"), F.sum("f").alias("f")), "grams")
-    seen = [written(t, "seen") for t in _seen_tables(counts.select("gram", "c"))]
+    seen = _seen_tables(counts.select("gram", "c"))
     p = _probabilities(counts.select("gram"), seen, ORDER).withColumnRenamed("gram", "_gram")
     logs = written(counts.join(p, F.col("gram") == F.col("_gram")).select("gram", "f", F.log("p").cast("float").alias("l")), "logs")
     head = logs.where(_head(logs, head_grams)).select("gram", "l").toArrow().sort_by("gram")  # at most head_grams rows

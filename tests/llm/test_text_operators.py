@@ -259,6 +259,27 @@ def test_kneser_ney_probabilities_sum_to_one(spark, monkeypatch):
     assert all(v == pytest.approx(1.0) for v in p.values()) and len(p) == 3
 
 
+def test_the_model_is_built_in_few_exchanges(spark, monkeypatch):
+    """Every order is counted from the written one above it, and the discounts of all orders come from one query."""
+    rng = random.Random(23)
+    rows = {rng.randrange(4) << 32 | rng.randrange(4) << 24 | rng.randrange(4) << 16 | rng.randrange(4) << 8 | rng.randrange(4): rng.randrange(6) for _ in range(300)}
+    counts = KN.written(spark.createDataFrame(list(rows.items()), "gram long, c long"), "test-grams")
+    plans, real, singles = [], KN.written, []
+    monkeypatch.setattr(KN, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    monkeypatch.setattr(type(counts), "first", lambda self: singles.append(self) or self.take(1)[0])
+    seen = KN._seen_tables(counts)
+    assert len(plans) == 5 and all(p.count("Exchange") <= 1 for p in plans)
+    want = {g: c for g, c in rows.items() if c}
+    for order in range(5, 0, -1):
+        assert {r.gram: r.c for r in seen[order - 1].collect()} == want
+        want = collections.Counter(g & KN._mask(order - 1) for g in want)
+    for order, got in enumerate(KN._all_discounts(seen), 1):
+        n = collections.Counter(r.c for r in seen[order - 1].collect())
+        assert got == KN.discounts(n[1], n[2], n[3], n[4])
+    p = KN._probabilities(counts.select("gram"), seen, KN.ORDER)
+    assert not singles and all(0 < r.p < 1 for r in p.collect()) and p.count() == len(rows)
+
+
 def test_latent_search_finds_paraphrases(spark, make):
     rng = random.Random(8)
     vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
