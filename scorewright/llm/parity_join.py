@@ -11,8 +11,10 @@ of the two sets agrees: the pigeonhole join is an equality join on (size band, c
 filled chunk all the same; two sets that are both not safe meet because such sets join on every single member too.
 
 *Candidates.* All sets under one key are linked to one leader of the key: rows are linear in the group. A second parity
-sketch of fixed length, whose Hamming distance is a lower bound of the difference, sorts out most pairs, and the rest
-are verified by their sets. Only groups that still fall into several components are looked at again, with a leader that
+sketch of fixed length, whose Hamming distance is a lower bound of the difference, sorts out most pairs. It says little
+of sets with more members than it has bits: those have a wide one besides, of a bit per member or two, which folds to any
+smaller power of two. Pairs that pass both are verified by their sets. Wide sketches meet in squares of a grid of blocks of
+classes, so a class travels once per block it has a pair in, not once per pair. Only groups that still fall into several components are looked at again, with a leader that
 differs from key to key. What then remains apart is compared by the sketches pair by pair, and those that pass are
 verified. Links inside a component that is known already change nothing and are never listed, so
 a group of near copies isn't expanded to all its pairs.
@@ -26,6 +28,7 @@ Rows that repeat an id are compared by their own texts. Other columns are ignore
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +43,8 @@ from scorewright.llm.store import row_key, whole_row, written
 
 BAND_RATIO = 1.6
 SKETCH_WORDS = 16  # 1,024 bits
+BLOCK_BYTES = 16_000_000  # wide sketches of a block of classes
+BLOCK_PAIRS = 500_000  # on the average, in a square of two blocks
 LEADER_ROUNDS = 2
 BROADCAST_IDS = 4_000_000  # 8 bytes each; beyond it texts are picked by a shuffled join
 SEEN = 200_000  # classes a task remembers, so that it sends copies once
@@ -76,6 +81,15 @@ def parity_sketch(members: np.ndarray) -> np.ndarray:
     return np.packbits((bits & 1).astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(members: np.ndarray) -> bytes | None:
+    """The same of a set of more members than that has bits, in the next power of two of bits."""
+    if len(members) <= 64 * SKETCH_WORDS:
+        return None
+    bits = 1 << (len(members) - 1).bit_length()
+    odd = np.bincount((T.mix(members ^ _SALT) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def join_keys(members: np.ndarray, percent: int, bands: list[tuple[int, int, int, int]]) -> np.ndarray:
     """The keys under which a set meets every partner."""
     size, out = len(members), []
@@ -184,11 +198,11 @@ def _group_batch(key: np.ndarray, ident: np.ndarray, leader: np.ndarray) -> pa.R
 def _sketch_table(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(signature(m)[0], len(m), parity_sketch(m)) for _, m in _sets(batch, n) if len(m)]
+            found = [(signature(m)[0], len(m), wide_sketch(m), parity_sketch(m)) for _, m in _sets(batch, n) if len(m)]
             if found:
-                ids, sizes, sketches = zip(*found, strict=True)
+                ids, sizes, wide, sketches = zip(*found, strict=True)
                 flat = np.stack(sketches)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(SKETCH_WORDS))], ["set_id", "n", *_BITS])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wide, pa.binary()), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in range(SKETCH_WORDS))], ["set_id", "n", "wide", *_BITS])
 
     return run
 
@@ -237,6 +251,7 @@ class _Texts:
     base: DataFrame
     rows: DataFrame
     n: int
+    wide_bytes: int = 0
 
     def of(self, classes: DataFrame, entries: int = 0) -> tuple[DataFrame, bool]:
         """``(*columns of classes, text)``: a text of each class (set_id, ...), and whether some class may come twice:
@@ -251,26 +266,83 @@ class _Texts:
 
     def sketches(self, classes: DataFrame) -> DataFrame:
         texts, twice = self.of(classes)
-        out = texts.select("text").mapInArrow(_sketch_table(self.n), ", ".join(["set_id long, n long", *(f"{b} long" for b in _BITS)]))
-        return written(out.dropDuplicates(["set_id"]) if twice else out, "sketches")
+        out = texts.select("text").mapInArrow(_sketch_table(self.n), ", ".join(["set_id long, n long, wide binary", *(f"{b} long" for b in _BITS)]))
+        out = written(out.dropDuplicates(["set_id"]) if twice else out, "sketches")
+        self.wide_bytes = out.agg(F.sum(F.octet_length("wide"))).first()[0] or 0
+        return out
 
     def sets(self, classes: DataFrame, entries: int) -> DataFrame:
         """``(src, dst, members)``: the set of every class dst for each of its ``leaders`` src."""
         return self.of(classes, entries)[0].mapInArrow(_set_table(self.n), "src long, dst long, members array<long>")
 
 
-def _verified(pairs: DataFrame, light: DataFrame, texts: _Texts, percent: int) -> DataFrame:
+def _apart(x: list[bytes], y: list[bytes], at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Hamming distances of the sketches x[at] and y[to], wider ones folded."""
+    out = np.zeros(len(at), np.int64)
+    widths = [np.array([len(s) for s in side], np.int64) for side in (x, y)]
+    both = np.stack([widths[0][at], widths[1][to]], 1)
+    for wx, wy in np.unique(both, axis=0).tolist():
+        width, bits, place = min(wx, wy), [], []
+        for side, mine, wide in ((x, widths[0], wx), (y, widths[1], wy)):
+            own = np.flatnonzero(mine == wide)
+            flat = np.frombuffer(b"".join(side[i] for i in own), np.uint64).reshape(len(own), wide // 8)
+            while flat.shape[1] * 8 > width:
+                flat = flat[:, : flat.shape[1] // 2] ^ flat[:, flat.shape[1] // 2 :]
+            bits.append(flat)
+            place.append((own, np.searchsorted(own, np.arange(len(mine)))))
+        pair = np.flatnonzero((both == (wx, wy)).all(1))
+        for some in np.array_split(pair, 1 + len(pair) * width // 8_000_000):
+            differ = bits[0][place[0][1][at[some]]] ^ bits[1][place[1][1][to[some]]]
+            out[some] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _compared(percent: int):
+    """The pairs of a square, given with the wide sketches of its classes, that the sketches don't tell apart."""
+
+    def run(table: pa.Table) -> pa.Table:
+        src, dst = table.column("src"), table.column("dst")
+        sketches, pairs = table.filter(dst.is_null()), table.filter(dst.is_valid())
+        ids, sizes, wide = (sketches.column(c) for c in ("src", "n", "wide"))
+        order = np.argsort(ids.to_numpy())
+        ids, sizes, wide = ids.to_numpy()[order], sizes.to_numpy()[order], wide.take(pa.array(order)).to_pylist()
+        src, dst = pairs.column("src").to_numpy(), pairs.column("dst").to_numpy()
+        at, to = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+        may = (100 + percent) * _apart(wide, wide, at, to) <= (100 - percent) * (sizes[at] + sizes[to])
+        return pa.table({"src": pa.array(src[may], pa.int64()), "dst": pa.array(dst[may], pa.int64())})
+
+    return run
+
+
+def _by_wide_sketches(pairs: DataFrame, many: int, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``many`` pairs (src, dst) of classes with wide sketches, ``size`` bytes in all, that these don't tell apart."""
+    cores = sketches.sparkSession.sparkContext.defaultParallelism
+    blocks = max(math.isqrt(2 * cores), -(-size // BLOCK_BYTES), math.isqrt(many // BLOCK_PAIRS) + 1)
+    block = lambda c: F.pmod(F.xxhash64(F.lit(blocks), c), F.lit(blocks)).alias(f"{c}_block")
+    squares = ["src_block", "dst_block"]
+    dealt = pairs.select("src", "dst", block("src"), block("dst"))
+    sides = dealt.select(F.col("src").alias("set_id"), *squares).unionByName(dealt.select(F.col("dst").alias("set_id"), *squares)).distinct()
+    sent = sides.join(sketches, "set_id").select(F.col("set_id").alias("src"), F.lit(None).cast("long").alias("dst"), *squares, "n", "wide")
+    return sent.unionByName(dealt, allowMissingColumns=True).groupBy(*squares).applyInArrow(_compared(percent), "src long, dst long")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: _Texts, percent: int) -> DataFrame:
     """The pairs (src, dst) whose sets are similar enough."""
+    light, least = sketches.drop("wide"), F.least("x.n", "y.n")
     close = written(
         pairs.join(light.alias("x"), F.col("src") == F.col("x.set_id"))
         .join(light.alias("y"), F.col("dst") == F.col("y.set_id"))
         .where(_may_link(percent))
-        .select("src", "dst"),
+        .select("src", "dst", (least > 64 * SKETCH_WORDS).alias("large")),
         "close",
     )
-    entries = close.count()
+    entries, large = close.agg(F.count("*"), F.count_if("large")).first()
+    if large:
+        few = _by_wide_sketches(close.where("large"), large, sketches.where("wide is not null").select("set_id", "n", "wide"), texts.wide_bytes, percent)
+        close = written(close.where("not large").select("src", "dst").unionByName(few), "closer")
+        entries = close.count()
     if not entries:
-        return close
+        return close.select("src", "dst")
     # each set travels once, to its leader; a class has no more leaders than keys
     to_leader = close.groupBy(F.col("dst").alias("set_id")).agg(F.collect_set("src").alias("leaders"))
     leading = close.select(F.col("src").alias("set_id")).distinct().withColumn("leaders", F.array("set_id"))
@@ -307,8 +379,8 @@ def similar_documents(
     groups = written(grouped, "groups")
 
     texts = _Texts(base, rows, n)
-    light = texts.sketches(groups.select("set_id").distinct())
-    links = _verified(groups.where("set_id <> leader").select(F.col("leader").alias("src"), F.col("set_id").alias("dst")).distinct(), light, texts, percent)
+    sketches = texts.sketches(groups.select("set_id").distinct())
+    links = _verified(groups.where("set_id <> leader").select(F.col("leader").alias("src"), F.col("set_id").alias("dst")).distinct(), sketches, texts, percent)
     found = written(components(links), "found")
     for turn in range(LEADER_ROUNDS):
         groups = unsettled = written(_open_groups(groups, found), "open")
@@ -316,16 +388,16 @@ def similar_documents(
             return rows.drop("set_check"), found.select(F.col("id").alias("set_id"), "component")
         other = unsettled.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "key", "set_id"), "set_id", "component")).alias("lead"))
         pairs = unsettled.join(other, "key").where("component <> lead.component").select(F.col("lead.set_id").alias("src"), F.col("set_id").alias("dst")).distinct()
-        links = links.unionByName(_verified(pairs, light, texts, percent))
+        links = links.unionByName(_verified(pairs, sketches, texts, percent))
         found = written(components(links), "found")
 
-    sides = written(_open_groups(groups, found).select("key", "set_id", "component").join(light, "set_id"), "sides")
+    sides = written(_open_groups(groups, found).select("key", "set_id", "component").join(sketches.drop("wide"), "set_id"), "sides")
     if sides.isEmpty():
         return rows.drop("set_check"), found.select(F.col("id").alias("set_id"), "component")
     x, y = sides.alias("x"), sides.alias("y")
     apart = (F.col("x.set_id") < F.col("y.set_id")) & (F.col("x.component") != F.col("y.component"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link(percent)).select(F.col("x.set_id").alias("src"), F.col("y.set_id").alias("dst")).distinct()
-    links = links.unionByName(_verified(pairs, light, texts, percent))
+    links = links.unionByName(_verified(pairs, sketches, texts, percent))
     return rows.drop("set_check"), components(links).select(F.col("id").alias("set_id"), "component")
 
 

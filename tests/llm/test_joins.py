@@ -80,6 +80,45 @@ def test_hamming_distance_is_a_lower_bound():
     assert bits <= len(np.setxor1d(a, b))
 
 
+def test_wide_sketches_fold_and_bound_the_difference():
+    rng = np.random.default_rng(3)
+    base = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    sets = [base[: 64 * PJ.SKETCH_WORDS], base[:1025], base[100:2200], base[:4097], base[50:4900], base]
+    assert PJ.wide_sketch(sets[0]) is None and [8 * len(PJ.wide_sketch(s)) for s in sets[1:]] == [2048, 4096, 8192, 8192, 8192]
+    wide = [PJ.wide_sketch(s) for s in sets[1:]]
+    at, to = (x.ravel() for x in np.indices((5, 5)))
+    got = PJ._apart(wide, wide, at, to)
+    for i, j, d in zip(at, to, got, strict=True):
+        bits = [np.unpackbits(np.frombuffer(wide[k], np.uint8), bitorder="little") for k in (i, j)]
+        low = min(map(len, bits))
+        one, two = (np.bitwise_xor.reduce(b.reshape(-1, low)) for b in bits)
+        apart = len(np.setxor1d(sets[i + 1], sets[j + 1]))
+        assert d == (one ^ two).sum() <= apart and (i == j or 2 * d > min(apart, low // 2))
+
+
+def test_long_texts_with_a_common_passage_are_not_sent_by_pairs(spark, make, monkeypatch):
+    """Sets of long texts that share a passage only are told apart by sketches; only similar pairs are compared by sets."""
+    rng = random.Random(8)
+    words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(n)]
+    passage = words(120)
+    bases = [words(rng.randrange(1100, 2600)) for _ in range(24)]
+    texts = [b[:500] + passage + b[500:] for b in bases]
+    texts += [t[:-20] + words(25) for t in texts[:5]] + [t[: len(t) * 3 // 4] for t in texts[5:8]]
+    sent, plain = [], PJ._Texts.sets
+
+    def sets(self, classes, entries):
+        sent.append(entries)
+        return plain(self, classes, entries)
+
+    monkeypatch.setattr(PJ._Texts, "sets", sets)
+    monkeypatch.setattr(PJ, "BLOCK_BYTES", 4000)
+    sets_of = [shingles(" ".join(t), 5) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets_of[i] & sets_of[j]) >= 80 * len(sets_of[i] | sets_of[j])]
+    out = PJ.parity_sketch_join(make(list(enumerate(map(" ".join, texts)))), 5, 80).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, out)) == list(enumerate(merged(len(texts), pairs)))
+    assert len(pairs) == 5 and sent and max(sent) <= 8
+
+
 def test_near_duplicates_keep_one(make):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(3, long), (2, long + " x"), (9, "other words stand here alone today"), (4, None), (5, "")]
