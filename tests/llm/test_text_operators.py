@@ -494,3 +494,55 @@ def test_probabilities_of_an_order_are_a_short_plan(spark, monkeypatch):
     seen = KN._seen_tables(counts.select("gram", "c"))
     plan = KN._probabilities(counts.select("gram"), seen, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join") <= 3
+
+
+def test_windows_without_rare_words_are_searched():
+    """A document that holds most of an item, but none of its rarest words, is found: the cosine of each window counts."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    common, rare = [word() for _ in range(30)], [word() for _ in range(LS.RARE)]
+    item = [w for pair in zip(common[:8], rare, strict=True) for w in pair] + common[8:]
+    texts = [" ".join([*(word() for _ in range(30)), *common, *(word() for _ in range(50))]), " ".join(word() for _ in range(80))]
+    idf = np.ones(LS.TERMS)
+    idf[LS._terms(T.words(next(T.pieces(pa.array([" ".join(rare)]))), T.NOT_LETTERS).hash)] = 2.0
+    fold = np.random.default_rng(4).standard_normal((LS.TERMS, LS.DIMS)).astype(np.float32)
+    q = LS.queries([(1, " ".join(item))], fold, idf)
+    piece = next(T.pieces(pa.array(texts)))
+    found = list(LS.found_in(T.words(piece, T.NOT_LETTERS), np.vstack([fold, np.zeros((1, LS.DIMS), np.float32)]), q))
+    assert [(r, s) for r, s, *_, common, answer in found if LS.passes(common, answer)] == [(0, 0)]
+
+
+@pytest.mark.parametrize("dense", (1 << 20, 0))
+def test_each_candidate_is_checked_and_the_best_window_is_told(monkeypatch, dense):
+    """Shares of all windows against the plain subsequence, also behind a window that is sure."""
+    monkeypatch.setattr(LS, "DENSE", dense, raising=False)
+    monkeypatch.setattr(LS, "LEAST_COSINE", -2.0)
+    monkeypatch.setattr(LS, "PLACES_AT_ONCE", 500, raising=False)
+    monkeypatch.setattr(LS, "PRODUCT_SIDE", 8, raising=False)
+    rng = random.Random(5)
+    vocabulary = [f"w{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(40)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(n) for n in (5, 9, 16, 24, 33, 64, 64)]
+    texts = [say(n) for n in (0, 3, 5, 40, 130, 300)]
+    texts[4][100:100] = items[3]
+    texts[4][20:20] = items[3][:15]  # sure, and before the whole item
+    fold = np.zeros((LS.TERMS + 1, 1), np.float32)
+    q = LS.queries([(i, " ".join(w)) for i, w in enumerate(items)], fold[:-1], np.ones(LS.TERMS))
+    w = T.words(next(T.pieces(pa.array([" ".join(t) for t in texts]))), T.NOT_LETTERS)
+    got = {(r, s): (common, answer) for r, s, _, common, answer in LS.found_in(w, fold, q)}
+    want = {}
+    for r, text in enumerate(texts):
+        h = w.hash[w.first[r] : w.first[r + 1]].tolist()
+        for s, words in enumerate(q.words):
+            words, size = words.tolist(), int(q.blocks[s])
+            blocks, stride = -(-len(text) // LS.STEP), 1 if size <= 6 else 2
+            for i in range(0, blocks, stride):
+                if i == 0 or i + size < blocks + stride:
+                    spare = LS.STEP * size // 2
+                    seen = h[max(0, LS.STEP * i - spare) : LS.STEP * (i + size) + spare]
+                    tail = words[-LS.ANSWER_WORDS :]
+                    facts = tuple(LS.common_subsequence(seen, LS.masks_of(x), len(x)) / len(x) for x in (words, tail))
+                    old = want.get((r, s), (-1.0, 0.0))
+                    if (LS.passes(*facts), facts[0]) > (LS.passes(*old), old[0]):
+                        want[r, s] = facts
+    assert got == {k: v for k, v in want.items() if v[0] >= LS.LCS_WITH_ANSWER} and got[4, 3][0] == 1.0
